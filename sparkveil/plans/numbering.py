@@ -64,29 +64,30 @@ def running_sum(
     if ranges is None:
         ranges = min(_MAX_RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     limits = _range_limits(df, order, ranges)
-    cut = df.select("*", _range_index(df, order, limits).alias("__r"))
-    for name, value in sums.items():
-        cut = cut.withColumn(f"__v_{name}", value)
-    keys = [*partition, "__r"]
+    # One struct as partition key: never NULL itself and NULL fields compare equal, so the
+    # join and the window share one shuffle.
+    key_columns = [F.struct(*partition).alias("__p")] if partition else []
+    cut = df.select(
+        "*",
+        *key_columns,
+        _range_index(df, order, limits).alias("__r"),
+        *[value.alias(f"__v_{name}") for name, value in sums.items()],
+    )
+    outer = ["__p"] if partition else []
+    keys = [*outer, "__r"]
     totals = cut.groupBy(*keys).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-    before = Window.partitionBy(*partition).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*outer).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums]
     )
     if not partition:
         offsets = F.broadcast(offsets)  # at most `ranges` rows
-    # Null-safe join: a NULL partition key is a group of its own, as in a window.
-    renamed = offsets.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[f"__o_{n}" for n in sums])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    joined = cut.join(renamed, condition, "left")
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     results = [
         (F.col(f"__o_{n}") + F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0))).alias(n) for n in sums
     ]
-    return joined.select(*[c for c in df.columns if c not in sums], *results)
+    return cut.join(offsets, keys, "left").select(*[c for c in df.columns if c not in sums], *results)
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str = "row_number", ranges: int | None = None) -> DataFrame:
