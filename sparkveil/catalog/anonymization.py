@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from sparkveil.catalog.core import TEST_SECRET, _CONSENT, _COUNT_FIN  # noqa: F401
+from sparkveil.catalog.core import TEST_SECRET, _COUNT_FIN
 from sparkveil.catalog.registry import query
 from sparkveil.config import differential_privacy, grid, k_anonymity, tokenization
 from sparkveil.operators import anonymize as an, compliance as co
@@ -273,11 +273,10 @@ def provenance(spark, sf_dir):
     )
 
 
-@query("w2_batch_number", ("v_viol",), """
+@query("w2_batch_number", (), """
 SELECT job_id, line, CAST(row_number() OVER (ORDER BY job_id, line) AS BIGINT) AS row_number,
   CAST(ceil(row_number() OVER (ORDER BY job_id, line) / 1000.0) AS BIGINT) AS batch
-FROM (SELECT l_orderkey AS job_id, l_linenumber AS line, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS copy FROM lineitem) x
-WHERE copy = 1""")
+FROM (SELECT DISTINCT l_orderkey AS job_id, l_linenumber AS line FROM lineitem) x""")
 def batch_number(spark, sf_dir):
     """Row and batch number over (order, line) without a one-task sort."""
     from sparkveil.views import table

@@ -251,12 +251,15 @@ def anonymize(
     where: Column | None = None,
     extended: bool = False,
     metadata: bool = False,
+    fields: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Anonymize all records, or only those where `where` holds.
+    """Anonymize all records, or only those where `where` holds; `fields` limits the columns.
 
     A column whose type changes (age becomes a text range) has the new type in every row.
     """
     changed = changed_columns(df.schema, settings, key, secret, seed, extended)
+    if fields is not None:
+        changed = {c: v for c, v in changed.items() if c in fields}
     out = []
     for f in df.schema.fields:
         if f.name not in changed:
