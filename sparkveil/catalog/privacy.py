@@ -228,7 +228,7 @@ def ranges(spark, sf_dir):
 
 def _grid_row(label, method, expression, level, source):
     return f"""SELECT '{method}' AS method, '{label}' AS setting, CAST(count(*) AS BIGINT) AS records, round(avg(l), 6) AS information_loss,
-  round(1.0 - avg(l), 6) AS utility_preservation, round({level!r}, 6) AS privacy_level FROM (SELECT {expression} AS l FROM {source}) x"""
+  round(1.0 - avg(l), 6) AS utility_preservation, CAST(round({level!r}, 6) AS DOUBLE) AS privacy_level FROM (SELECT {expression} AS l FROM {source}) x"""
 
 
 _FIN_K = {k: f"(({text_loss('CAST(age AS STRING)', '(' + k_sql(k)['age'] + ')')}) + ({text_loss('location', '(' + k_sql(k)['location'] + ')')})) / {_FIN_FIELDS}.0" for k in (3, 5, 10, 15)}
