@@ -9,11 +9,14 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution does the run-time part of the skew work: it splits a hot join
 # partition and merges tiny shuffle partitions.
-ADAPTIVE_CONF = {
+RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Streaming state lives on local disk with a changelog in the checkpoint folder, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -22,15 +25,15 @@ def build_session(app: str = "sparkveil", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    merged = {"spark.sql.session.timeZone": "UTC", **ADAPTIVE_CONF, **conf}
+    merged = {"spark.sql.session.timeZone": "UTC", **RUNTIME_CONF, **conf}
     for key, value in merged.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the adaptive settings to a session somebody else built."""
-    for key, value in ADAPTIVE_CONF.items():
+    """Apply the runtime settings to a session somebody else built."""
+    for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
 

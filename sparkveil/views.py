@@ -148,3 +148,21 @@ def with_views(names: tuple[str, ...], body: str) -> str:
     """SQL text with the views as common table expressions in front."""
     heads = ", ".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in names)
     return f"WITH {heads} {body}"
+
+
+def stream_view(
+    spark: SparkSession, sf_dir: str, name: str, streaming: str, files_per_trigger: int | None = None, folder: str | None = None
+) -> DataFrame:
+    """A derived record set with one of its tables read as a stream, the others static.
+
+    `folder` holds the table split into files; without it the table's own file is the stream.
+    """
+    from sparkveil.streaming.jobs import file_stream
+
+    tables, text = VIEWS[name]
+    aliases = {t: table(spark, sf_dir, t) for t in tables}
+    aliases[streaming] = file_stream(
+        spark, folder or sf_dir, aliases[streaming].schema, files_per_trigger=files_per_trigger,
+        names="*.parquet" if folder else f"{streaming}.parquet",
+    )
+    return spark.sql(_bind(text, tables), **aliases)
