@@ -151,7 +151,7 @@ def dp_amount_sql(eps: float) -> str:
 for _e, _name in ((0.1, "e01"), (0.5, "e05"), (1.0, "e1"), (2.0, "e2")):
 
     def _noisy(spark, sf_dir, eps=_e):
-        out = an.anonymize(view(spark, sf_dir, "v_fin"), differential_privacy(eps), seed=TEST_SEED, metadata=True)
+        out = an.anonymize(view(spark, sf_dir, "v_fin", heavy=True), differential_privacy(eps), seed=TEST_SEED, metadata=True)
         return out.select(
             "id", "age", F.round("transaction_amount", 4).alias("transaction_amount"),
             F.col("_epsilon_used").alias("epsilon_used"), F.col("_noise_scale").alias("noise_scale"),
@@ -226,7 +226,7 @@ for _bits in (128, 256, 512):
         return out.select("id", "ssn", "phone", "email", "patient_name", F.col("_token_key_length").alias("key_length"))
 
     def _accounts(spark, sf_dir, bits=_bits):
-        out = an.anonymize(view(spark, sf_dir, "v_fin"), tokenization(bits), secret=TEST_SECRET)
+        out = an.anonymize(view(spark, sf_dir, "v_fin", heavy=True), tokenization(bits), secret=TEST_SECRET)
         return out.select("id", "customer_name", "account_number", "transaction_amount")
 
     query(f"a18_token_{_bits}", ("v_pat",), "SELECT id, " + ", ".join(
@@ -244,7 +244,7 @@ for _bits in (128, 256, 512):
 SELECT id, CASE WHEN {_COUNT_FIN} > 0 THEN {token_sql('customer_name', 256)} ELSE customer_name END AS customer_name,
   CASE WHEN {_COUNT_FIN} > 0 THEN {token_sql('account_number', 256)} ELSE account_number END AS account_number FROM v_fin""")
 def conditional(spark, sf_dir):
-    df = view(spark, sf_dir, "v_fin")
+    df = view(spark, sf_dir, "v_fin", heavy=True)
     out = an.anonymize(df, tokenization(256), secret=TEST_SECRET, where=co.violates(df, "financial"))
     return out.select("id", "customer_name", "account_number")
 

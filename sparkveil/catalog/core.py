@@ -15,7 +15,7 @@ TEST_SECRET = bytes(range(64))
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Check, tokenize the violating records, and count by kind in one scan and one aggregate."""
-    fin = view(spark, sf_dir, "v_fin")
+    fin = view(spark, sf_dir, "v_fin", heavy=True)
     found = fin.select("*", co.violations(fin, "financial").alias("violations"))
     violating = F.size("violations") > 0
     safe = an.anonymize(found, tokenization(256), secret=TEST_SECRET, where=violating)
@@ -154,7 +154,7 @@ _SETS = {
 for _type, (_view, _key, _branches) in _SETS.items():
 
     def _rows(spark, sf_dir, data_type=_type, name=_view, key=_key):
-        return co.violation_rows(view(spark, sf_dir, name), data_type, [key])
+        return co.violation_rows(view(spark, sf_dir, name, heavy=True), data_type, [key])
 
     query(f"c11_violations_{_type}", (_view,), _violation_sql(_view, _key, _branches))(_rows)
 
@@ -297,7 +297,7 @@ def dataset_flags(spark, sf_dir):
 # ---- second catalogue; the reference time is the newest date of the table
 
 def _consent_view(spark, sf_dir):
-    df = view(spark, sf_dir, "v_consent")
+    df = view(spark, sf_dir, "v_consent", heavy=True)
     newest = df.agg(F.max("treatment_date").alias("t")).scalar()
     return df, newest
 

@@ -9,6 +9,7 @@ from sparkveil.catalog.core import CARD, EMAIL, MRN, PHONE, SSN
 from sparkveil.catalog.registry import query
 from sparkveil.functions import text as tx
 from sparkveil.operators import compliance as co, governance as gv
+from sparkveil.plans.spread import spread
 from sparkveil.views import table, view
 
 _P = {"ssn": SSN, "phone": PHONE, "email": EMAIL, "medical_record_number": MRN, "credit_card": CARD}
@@ -23,7 +24,7 @@ def _hits(column: str, pattern: str) -> str:
 for _table, _key, _column in (("documents", "doc_id", "text"), ("pages", "page_id", "html")):
 
     def _scan(spark, sf_dir, name=_table, key=_key, column=_column):
-        return tx.scan(table(spark, sf_dir, name), column, [key])
+        return tx.scan(spread(table(spark, sf_dir, name), 1000), column, [key])
 
     query(f"c23_text_phi_{_table}", (), f"SELECT {_key}, " + ", ".join(
         f"{_hits(_column, p)} AS {n}_hits" for n, p in _P.items()
@@ -39,7 +40,7 @@ def conversations(spark, sf_dir):
 @query("c23_text_matches", (), " UNION ALL ".join(
     f"SELECT doc_id, '{n}' AS pattern, unnest(regexp_extract_all(text, '{p}')) AS value FROM documents" for n, p in _P.items()))
 def matches(spark, sf_dir):
-    return tx.matches(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return tx.matches(spread(table(spark, sf_dir, "documents"), 1000), "text", ["doc_id"])
 
 
 def _mask_sql(column: str) -> str:
@@ -50,7 +51,7 @@ def _mask_sql(column: str) -> str:
 
 @query("c23_text_masked", (), f"SELECT doc_id, sha256({_mask_sql('text')}) AS masked_hash, CAST(length({_mask_sql('text')}) AS INTEGER) AS masked_length FROM documents")
 def masked(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", tx.mask(F.col("text")).alias("m"))
+    df = spread(table(spark, sf_dir, "documents"), 1000).select("doc_id", tx.mask(F.col("text")).alias("m"))
     return df.select("doc_id", F.sha2("m", 256).alias("masked_hash"), F.length("m").alias("masked_length"))
 
 

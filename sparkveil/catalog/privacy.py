@@ -182,8 +182,10 @@ def _token_loss_sql(bits: int) -> str:
 
 
 def _scored(df, settings, **kwargs):
-    loss = ut.record_loss(df, settings, **kwargs)
-    return df.select("id", F.round(loss, 6).alias("information_loss"), F.round(F.lit(1.0) - loss, 6).alias("utility"))
+    out = ut.record_loss(df, settings, **kwargs)
+    return out.select(
+        "id", F.round("information_loss", 6).alias("information_loss"), F.round("utility_preservation", 6).alias("utility")
+    )
 
 
 def _loss_sql(expression: str, source: str) -> str:
@@ -193,7 +195,7 @@ def _loss_sql(expression: str, source: str) -> str:
 query("u4_loss_k", ("v_pat",), _loss_sql(_k_loss_sql(3), "v_pat"))(
     lambda spark, sf: _scored(view(spark, sf, "v_pat"), k_anonymity(3)))
 query("u4_loss_dp", ("v_fin",), _loss_sql(_dp_loss_sql(0.5), "v_fin"))(
-    lambda spark, sf: _scored(view(spark, sf, "v_fin"), differential_privacy(0.5), seed=TEST_SEED))
+    lambda spark, sf: _scored(view(spark, sf, "v_fin", heavy=True), differential_privacy(0.5), seed=TEST_SEED))
 query("u4_loss_token", ("v_pat",), _loss_sql(_token_loss_sql(256), "v_pat"))(
     lambda spark, sf: _scored(view(spark, sf, "v_pat"), tokenization(256), secret=TEST_SECRET))
 
@@ -202,9 +204,8 @@ query("u4_loss_token", ("v_pat",), _loss_sql(_token_loss_sql(256), "v_pat"))(
     f"round(avg({text_loss('CAST(age AS STRING)' if c == 'age' else c, f'({s})')}), 6) AS {c}_loss" for c, s in k_sql(5).items()
 ) + " FROM v_pat")
 def field_losses(spark, sf_dir):
-    df = view(spark, sf_dir, "v_pat")
-    losses = ut.loss_columns(df, k_anonymity(5))
-    return df.agg(*[F.round(F.avg(v), 6).alias(f"{c}_loss") for c, v in losses.items()])
+    out = ut.field_losses(view(spark, sf_dir, "v_pat"), k_anonymity(5))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 @query("u4_loss_joined", ("v_pat",), _loss_sql(_k_loss_sql(10), "v_pat"))
@@ -243,7 +244,7 @@ _GRID_SQL = " UNION ALL ".join(
 @query("u8_grid_loss", ("v_fin",), _GRID_SQL)
 def grid_losses(spark, sf_dir):
     """The eleven settings of the experiment over all financial records in one scan."""
-    out = ut.grid_loss(view(spark, sf_dir, "v_fin"), grid(), secret=TEST_SECRET, seed=TEST_SEED)
+    out = ut.grid_loss(view(spark, sf_dir, "v_fin", heavy=True), grid(), secret=TEST_SECRET, seed=TEST_SEED)
     return out.select(
         "method", "setting", "records",
         *[F.round(c, 6).alias(c) for c in ("information_loss", "utility_preservation", "privacy_level")],

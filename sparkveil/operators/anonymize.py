@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkveil.config import DIFFERENTIAL_PRIVACY, K_ANONYMITY, TOKENIZATION, Anonymization
 from sparkveil.functions import hashing, noise
-from sparkveil.functions.values import any_of, present
+from sparkveil.functions.values import present
 
 # ----------------------------------------------------------------- generalization ladders
 
@@ -116,12 +116,24 @@ def dp_strength(epsilon: float) -> str:
     return "STRONG" if epsilon < 0.5 else "MED" if epsilon < 1.0 else "WEAK"
 
 
-def dp_columns(schema: T.StructType, epsilon: float, key: Column, seed: str) -> dict[str, Column]:
-    """`key` identifies the record; `seed` is the secret of this release."""
+def _draw(purpose: str) -> str:
+    return f"__draw_{purpose}"
+
+
+def dp_draws(schema: T.StructType, key: Column, seed: str) -> dict[str, Column]:
+    """The uniforms noise is made of: hashed from the release seed, a purpose and the record key."""
+    names = {f.name for f in schema.fields}
+    purposes = [c for c in ("age", "transaction_amount") if c in names]
+    purposes += ["gender_coin", "gender_pick"] if "gender" in names else []
+    return {_draw(p): hashing.hash_uniform(F.lit(seed), F.lit(p), key) for p in purposes}
+
+
+def dp_columns(schema: T.StructType, epsilon: float, seed: str) -> dict[str, Column]:
+    """Noisy columns over a record set prepared with `dp_draws`; `seed` is the secret of this release."""
     types = {f.name: f.dataType for f in schema.fields}
 
     def uniform(purpose: str) -> Column:
-        return hashing.hash_uniform(F.lit(seed), F.lit(purpose), key)
+        return F.col(_draw(purpose))
 
     out = {}
     if "age" in types:
@@ -200,19 +212,26 @@ def register_method(name: str, build: Callable[[T.StructType, Anonymization], di
     _CUSTOM[name] = build
 
 
+def prepare(df: DataFrame, settings: Anonymization, key: str = "id", seed: str = "") -> DataFrame:
+    """Records with the helper columns a method needs.
+
+    They stand in a projection of their own, so each hash is computed once however often the
+    changed columns use it.
+    """
+    if settings.method != DIFFERENTIAL_PRIVACY:
+        return df
+    draws = dp_draws(df.schema, F.col(key).cast("string"), seed)
+    return df.select("*", *[v.alias(n) for n, v in draws.items() if n not in df.columns])
+
+
 def changed_columns(
-    schema: T.StructType,
-    settings: Anonymization,
-    key: str = "id",
-    secret: bytes = b"",
-    seed: str = "",
-    extended: bool = False,
+    schema: T.StructType, settings: Anonymization, secret: bytes = b"", seed: str = "", extended: bool = False
 ) -> dict[str, Column]:
-    """The columns a method changes, as expressions over the original ones."""
+    """The columns a method changes, as expressions over a prepared record set."""
     if settings.method == K_ANONYMITY:
         return k_columns(schema, settings.k, extended)
     if settings.method == DIFFERENTIAL_PRIVACY:
-        return dp_columns(schema, settings.epsilon, F.col(key).cast("string"), seed)
+        return dp_columns(schema, settings.epsilon, seed)
     if settings.method == TOKENIZATION:
         return token_columns(schema, settings.key_bits, secret, extended)
     if settings.method in _CUSTOM:
@@ -257,9 +276,10 @@ def anonymize(
 
     A column whose type changes (age becomes a text range) has the new type in every row.
     """
-    changed = changed_columns(df.schema, settings, key, secret, seed, extended)
+    changed = changed_columns(df.schema, settings, secret, seed, extended)
     if fields is not None:
         changed = {c: v for c, v in changed.items() if c in fields}
+    prepared = prepare(df, settings, key, seed)
     out = []
     for f in df.schema.fields:
         if f.name not in changed:
@@ -267,12 +287,12 @@ def anonymize(
             continue
         value = changed[f.name]
         if where is not None:
-            new_type = df.select(value.alias("x")).schema["x"].dataType
+            new_type = prepared.select(value.alias("x")).schema["x"].dataType
             value = F.when(where, value).otherwise(F.col(f.name).cast(new_type))
         out.append(value.alias(f.name))
     if metadata:
         out += [metadata_column(settings).alias("_anonymization_config"), *level_columns(settings)]
-    return df.select(*out)
+    return prepared.select(*out)
 
 
 def with_provenance(df: DataFrame, settings: Anonymization, via: str, processed_at: Column, anonymized: Column) -> DataFrame:
@@ -355,9 +375,3 @@ def quick_tokens(df: DataFrame, method: str = TOKENIZATION, seed: str = "") -> D
             "patient_name": _hash_label("PATIENT_", "patient_name", 3, seed),
         }
     return _replace(df, new)
-
-
-def changed_any(df: DataFrame, settings: Anonymization, **kwargs) -> Column:
-    """True when the method alters at least one column of the record."""
-    changed = changed_columns(df.schema, settings, **kwargs)
-    return any_of([~F.col(c).cast("string").eqNullSafe(v.cast("string")) for c, v in changed.items()])

@@ -405,27 +405,29 @@ def exposed_identifiers(df: DataFrame) -> Column:
 
 
 def phi_cross_scan(df: DataFrame) -> Column:
-    fields = exposed_identifiers(df)
-    return F.when(F.size(fields) > 0, F.concat(F.lit("Exposed PHI fields: "), F.array_join(fields, ", ")))
+    """Detail text listing the exposed fields, or NULL."""
+    listed = F.nullif(F.array_join(exposed_identifiers(df), ", "), F.lit(""))
+    return F.concat(F.lit("Exposed PHI fields: "), listed)
 
 
 def evaluate(df: DataFrame, reference_time: Column, regulation: str = "both") -> DataFrame:
     """Records with `record_id`, `violations` and `compliant` under the second catalogue."""
     names = df.columns
-    # The time may be a scalar subquery, which must not stand inside a higher-order function.
-    df = df.select("*", reference_time.alias("__now"))
+    # Details stand in a projection of their own: each is computed once, and the time, which
+    # may be a scalar subquery, stays out of higher-order functions.
     details = {
-        "consent_validity": consent_validity(df, F.col("__now")),
-        "data_retention": retention_by_age(df, F.col("__now")),
+        "consent_validity": consent_validity(df, reference_time),
+        "data_retention": retention_by_age(df, reference_time),
         "phi_exposure": phi_cross_scan(df),
     }
+    df = df.select("*", *[v.alias(f"__{n}") for n, v in details.items()])
     wanted = {"gdpr": ("GDPR",), "hipaa": ("HIPAA",), "both": ("GDPR", "HIPAA")}[regulation]
     found = []
     for name, law, text in CATALOGUE:
         if law in wanted and name not in DECLARED_ONLY:
             entry = F.struct(
                 F.lit(name).alias("rule"), F.lit(law).alias("regulation"),
-                F.lit(text).alias("description"), details[name].alias("violation_details"),
+                F.lit(text).alias("description"), F.col(f"__{name}").alias("violation_details"),
             )
             found.append(entry)
     listed = F.filter(F.array(*found), lambda v: v["violation_details"].isNotNull())

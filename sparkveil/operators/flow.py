@@ -30,13 +30,14 @@ def grid_records(
     df: DataFrame, settings: list[Anonymization], fields: list[str], key: str = "id", secret: bytes = b"", seed: str = ""
 ) -> DataFrame:
     """Every record under every setting, as one expansion of the scan: rows (setting, key, fields as text)."""
-    versions = []
+    versions, prepared = [], df
     for s in settings:
-        changed = an.changed_columns(df.schema, s, key, secret, seed)
+        prepared = an.prepare(prepared, s, key, seed)
+        changed = an.changed_columns(df.schema, s, secret, seed)
         versions.append(F.struct(
             F.lit(s.label).alias("setting"), *[changed.get(c, F.col(c)).cast("string").alias(c) for c in fields]
         ))
-    return df.select(key, F.inline(F.array(*versions)))
+    return prepared.select(key, F.inline(F.array(*versions)))
 
 
 def map_records(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

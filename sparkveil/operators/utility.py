@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkveil.config import DIFFERENTIAL_PRIVACY, K_ANONYMITY, TOKENIZATION, Anonymization
-from sparkveil.operators.anonymize import changed_columns
+from sparkveil.operators import anonymize as an
 
 _NUMERIC = (T.NumericType, T.BooleanType)
 
@@ -67,49 +67,76 @@ def _range_columns(df: DataFrame, columns: list[str]) -> dict[str, Column]:
     return {c: scalar.getField(c) for c in have}
 
 
-def loss_columns(df: DataFrame, settings: Anonymization, fields: list[str] | None = None, **kwargs) -> dict[str, Column]:
-    """Per-field loss of the changed fields, computed next to the original values (no join)."""
-    changed = changed_columns(df.schema, settings, **kwargs)
+def with_losses(
+    df: DataFrame, settings: list[Anonymization], key: str = "id", secret: bytes = b"", seed: str = ""
+) -> tuple[DataFrame, list[dict[str, Column]]]:
+    """Records with the changed values of every setting beside the original ones, and the loss per changed field.
+
+    The changed values stand in a projection of their own, so that a token or a noisy value is
+    computed once although its loss looks at it several times.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    probe = df.select(*[v.alias(c) for c, v in changed.items()]).schema
+    prepared = df
+    for s in settings:
+        prepared = an.prepare(prepared, s, key, seed)
+    changed = [an.changed_columns(df.schema, s, secret, seed) for s in settings]
+    staged = prepared.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[v.alias(f"__c{i}_{c}") for i, columns in enumerate(changed) for c, v in columns.items()],
+    )
+    after = {f.name: f.dataType for f in staged.schema.fields}
     # Ranges only matter where original and changed value are both numbers.
-    numeric = [c for c in changed if isinstance(types[c], _NUMERIC) and isinstance(probe[c].dataType, _NUMERIC)]
+    numeric = sorted({
+        c for i, columns in enumerate(changed) for c in columns
+        if isinstance(types[c], _NUMERIC) and isinstance(after[f"__c{i}_{c}"], _NUMERIC)
+    })
     ranges = _range_columns(df, numeric)
-    return {
-        c: field_loss(F.col(c), types[c], v, probe[c].dataType, ranges.get(c))
-        for c, v in changed.items()
-        if fields is None or c in fields
-    }
+    losses = [
+        {
+            c: field_loss(F.col(c), types[c], F.col(f"__c{i}_{c}"), after[f"__c{i}_{c}"], ranges.get(c))
+            for c in columns
+        }
+        for i, columns in enumerate(changed)
+    ]
+    return staged, losses
 
 
-def record_loss(df: DataFrame, settings: Anonymization, **kwargs) -> Column:
-    """Mean loss over the fields of a record; untouched fields count as 0 without being read."""
-    fields = [c for c in df.columns if not c.startswith("_")]
+def _mean_loss(losses: dict[str, Column], fields: int) -> Column:
+    """Mean over the fields of a record; untouched fields count as 0 without being read."""
     total = F.lit(0.0)
-    for value in loss_columns(df, settings, **kwargs).values():
+    for value in losses.values():
         total = total + value
-    return total / F.lit(float(len(fields)))
+    return total / F.lit(float(fields))
 
 
-def dataset_loss(df: DataFrame, settings: Anonymization, **kwargs) -> DataFrame:
-    """Mean loss, utility and privacy level of one setting."""
-    scored = df.select(record_loss(df, settings, **kwargs).alias("loss"))
-    return scored.agg(
-        F.count("*").alias("records"),
-        F.avg("loss").alias("information_loss"),
-        F.avg(F.lit(1.0) - F.col("loss")).alias("utility_preservation"),
-        F.lit(privacy_level(settings)).alias("privacy_level"),
-    )
+def _field_count(df: DataFrame) -> int:
+    return sum(not c.startswith("_") for c in df.columns)
 
 
-def grid_loss(df: DataFrame, settings: list[Anonymization], **kwargs) -> DataFrame:
-    """All settings over all records in one scan: one aggregate column per setting.
+def record_loss(df: DataFrame, settings: Anonymization, key: str = "id", **kwargs) -> DataFrame:
+    """Loss and utility per record."""
+    staged, (losses,) = with_losses(df, [settings], key, **kwargs)
+    scored = staged.select(key, _mean_loss(losses, _field_count(df)).alias("information_loss"))
+    return scored.select("*", (F.lit(1.0) - F.col("information_loss")).alias("utility_preservation"))
+
+
+def field_losses(df: DataFrame, settings: Anonymization, key: str = "id", **kwargs) -> DataFrame:
+    """Mean loss per changed field, one row."""
+    staged, (losses,) = with_losses(df, [settings], key, **kwargs)
+    return staged.agg(*[F.avg(v).alias(f"{c}_loss") for c, v in losses.items()])
+
+
+def grid_loss(df: DataFrame, settings: list[Anonymization], key: str = "id", **kwargs) -> DataFrame:
+    """Mean loss, utility and privacy level of all settings over all records in one scan.
 
     The grid of the experiment is a cross of settings and records; here the records are read
-    once and no row is multiplied.
+    once and no row is multiplied: every setting is one aggregate column.
     """
-    losses = df.select(*[record_loss(df, s, **kwargs).alias(f"loss{i}") for i, s in enumerate(settings)])
-    means = losses.agg(F.count("*").alias("records"), *[F.avg(f"loss{i}").alias(f"m{i}") for i in range(len(settings))])
+    staged, losses = with_losses(df, settings, key, **kwargs)
+    fields = _field_count(df)
+    means = staged.agg(
+        F.count("*").alias("records"), *[F.avg(_mean_loss(l, fields)).alias(f"m{i}") for i, l in enumerate(losses)]
+    )
     rows = [
         F.struct(
             F.lit(s.method).alias("method"), F.lit(s.label).alias("setting"), F.col("records").alias("records"),
@@ -122,6 +149,11 @@ def grid_loss(df: DataFrame, settings: list[Anonymization], **kwargs) -> DataFra
     return means.select(F.inline(F.array(*rows)))
 
 
+def dataset_loss(df: DataFrame, settings: Anonymization, key: str = "id", **kwargs) -> DataFrame:
+    """The same for one setting."""
+    return grid_loss(df, [settings], key, **kwargs)
+
+
 def joined_loss(original: DataFrame, anonymized: DataFrame, key: str) -> DataFrame:
     """Loss per record when both sides are stored tables: an equi-join on the record key."""
     fields = [c for c in original.columns if c in anonymized.columns and not c.startswith("_")]
@@ -213,15 +245,17 @@ def entropy(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def entropy_loss(df: DataFrame, settings: Anonymization, columns: list[str], **kwargs) -> DataFrame:
+def entropy_loss(
+    df: DataFrame, settings: Anonymization, columns: list[str], key: str = "id", secret: bytes = b"", seed: str = ""
+) -> DataFrame:
     """Entropy before and after per column: all value counts in one grouped pass."""
-    changed = changed_columns(df.schema, settings, **kwargs)
+    changed = an.changed_columns(df.schema, settings, secret, seed)
     pairs = []
     for c in columns:
         for side, value in (("original", F.col(c)), ("anonymized", changed.get(c, F.col(c)))):
             pairs.append(F.struct(F.lit(c).alias("field"), F.lit(side).alias("side"), value.cast("string").alias("value")))
     counts = (
-        df.select(F.inline(F.array(*pairs))).groupBy("field", "side", "value").agg(F.count("*").alias("n"))
+        an.prepare(df, settings, key, seed).select(F.inline(F.array(*pairs))).groupBy("field", "side", "value").agg(F.count("*").alias("n"))
     )
     h = F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")
     sides = counts.groupBy("field").pivot("side", ["original", "anonymized"]).agg(h.alias("h"))
@@ -231,19 +265,19 @@ def entropy_loss(df: DataFrame, settings: Anonymization, columns: list[str], **k
     )
 
 
-def correlation_kept(df: DataFrame, settings: Anonymization, pairs: list[tuple[str, str]], **kwargs) -> DataFrame:
+def correlation_kept(
+    df: DataFrame, settings: Anonymization, pairs: list[tuple[str, str]], key: str = "id", secret: bytes = b"", seed: str = ""
+) -> DataFrame:
     """Pearson correlation before and after per column pair, in one aggregate."""
-    changed = changed_columns(df.schema, settings, **kwargs)
-
-    def number(c: str, after: bool) -> Column:
-        return (changed[c] if after and c in changed else F.col(c)).cast("double")
-
-    aggregates = []
-    for i, (a, b) in enumerate(pairs):
-        aggregates += [
-            F.corr(number(a, False), number(b, False)).alias(f"o{i}"),
-            F.corr(number(a, True), number(b, True)).alias(f"n{i}"),
-        ]
+    changed = an.changed_columns(df.schema, settings, secret, seed)
+    names = sorted({c for pair in pairs for c in pair})
+    numbers = an.prepare(df, settings, key, seed).select(
+        *[F.col(c).cast("double").alias(f"o_{c}") for c in names],
+        *[changed.get(c, F.col(c)).cast("double").alias(f"n_{c}") for c in names],
+    )
+    aggregates = [
+        F.corr(f"{side}_{a}", f"{side}_{b}").alias(f"{side}{i}") for i, (a, b) in enumerate(pairs) for side in "on"
+    ]
     rows = [
         F.struct(
             F.lit(a).alias("field_a"), F.lit(b).alias("field_b"), F.col(f"o{i}").alias("original"),
@@ -251,7 +285,7 @@ def correlation_kept(df: DataFrame, settings: Anonymization, pairs: list[tuple[s
         )
         for i, (a, b) in enumerate(pairs)
     ]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return numbers.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def query_accuracy(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkveil.plans.spread import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -129,10 +131,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived record set; the joins inside are left to the optimizer's size estimates."""
+def view(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A derived record set; the joins inside are left to the optimizer's size estimates.
+
+    `heavy` announces CPU-heavy work per record: a small scan of the driving table is spread.
+    """
     tables, text = VIEWS[name]
     aliases = {t: table(spark, sf_dir, t) for t in tables}
+    if heavy:
+        aliases[tables[0]] = spread(aliases[tables[0]])
     return spark.sql(_bind(text, tables), **aliases)
 
 
