@@ -104,7 +104,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def read_runs(spark: SparkSession, root: str, file_name: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """One result file over all `*run-*` folders: good rows with their folder, and misaligned rows.
 
-    Rows whose width differs from the schema are kept apart instead of being shifted.
+    Rows whose width differs from the schema are kept apart, with their raw text, instead of
+    being shifted.
     """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     rows = (
@@ -113,14 +114,14 @@ def read_runs(spark: SparkSession, root: str, file_name: str, schema: T.StructTy
         .withColumn("run", F.regexp_extract(F.input_file_name(), r"/([^/]*run-[^/]*)/", 1))
     )
     bad = F.col(CORRUPT).isNotNull()
-    return rows.filter(~bad).drop(CORRUPT), rows.filter(bad).select("run", CORRUPT)
+    return rows.filter(~bad).drop(CORRUPT), rows.filter(bad)
 
 
 def fingerprints(spark: SparkSession, path: str, chunk_bytes: int = 8 << 20) -> DataFrame:
     """SHA-256 and size of every file below a path.
 
     The listing carries no content; each file is then read in chunks by the task that owns it,
-    so memory does not depend on file size.
+    so memory does not depend on file size. Spark's file scan leaves empty files out.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 
