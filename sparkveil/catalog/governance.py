@@ -108,13 +108,14 @@ def cross_border(spark, sf_dir):
 
 
 def _requests(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter("o_custkey % 17 = 0").select(
+    """Customers ask for erasure on the day of a very large order."""
+    return table(spark, sf_dir, "orders").filter("o_totalprice > 490000").select(
         F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("customer_name"),
         F.col("o_orderdate").alias("requested_at"),
     )
 
 
-_REQUESTS = "req AS (SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS customer_name, min(o_orderdate) AS requested_at FROM orders WHERE o_custkey % 17 = 0 GROUP BY 1)"
+_REQUESTS = "req AS (SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS customer_name, min(o_orderdate) AS requested_at FROM orders WHERE o_totalprice > 490000 GROUP BY 1)"
 
 
 @query("c27_erasure", ("v_fin",), f"WITH {_REQUESTS} SELECT id FROM v_fin WHERE customer_name NOT IN (SELECT customer_name FROM req)")
@@ -163,7 +164,7 @@ def permissions(spark, sf_dir):
     f"({i}, '{r}')" for i, r in enumerate(gv.ROLES, 1)) + """) t(role_id, role_code))
 SELECT u.user_id, u.username, r.role_code FROM v_users u JOIN r ON u.role_id = r.role_id""")
 def user_roles(spark, sf_dir):
-    joined = view(spark, sf_dir, "v_users").join(F.broadcast(gv.roles(spark)), "role_id")
+    joined = view(spark, sf_dir, "v_users").join(gv.roles(spark), "role_id")
     return joined.select("user_id", "username", "role_code")
 
 

@@ -134,8 +134,8 @@ def inference(spark, sf_dir):
 
 
 @query("a28_membership", ("v_fin",), f"""
-WITH rel AS (SELECT CAST(round({dp_amount_sql(2.0)} * 100) AS BIGINT) AS cents FROM v_fin WHERE CAST(id AS BIGINT) % 2 = 0),
-cand AS (SELECT CAST(round(transaction_amount * 100) AS BIGINT) AS cents, CAST(id AS BIGINT) % 2 = 0 AS member FROM v_fin),
+WITH rel AS (SELECT CAST(round({dp_amount_sql(2.0)} * 100) AS BIGINT) AS cents FROM v_fin WHERE processing_status = 'done'),
+cand AS (SELECT CAST(round(transaction_amount * 100) AS BIGINT) AS cents, processing_status = 'done' AS member FROM v_fin),
 below AS (SELECT c.cents, c.member, r.cents AS y FROM cand c ASOF LEFT JOIN rel r ON c.cents >= r.cents),
 above AS (SELECT c.cents, min(y) AS y FROM (SELECT DISTINCT cents FROM cand) c ASOF LEFT JOIN (SELECT cents AS y FROM rel) r ON c.cents <= r.y GROUP BY c.cents),
 g AS (SELECT b.member AS m, coalesce(b.cents - b.y <= 500, false) OR coalesce(a.y - b.cents <= 500, false) AS g FROM below b JOIN above a ON b.cents = a.cents)
@@ -143,9 +143,9 @@ SELECT CAST(count(*) FILTER (g AND m) AS BIGINT) AS tp, CAST(count(*) FILTER (g
   CAST(count(*) FILTER (NOT g AND m) AS BIGINT) AS fn, CAST(count(*) FILTER (NOT g AND NOT m) AS BIGINT) AS tn,
   round(avg(CASE WHEN g = m THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM g""")
 def membership(spark, sf_dir):
-    """Half of the transactions are released with noise; are the others told apart?"""
+    """Finished transactions are released with noise; are the active ones told apart?"""
     df = view(spark, sf_dir, "v_fin")
-    member = F.col("id").cast("bigint") % 2 == 0
+    member = F.col("processing_status") == "done"
     cents = F.round(F.col("transaction_amount") * 100).cast("bigint").alias("cents")
     released = an.anonymize(df.filter(member), differential_privacy(2.0), seed=TEST_SEED).select(cents)
     out = pr.membership_inference(df.select(cents, member.alias("member")), released, "cents", "member", 500)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkveil.session import configure
 from sparkveil.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +19,7 @@ def query(name: str, views: tuple[str, ...] = (), sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = build
+        QUERIES[name] = lambda spark, sf_dir: build(configure(spark), sf_dir)
         if sql is not None:
             if views and sql.lstrip().upper().startswith("WITH "):
                 head = with_views(views, "").rstrip()

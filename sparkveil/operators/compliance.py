@@ -195,7 +195,7 @@ def violations(df: DataFrame, data_type: str, book: RuleBook = DEFAULT_BOOK, ali
     if not rules:
         return F.array().cast(T.ArrayType(VIOLATION))
     candidates = [F.when(r.hits(columns), r.violation(columns)) for r in rules]
-    return F.filter(F.array(*candidates), lambda v: v.isNotNull()).cast(T.ArrayType(VIOLATION))
+    return F.array_compact(F.array(*candidates))
 
 
 def violates(df: DataFrame, data_type: str, book: RuleBook = DEFAULT_BOOK, aliases=None) -> Column:
@@ -349,10 +349,6 @@ def violation_sample(df: DataFrame, data_type: str, key: str, n: int = 10, book:
 # --------------------------------------------------------------------------------------
 # Second rule catalogue: consent validity, retention by age, exposed identifiers.
 
-CATALOGUE_VIOLATION = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("rule", "regulation", "description", "violation_details")]
-)
-
 # Fixed values of the catalogue: name, regulation, description.
 CATALOGUE = (
     ("consent_validity", "GDPR", "Check if consent is valid and not expired"),
@@ -434,6 +430,6 @@ def evaluate(df: DataFrame, reference_time: Column, regulation: str = "both") ->
     ids = [F.col(c) for c in ("patient_id", "customer_id") if c in df.columns]
     record_id = F.coalesce(*[F.nullif(i.cast("string"), F.lit("")) for i in ids]) if ids else F.lit(None)
     checked = df.select(
-        *names, record_id.alias("record_id"), listed.cast(T.ArrayType(CATALOGUE_VIOLATION)).alias("violations")
+        *names, record_id.alias("record_id"), listed.alias("violations")
     )
     return checked.select("*", (F.size("violations") == 0).alias("compliant"))

@@ -44,8 +44,8 @@ def role_permissions(spark: SparkSession, granted: dict[str, tuple[str, ...]] =
 
 
 def user_permissions(users: DataFrame, permissions: DataFrame) -> DataFrame:
-    """Permissions of active users; `permissions` has at most roles x permissions rows."""
-    return users.filter("is_active").join(F.broadcast(permissions), "role_id").select(
+    """Permissions of active users; the seeded permission table is small enough to be broadcast by its size."""
+    return users.filter("is_active").join(permissions, "role_id").select(
         "user_id", "username", "role_code", "permission_code", "resource_type", "action"
     )
 
@@ -53,7 +53,7 @@ def user_permissions(users: DataFrame, permissions: DataFrame) -> DataFrame:
 def users_allowed(users: DataFrame, permissions: DataFrame, resource: str, action: str) -> DataFrame:
     """Active users that may do `action` on `resource`; the admin action implies every other."""
     granting = permissions.filter((F.col("resource_type") == resource) & F.col("action").isin(action, "admin"))
-    return users.filter("is_active").join(F.broadcast(granting.select("role_id").distinct()), "role_id", "left_semi")
+    return users.filter("is_active").join(granting.select("role_id").distinct(), "role_id", "left_semi")
 
 
 # How much of a sensitive field a role may see.

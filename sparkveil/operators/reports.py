@@ -122,7 +122,7 @@ def top_files(violations: DataFrame, files: DataFrame, n: int = 10) -> DataFrame
     )
     top = counted.orderBy(F.col("violation_count").desc(), "file_id").limit(n)
     names = files.select("file_id", "filename")
-    return names.join(F.broadcast(top), "file_id")  # at most n rows
+    return names.join(top, "file_id")
 
 
 def violation_summary(violations: DataFrame) -> DataFrame:

@@ -1,17 +1,9 @@
-"""Join helpers: broadcast only behind a size check, and group statistics without hot windows."""
+"""Group statistics without hot windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when at most `max_rows` rows come out; otherwise leave the join to Spark."""
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
-
 
 def with_group_stats(df: DataFrame, keys: list[str], **stats) -> DataFrame:
     """Aggregate per group and join the result back.
@@ -20,9 +12,7 @@ def with_group_stats(df: DataFrame, keys: list[str], **stats) -> DataFrame:
     map-side, and adaptive execution splits a hot partition of the row side of the join.
     NULL keys form groups of their own.
     """
+    # One struct as join key: it is never NULL, and NULL fields inside compare equal.
     grouped = df.groupBy(*keys).agg(*[v.alias(n) for n, v in stats.items()])
-    right = grouped.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *stats)
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return df.join(right, condition, "left").drop(*[f"__k_{k}" for k in keys])
+    right = grouped.select(F.struct(*keys).alias("__key"), *stats)
+    return df.select("*", F.struct(*keys).alias("__key")).join(right, "__key", "left").drop("__key")

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _SAMPLES_PER_RANGE = 16
-_MAX_RANGES = 512  # literals in the plan; ranges may hold any number of rows
+_MAX_RANGES = 8192  # bounds the literals of the plan; a range may hold any number of rows
+_BLOCK = 64
 
 
 def _range_limits(df: DataFrame, order: list[str], ranges: int) -> list:
@@ -31,20 +32,33 @@ def _range_limits(df: DataFrame, order: list[str], ranges: int) -> list:
 
 
 def _range_index(df: DataFrame, order: list[str], limits: list) -> Column:
-    """Index of the range a row falls in, as a balanced tree of comparisons."""
+    """Index of the range a row falls in: a tree of comparisons, and a short list below each leaf if there are many."""
     types = {f.name: f.dataType for f in df.schema.fields}
     key = F.struct(*[F.col(c).alias(c) for c in order])
 
-    def limit_at(i: int) -> Column:
-        return F.struct(*[F.lit(limits[i][c]).cast(types[c]).alias(c) for c in order])
+    def literal(limit) -> Column:
+        return F.struct(*[F.lit(limit[c]).cast(types[c]).alias(c) for c in order])
 
-    def tree(low: int, high: int) -> Column:
+    def tree(steps: list, low: int, high: int, leaf) -> Column:
+        """`leaf(i)` where exactly `i` of the steps are at or below the key."""
         if low == high:
-            return F.lit(low)
+            return leaf(low)
         middle = (low + high) // 2
-        return F.when(key < limit_at(middle), tree(low, middle)).otherwise(tree(middle + 1, high))
+        return F.when(key < literal(steps[middle]), tree(steps, low, middle, leaf)).otherwise(
+            tree(steps, middle + 1, high, leaf)
+        )
 
-    return tree(0, len(limits))
+    if len(limits) <= 4 * _BLOCK:
+        return tree(limits, 0, len(limits), F.lit)
+    blocks = [limits[i:i + _BLOCK] for i in range(0, len(limits), _BLOCK)]
+
+    def inside(i: int) -> Column:
+        # The tree has placed the key at or above the first limit of its block.
+        block = blocks[max(i - 1, 0)]
+        below = F.filter(F.array(*[literal(x) for x in block]), lambda x: x <= key)
+        return F.lit(max(i - 1, 0) * _BLOCK) + F.size(below)
+
+    return tree([b[0] for b in blocks], 0, len(blocks), inside)
 
 
 def running_sum(

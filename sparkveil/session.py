@@ -32,9 +32,10 @@ def build_session(app: str = "sparkveil", master: str | None = None, **conf: str
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else built."""
+    """Fill in runtime settings a session built elsewhere has left unset."""
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -120,3 +120,19 @@ def test_utilization(spark):
 def test_generalized_records_reach_the_ladder_values(skewed):
     out = an.anonymize(skewed, config.k_anonymity(15), fields=("age",))
     assert set(r["age"] for r in out.select("age").distinct().collect()) == {"0-29", "30-59", "60-89", None}
+
+
+def test_many_ranges_use_blocks_of_limits(spark):
+    """More limits than one comparison tree takes: the two-level lookup gives the same sums."""
+    df = spark.range(3000).select(((F.col("id") * 7919) % 3001).alias("k"), (F.col("id") % 5).alias("v"))
+    out = running_sum(df, ["k"], {"s": F.col("v")}, ranges=400)
+    expected = df.select("k", F.sum("v").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    assert out.select("k", "s").exceptAll(expected).count() == 0 and out.count() == 3000
+
+
+def test_group_stats_keep_null_groups(spark):
+    from sparkveil.plans.joins import with_group_stats
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), (None, 5)], "g string, v int")
+    rows = with_group_stats(df, ["g"], n=F.count("*")).collect()
+    assert sorted((r["v"], r["n"]) for r in rows) == [(1, 2), (2, 2), (3, 3), (4, 3), (5, 3)]

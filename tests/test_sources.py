@@ -118,3 +118,23 @@ def test_schema_of_generated_records_is_the_declared_one(spark):
     base = F.lit("2024-01-01 00:00:00").cast("timestamp")
     assert sorted(gen.records(spark, "healthcare", 1, base).columns) == sorted(sc.HEALTHCARE.names)
     assert set(sc.FINANCIAL.names) <= set(gen.records(spark, "financial", 1, base).columns)
+
+
+def test_text_email_pattern_finds_what_the_rule_pattern_finds(spark):
+    """The scan form of the pattern against the plain one, on random texts full of near misses."""
+    import random
+    import re
+
+    from sparkveil.functions.patterns import EMAIL
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab.@@-_1 \n%Zx") for _ in range(rng.randrange(1, 120))) for _ in range(3000)]
+    texts += ["a@b.com.x@y.org", "x" * 50000 + " a@b.cc", "me@host.tld@other.net", "@a.bc a@b.c1 a@b.cde."]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {}
+    for r in tx.matches(df, "t", ["k"]).filter("pattern = 'email'").collect():
+        got.setdefault(r["k"], []).append(r["value"])
+    counts = {r["k"]: r["email_hits"] for r in tx.scan(df, "t", ["k"]).collect()}
+    for k, t in enumerate(texts):
+        expected = re.findall(EMAIL, t)
+        assert sorted(got.get(k, [])) == sorted(expected) and counts[k] == len(expected), t
