@@ -8,6 +8,7 @@ from sparkveil import schemas as sc
 from sparkveil.catalog.core import CARD, EMAIL, MRN, PHONE, SSN
 from sparkveil.catalog.registry import query
 from sparkveil.functions import text as tx
+from sparkveil.functions.patterns import SAFE_HARBOR_PATTERNS
 from sparkveil.operators import compliance as co, governance as gv
 from sparkveil.plans.spread import spread
 from sparkveil.views import table, view
@@ -61,7 +62,7 @@ _SH = {"date": r"\b\d{4}-\d{2}-\d{2}\b", "url": r"https?://[^\s\"''<>]+", "ip_ad
 @query("c24_safe_harbor_scan", (), " UNION ALL ".join(
     f"SELECT '{n}' AS pattern, CAST(count(*) FILTER (h > 0) AS BIGINT) AS records, CAST(sum(h) AS BIGINT) AS hits FROM (SELECT {_hits('html', p)} AS h FROM pages) x" for n, p in _SH.items()))
 def safe_harbor_scan(spark, sf_dir):
-    return tx.pattern_totals(table(spark, sf_dir, "pages"), "html", tx.SAFE_HARBOR_PATTERNS)
+    return tx.pattern_totals(table(spark, sf_dir, "pages"), "html", SAFE_HARBOR_PATTERNS)
 
 
 @query("c24_safe_harbor", ("v_pat",), """

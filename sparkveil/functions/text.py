@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkveil.functions.patterns import IPV4, ISO_DATE, SAFE_HARBOR_PATTERNS, TEXT_PATTERNS, URL
+from sparkveil.functions.patterns import IPV4, ISO_DATE, TEXT_PATTERNS, URL
 
 
 def pattern_counts(text: Column, patterns: dict[str, str] = TEXT_PATTERNS) -> dict[str, Column]:
@@ -62,9 +62,3 @@ def short_zip(zip_code: Column, population: Column | None = None) -> Column:
     """First three digits, or 000 when the area has at most 20,000 people."""
     prefix = F.substring(zip_code, 1, 3)
     return prefix if population is None else F.when(population > 20000, prefix).otherwise(F.lit("000"))
-
-
-__all__ = [
-    "SAFE_HARBOR_PATTERNS", "TEXT_PATTERNS", "capped_age", "mask", "matches", "pattern_counts", "pattern_totals",
-    "safe_harbor", "scan", "short_zip",
-]

@@ -27,10 +27,6 @@ def any_of(conditions: list[Column]) -> Column:
     return functools.reduce(operator.or_, conditions) if conditions else F.lit(False)
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return functools.reduce(operator.and_, conditions) if conditions else F.lit(True)
-
-
 def pick(choices: dict, key: Column, default=None) -> Column:
     """`CASE key WHEN ..` from a dict."""
     items = list(choices.items())

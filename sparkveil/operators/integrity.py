@@ -10,9 +10,6 @@ from sparkveil.functions.hashing import record_hash
 SEVERITY = {"record_modified": "high", "record_added": "medium", "record_deleted": "critical"}
 IMPACT = {"record_modified": "medium", "record_added": "low", "record_deleted": "high"}
 
-EVENT_COLUMNS = (
-    "change_type", "record_id", "old_hash", "new_hash", "severity", "compliance_impact", "description", "affected_fields",
-)
 DIFF = T.MapType(T.StringType(), T.StructType([T.StructField("old", T.StringType()), T.StructField("new", T.StringType())]))
 
 

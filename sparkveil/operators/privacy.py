@@ -7,8 +7,6 @@ collects the members of a group.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sparkveil.operators import anonymize as an
@@ -64,9 +62,6 @@ def completeness(df: DataFrame, quasi_identifiers: list[str], k: int) -> DataFra
     )
 
 
-Level = dict[str, Callable[[], Column]]
-
-
 def ladder_levels(schema: T.StructType, quasi_identifiers: list[str], ks=(None, 3, 5, 15)) -> list[dict[str, Column]]:
     """Quasi-identifiers per level: unchanged first, then the three rungs of the ladders."""
     levels = []

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkveil.functions.hashing import hash_mod
 from sparkveil.functions.values import present
@@ -273,7 +273,8 @@ def learned_route(df: DataFrame, features: list[str], label: str, max_iterations
 def statistics(decided: DataFrame, route: str = "decision.route", reason: str = "decision.reason") -> DataFrame:
     """Records per route and reason with their share of all records."""
     counts = decided.groupBy(F.col(route).alias("route"), F.col(reason).alias("reason")).agg(F.count("*").alias("records"))
-    total = counts.agg(F.sum("records").alias("t")).scalar()
+    # One row per route and reason reaches this window; the records are read once.
+    total = F.sum("records").over(Window.partitionBy())
     return counts.select("route", "reason", "records", (F.col("records") * 100.0 / total).alias("percent"))
 
 

@@ -59,10 +59,3 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, label: str) -> str:
     """A new, unused folder below the shared one."""
     return f"{shared_dir(spark)}/sparkveil/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df, label: str = "stage"):
-    """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = run_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

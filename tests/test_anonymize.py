@@ -112,6 +112,12 @@ def test_loss_by_hand(spark):
     assert {r["id"]: r["information_loss"] for r in joined.collect()} == pytest.approx(loss)
 
 
+def test_loss_of_a_whole_set(spark):
+    df = spark.createDataFrame([("1", 20), ("2", 40)], "id string, age int")
+    row = ut.dataset_loss(df, config.k_anonymity(15)).first()
+    assert (row["records"], row["information_loss"], row["privacy_level"]) == (2, 0.5, pytest.approx(14 / 15))
+
+
 def test_numeric_loss_uses_the_range(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, None), (None, None), (4.0, -100.0)], "a double, b double")
     rows = df.select(ut.field_loss(F.col("a"), df.schema["a"].dataType, F.col("b"), df.schema["b"].dataType, F.lit(10.0)).alias("l")).collect()

@@ -66,6 +66,20 @@ def test_cleaning_goes_through_nested_values(spark):
     assert rows[1]["s"] is None
 
 
+def test_json_lines_and_stored_names(spark):
+    df = spark.createDataFrame([(1, math.nan, None)], "k int, x double, t string")
+    assert sinks.to_json_lines(df).first()["value"] == '{"k":1,"x":null,"t":null}'
+    name = spark.range(1).select(files.stored_name(F.lit("a.csv"), F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("n")).first()["n"]
+    assert name == "20240102_030405_a.csv"
+
+
+def test_column_roles_of_the_generated_sets(spark):
+    base = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    df = gen.records(spark, "ecommerce", 500, base)
+    plain, aliased = (df.select(co.violation_count(df, "ecommerce", aliases=a).alias("n")).agg(F.sum("n")).first()[0] for a in (None, sc.ALIASES["ecommerce"]))
+    assert aliased == plain + df.filter("NOT consent_marketing").count()
+
+
 def test_messages_survive_the_round_trip(spark):
     df = spark.createDataFrame([(1, "a\"b", None), (2, None, 2.5)], "id int, t string, x double")
     back = topics.parse(topics.as_messages(df), df.schema)
