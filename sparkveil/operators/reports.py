@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkveil.plans.joins import left_join_many
+
 
 def newest(df: DataFrame, column: str = "created_at") -> Column:
     """The newest time of a table as a scalar subquery, to stand in for "now"."""
@@ -65,14 +67,12 @@ def processing_summary(files: DataFrame, users: DataFrame, jobs: DataFrame, viol
     counted = violations.groupBy("file_id").agg(F.count("*").alias("compliance_violations"))
     owners = users.select(F.col("user_id").alias("created_by"), F.col("username").alias("uploaded_by"))
     details = jobs.select("file_id", "job_id", "pipeline_type", F.col("status").alias("processing_status"), "processing_time_seconds")
-    return (
-        files.join(owners, "created_by")
-        .join(counted, "file_id", "left")
-        .join(details, "file_id", "left")
-        .select(
-            "file_id", "filename", "uploaded_by", "job_id", "pipeline_type", "processing_status", "processing_time_seconds",
-            F.coalesce("compliance_violations", F.lit(0)).alias("compliance_violations"),
-        )
+    described = files.join(owners, "created_by").join(counted, "file_id", "left").select(
+        "file_id", "filename", "uploaded_by", F.coalesce("compliance_violations", F.lit(0)).alias("compliance_violations")
+    )
+    return left_join_many(described, details, "file_id").select(
+        "file_id", "filename", "uploaded_by", "job_id", "pipeline_type", "processing_status", "processing_time_seconds",
+        "compliance_violations",
     )
 
 

@@ -1,4 +1,4 @@
-"""Group statistics without hot windows."""
+"""Group statistics and joins that stay even when one key is hot."""
 
 from __future__ import annotations
 
@@ -16,3 +16,15 @@ def with_group_stats(df: DataFrame, keys: list[str], **stats) -> DataFrame:
     grouped = df.groupBy(*keys).agg(*[v.alias(n) for n, v in stats.items()])
     right = grouped.select(F.struct(*keys).alias("__key"), *stats)
     return df.select("*", F.struct(*keys).alias("__key")).join(right, "__key", "left").drop("__key")
+
+
+def left_join_many(few: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """Left join of a side with unique keys to one that may hold very many rows per key.
+
+    Spark can split a hot partition of a left join on the preserved side only, and can broadcast
+    only the other side. Written as an inner join plus the keys without partner, the big side may
+    be split, or the small side broadcast. The keys of the big side are reduced before the anti join.
+    """
+    matched = many.join(few, key)
+    alone = few.join(many.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)

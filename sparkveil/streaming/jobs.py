@@ -155,7 +155,7 @@ def block_withdrawn(stream: DataFrame, consent: DataFrame, subject: str, event_t
     """Events with a `blocked` flag: true after their subject withdrew consent.
 
     Stream-static left join on the subject: the stream is the preserved side, so a hot
-    subject needs no state and no grouping.
+    subject needs no state and no grouping, and the trigger limit bounds what one batch joins.
     """
     joined = stream.join(consent, subject, "left")
     after = F.col(event_time) >= F.col("consent_changed_at")

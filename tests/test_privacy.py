@@ -130,6 +130,15 @@ def test_many_ranges_use_blocks_of_limits(spark):
     assert out.select("k", "s").exceptAll(expected).count() == 0 and out.count() == 3000
 
 
+def test_left_join_to_many(spark):
+    from sparkveil.plans.joins import left_join_many
+
+    few = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string")
+    many = spark.createDataFrame([(1, 10), (1, 11), (3, 12)], "k int, v int")
+    rows = left_join_many(few, many, "k").select("k", "t", "v").collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, "a", 10), (1, "a", 11), (2, "b", None)]
+
+
 def test_group_stats_keep_null_groups(spark):
     from sparkveil.plans.joins import with_group_stats
 
