@@ -212,6 +212,11 @@ def register_method(name: str, build: Callable[[T.StructType, Anonymization], di
     _CUSTOM[name] = build
 
 
+def effect(settings: Anonymization) -> tuple:
+    """Equal for settings that change records in the same way: k values of one ladder rung do."""
+    return (settings.method, _tier(settings.k)) if settings.method == K_ANONYMITY else (settings,)
+
+
 def prepare(df: DataFrame, settings: Anonymization, key: str = "id", seed: str = "") -> DataFrame:
     """Records with the helper columns a method needs.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sparkveil.plans.numbering import running_sum
 
 MAX_CELLS = 10_000  # factor combinations the two-way test takes to the driver
+MAX_GROUPS = 1_000  # groups whose means are compared pairwise
 
 
 def _tails():
@@ -197,23 +198,27 @@ def two_way_anova(df: DataFrame, value: str, first: str, second: str) -> DataFra
 def tukey_hsd(df: DataFrame, value: str, group: str) -> DataFrame:
     """All pairs of group means with the studentized range test (Tukey-Kramer).
 
-    Pairs are formed over group moments, one row per group, never over records.
+    Pairs are formed over group moments, one small struct per group, never over records; more
+    than `MAX_GROUPS` groups are refused before any pair is formed.
     """
     moments = _moments(df, value, group)
-    sums = _within(moments).select(
-        (F.col("ss_within") / (F.col("n") - F.col("groups"))).alias("ms"), (F.col("n") - F.col("groups")).cast("double").alias("free"),
-        F.col("groups").alias("k"),
+    if moments.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups of {group}")
+    row = moments.agg(
+        F.array_sort(F.collect_list(F.struct("g", "n", "mean"))).alias("gs"), F.count("*").alias("k"),
+        (F.sum("n") - F.count("*")).cast("double").alias("free"), F.sum((F.col("n") - 1) * F.col("var")).alias("ss"),
     )
-    shared = sums.select(F.struct("ms", "free", "k").alias("s")).scalar()
-    left = moments.select(F.col("g").alias("group_a"), F.col("n").alias("na"), F.col("mean").alias("ma"))
-    right = moments.select(F.col("g").alias("group_b"), F.col("n").alias("nb"), F.col("mean").alias("mb"))
-    pairs = left.join(right, F.col("group_a") < F.col("group_b")).select("*", shared.alias("s"))
-    spread = F.sqrt(F.col("s.ms") / 2 * (1 / F.col("na") + 1 / F.col("nb")))
+    first = row.select("*", F.posexplode("gs").alias("i", "a"))
+    pairs = first.select("*", F.explode(F.slice("gs", F.col("i") + 2, F.size("gs"))).alias("b"))
+    spread = F.sqrt(F.col("ss") / F.col("free") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))
+    difference = F.col("b.mean") - F.col("a.mean")
     tested = pairs.select(
-        "group_a", "group_b", (F.col("mb") - F.col("ma")).alias("difference"), (F.abs(F.col("mb") - F.col("ma")) / spread).alias("q"),
-        F.col("s.k").alias("k"), F.col("s.free").alias("free"),
+        F.col("a.g").alias("group_a"), F.col("b.g").alias("group_b"), difference.alias("difference"),
+        (F.abs(difference) / spread).alias("q"), "k", "free",
+    )
+    return tested.select(
+        "group_a", "group_b", "difference", "q", _per_row(studentized_range_p, "q", "k", "free").alias("p_value")
     )
-    return tested.select("group_a", "group_b", "difference", "q", _per_row(studentized_range_p, "q", "k", "free").alias("p_value"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -79,15 +79,17 @@ def with_losses(
     prepared = df
     for s in settings:
         prepared = an.prepare(prepared, s, key, seed)
+    effects = [an.effect(s) for s in settings]
+    source = [effects.index(e) for e in effects]  # settings with the same effect share their columns
     changed = [an.changed_columns(df.schema, s, secret, seed) for s in settings]
     staged = prepared.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        *[v.alias(f"__c{i}_{c}") for i, columns in enumerate(changed) for c, v in columns.items()],
+        *[v.alias(f"__c{i}_{c}") for i, columns in enumerate(changed) if source[i] == i for c, v in columns.items()],
     )
     after = {f.name: f.dataType for f in staged.schema.fields}
     # Ranges only matter where original and changed value are both numbers.
     numeric = sorted({
-        c for i, columns in enumerate(changed) for c in columns
+        c for i, columns in zip(source, changed) for c in columns
         if isinstance(types[c], _NUMERIC) and isinstance(after[f"__c{i}_{c}"], _NUMERIC)
     })
     ranges = _range_columns(df, numeric)
@@ -96,7 +98,7 @@ def with_losses(
             c: field_loss(F.col(c), types[c], F.col(f"__c{i}_{c}"), after[f"__c{i}_{c}"], ranges.get(c))
             for c in columns
         }
-        for i, columns in enumerate(changed)
+        for i, columns in zip(source, changed)
     ]
     return staged, losses
 
@@ -133,9 +135,11 @@ def grid_loss(df: DataFrame, settings: list[Anonymization], key: str = "id", **k
     once and no row is multiplied: every setting is one aggregate column.
     """
     staged, losses = with_losses(df, settings, key, **kwargs)
-    fields = _field_count(df)
+    fields, effects = _field_count(df), [an.effect(s) for s in settings]
+    source = [effects.index(e) for e in effects]
     means = staged.agg(
-        F.count("*").alias("records"), *[F.avg(_mean_loss(l, fields)).alias(f"m{i}") for i, l in enumerate(losses)]
+        F.count("*").alias("records"),
+        *[F.avg(_mean_loss(l, fields)).alias(f"m{i}") for i, l in enumerate(losses) if source[i] == i],
     )
     rows = [
         F.struct(
@@ -144,7 +148,7 @@ def grid_loss(df: DataFrame, settings: list[Anonymization], key: str = "id", **k
             (F.lit(1.0) - F.col(f"m{i}")).alias("utility_preservation"),
             F.lit(privacy_level(s)).alias("privacy_level"),
         )
-        for i, s in enumerate(settings)
+        for i, s in zip(source, settings)
     ]
     return means.select(F.inline(F.array(*rows)))
 
