@@ -67,12 +67,11 @@ def processing_summary(files: DataFrame, users: DataFrame, jobs: DataFrame, viol
     counted = violations.groupBy("file_id").agg(F.count("*").alias("compliance_violations"))
     owners = users.select(F.col("user_id").alias("created_by"), F.col("username").alias("uploaded_by"))
     details = jobs.select("file_id", "job_id", "pipeline_type", F.col("status").alias("processing_status"), "processing_time_seconds")
-    described = files.join(owners, "created_by").join(counted, "file_id", "left").select(
-        "file_id", "filename", "uploaded_by", F.coalesce("compliance_violations", F.lit(0)).alias("compliance_violations")
-    )
-    return left_join_many(described, details, "file_id").select(
+    described = files.join(owners, "created_by").select("file_id", "filename", "uploaded_by")
+    # The violations are counted once; the count joins last because both parts of the job join read their inputs.
+    return left_join_many(described, details, "file_id").join(counted, "file_id", "left").select(
         "file_id", "filename", "uploaded_by", "job_id", "pipeline_type", "processing_status", "processing_time_seconds",
-        "compliance_violations",
+        F.coalesce("compliance_violations", F.lit(0)).alias("compliance_violations"),
     )
 
 
