@@ -96,3 +96,11 @@ def test_erasure_and_breach_clock(spark):
     told = spark.createDataFrame([("x", "2024-01-04 00:00:00")], "k string, t string").select("k", F.to_timestamp("t").alias("notified_at"))
     rows = {r["k"]: r["overdue"] for r in gv.breach_clock(found, told, "k", F.lit("2024-01-05").cast("timestamp")).collect()}
     assert rows == {"x": False, "y": True}
+
+
+def test_learned_route_recovers_a_threshold(spark):
+    df = spark.range(600).select((F.col("id") % 100).cast("double").alias("size"), F.lit(1.0).alias("other")).withColumn(
+        "label", (F.col("size") > 60).cast("double"))
+    scored = ro.learned_route(df, ["size", "other"], "label", 100).transform(df)
+    wrong = scored.filter("prediction <> label")
+    assert wrong.count() <= 18 and wrong.filter("abs(size - 60) > 3").count() == 0
