@@ -41,12 +41,13 @@ def default_model() -> str:
 
 
 @functools.lru_cache(1)
-def pieces(path: str) -> tuple[tuple[str, int, int, int], ...]:
-    """(piece, id, turn, shift) of the pieces that merging can make, control and byte pieces left out.
+def pieces(path: str) -> tuple[tuple[str, int, int, int, int], ...]:
+    """(piece, id, turn, shift, span) of the pieces that merging can make, control and byte pieces left out.
 
     `turn` is the rank of the last merge a piece needs when it is built alone, `shift` the place in the piece
-    where that merge begins (the last such place among merges of one rank). Edges taken by turn, then by start
-    plus shift, then by length never come before their parts. The table has as many rows as the vocabulary file.
+    where that merge begins (the last such place among merges of one rank) and `span` its length. Edges taken
+    by turn, then by start plus shift, span and length never come before their parts. The table has as many
+    rows as the vocabulary file.
     """
     import sentencepiece
 
@@ -55,15 +56,17 @@ def pieces(path: str) -> tuple[tuple[str, int, int, int], ...]:
     score = {model.id_to_piece(i): model.get_score(i) for i in plain}
     ranks = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
     rank = {p: ranks[s] for p, s in score.items()}
+    if len(ranks) >= 1 << 17:
+        raise ValueError("more merge ranks than an edge can hold")
 
-    def built(piece: str) -> tuple[int, int]:
-        parts, last = list(piece), (0, 0)
+    def built(piece: str) -> tuple[int, int, int]:
+        parts, last = list(piece), (0, 0, 1)
         while len(parts) > 1:
             options = [(rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank]
             if not options:
-                return (1 << 23) - 1, 0  # cannot be reached
+                return (1 << 17) - 1, 0, len(piece)  # cannot be reached
             order, i = min(options)
-            last = max(last, (order, sum(map(len, parts[:i]))))
+            last = max(last, (order, sum(map(len, parts[:i])), len(parts[i]) + len(parts[i + 1])))
             parts[i:i + 2] = ["".join(parts[i:i + 2])]
         return last
 
@@ -71,8 +74,8 @@ def pieces(path: str) -> tuple[tuple[str, int, int, int], ...]:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, turn, shift): as many rows as the vocabulary file has pieces."""
-    return spark.createDataFrame([*pieces(path)], "piece string, id int, turn int, shift int")
+    """(piece, id, turn, shift, span): as many rows as the vocabulary file has pieces."""
+    return spark.createDataFrame([*pieces(path)], "piece string, id int, turn int, shift int, span int")
 
 
 @functools.lru_cache(1)
@@ -126,8 +129,8 @@ def _block_scan(path: str):
 
 #: Bits of the filter that substrings pass before the join; it only ever lets too many through.
 FILTER_BITS = 1 << 18
-# An edge is two numbers: turn (24 bits), start plus shift (31), length (8), in merge order; and start (31), id (24).
-_TURN, _AT, _LENGTH, _ID = 1 << 39, 1 << 8, 1 << 8, 1 << 24
+# An edge is two numbers: turn (17 bits), start plus shift (30), span (8), length (8), in merge order; and start, id (24).
+_TURN, _AT, _LENGTH, _ID = 1 << 46, 1 << 16, 1 << 8, 1 << 24
 
 
 def _filter_words(table: DataFrame) -> str:
@@ -151,7 +154,7 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     """)
     parts = words.select("word", subs.alias("e")).select("word", "e.*")
     edges = parts.join(F.broadcast(table), F.col("text") == F.col("piece"), "left").where("id IS NOT NULL OR length = 1")
-    key = F.expr(f"coalesce(turn, 0) * {_TURN}L + (start + coalesce(shift, 0)) * {_AT}L + length")
+    key = F.expr(f"coalesce(turn, 0) * {_TURN}L + (start + coalesce(shift, 0)) * {_AT}L + coalesce(span, 0) * {_LENGTH}L + length")
     code = F.expr(f"start * {_ID}L + coalesce(id, 0)")
     return edges.groupBy("word").agg(F.collect_list(F.struct(key.alias("key"), code.alias("code"))).alias("edges"))
 
