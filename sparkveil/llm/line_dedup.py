@@ -23,8 +23,8 @@ from sparkveil.llm.common import materialize
 ABOVE, BELOW = 4, 5
 #: Lines in a prefix word's bucket up to which all its pairs are tried at once.
 BUCKET = 256
-#: Cells of the table of word counts.
-CELLS = 1 << 14
+#: Cells of the table of word counts, and of its 4-bit levels in one 64-bit number.
+CELLS, PACKED = 1 << 17, 16
 
 
 def _words(line: Column) -> Column:
@@ -43,20 +43,26 @@ def _cell(word: Column) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> Column:
-    """Array of CELLS levels: three per doubling of the count of all words that hash to the cell."""
+    """Array of CELLS 4-bit levels, PACKED to a number: how often, by powers of two, all words that hash to the cell occur."""
     words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("w"))
     counts = words.groupBy(_cell(F.col("w")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    levels = [0] * CELLS
-    for row in counts.select("cell", F.least(F.lit(126), F.floor(F.log2("n") * 3)).alias("level")).collect():  # at most CELLS rows
-        levels[row.cell] = row.level
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+    # Levels count down from the commonest cell, so that they tell common words apart at every size of the corpus.
+    rows = counts.select("cell", F.floor(F.log2("n")).alias("level")).collect()  # at most CELLS rows
+    top = max((r.level for r in rows), default=0)
+    packed = [0] * (CELLS // PACKED)
+    for row in rows:
+        packed[row.cell // PACKED] |= max(0, 15 - top + row.level) << 4 * (row.cell % PACKED)
+    signed = [x - (1 << 64) if x >> 63 else x for x in packed]
+    return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
 
 
 def _tokens(words: Column, table: Column) -> Column:
-    """One number per word, rarest first: the level of its count above 56 bits of its hash."""
+    """One number per word, rarest first: the level of its cell above 58 bits of its hash."""
     def token(w: Column) -> Column:
-        level = F.element_at(table, _cell(w) + 1)
-        return F.shiftleft(level, 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
+        cell = _cell(w)
+        numbers = F.element_at(table, F.floor(cell / PACKED).cast("int") + 1)
+        level = F.call_function("shiftrightunsigned", numbers, (cell % PACKED) * 4).bitwiseAND(F.lit(15).cast("long"))
+        return F.shiftleft(level, 58).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 58) - 1)))
 
     return F.sort_array(F.transform(words, token))
 
