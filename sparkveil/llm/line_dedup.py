@@ -31,21 +31,18 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.translate(line, "\t\x0b\x0c\r\n", " " * 5), " "), lambda w: w != "")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, words): the distinct words of every line that has any. Rows without doc_id take no part."""
-    text = F.split(F.coalesce("text", F.lit("")), "\n")
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(text).alias("line", "text"))
-    return own.select("doc", "line", F.array_distinct(_words(F.col("text"))).alias("words")).where(F.size("words") > 0)
+def _split(text: Column) -> Column:
+    return F.split(F.translate(text, "\t\x0b\x0c\r\n", " " * 5), " ")
 
 
-def _cell(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(CELLS)).cast("int")
+def _cell(code: Column) -> Column:
+    return F.pmod(code, F.lit(CELLS)).cast("int")
 
 
 def rarity_table(docs: DataFrame) -> Column:
     """Array of CELLS 4-bit levels, PACKED to a number: how often, by powers of two, all words that hash to the cell occur."""
-    words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("w"))
-    counts = words.groupBy(_cell(F.col("w")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(_split(F.coalesce("text", F.lit("")))).alias("w")).where("w <> ''")
+    counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     # Levels count down from the commonest cell, so that they tell common words apart at every size of the corpus.
     rows = counts.select("cell", F.floor(F.log2("n")).alias("level")).collect()  # at most CELLS rows
     top = max((r.level for r in rows), default=0)
@@ -56,30 +53,40 @@ def rarity_table(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
 
 
-def _tokens(words: Column, table: Column) -> Column:
-    """One number per word, rarest first: the level of its cell above 58 bits of its hash."""
-    def token(w: Column) -> Column:
-        cell = _cell(w)
-        numbers = F.element_at(table, F.floor(cell / PACKED).cast("int") + 1)
-        level = F.call_function("shiftrightunsigned", numbers, (cell % PACKED) * 4).bitwiseAND(F.lit(15).cast("long"))
-        return F.shiftleft(level, 58).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 58) - 1)))
+def _tokens(text: Column, table: Column) -> Column:
+    """One number per distinct word, rarest first: the level of its cell above 58 bits of its hash."""
+    def token(code: Column) -> Column:
+        cell = _cell(code)
+        levels = F.element_at(table, F.call_function("shiftright", cell, F.lit(4)) + 1)
+        level = F.call_function("shiftright", levels, cell.bitwiseAND(F.lit(15)) * 4).bitwiseAND(F.lit(15).cast("long"))
+        return F.shiftleft(level, 58).bitwiseOR(code.bitwiseAND(F.lit((1 << 58) - 1)))
 
-    return F.sort_array(F.transform(words, token))
+    codes = F.array_distinct(F.array_remove(F.transform(_split(text), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    return F.sort_array(F.transform(codes, token))
 
 
 def distinct_sets(docs: DataFrame) -> DataFrame:
-    """(doc, line, size, prefix, bits) of the first line of every group of lines with equal word sets."""
-    own = lines(docs).select("doc", "line", _tokens(F.col("words"), rarity_table(docs)).alias("t"))
+    """(doc, line, size, prefix, bits) of the first line of every group of lines with equal word sets.
+
+    `bits` has the parity of the words per hash bit. Rows without doc_id and lines without words take no part.
+    """
+    text = F.split(F.coalesce("text", F.lit("")), "\n")
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(text).alias("line", "text"))
+    own = own.select("doc", "line", _tokens(F.col("text"), rarity_table(docs)).alias("t")).where(F.size("t") > 0)
     one = F.lit(1).cast("long")
-    bits = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", one, F.pmod(t, F.lit(64)).cast("int"))))
-    prefix = F.expr(f"slice(t, 1, cast(size(t) - ({ABOVE} * size(t) + {BELOW - 1}) div {BELOW} + 1 AS int))")
-    sets = own.select(
+    bits = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
+    prefix = F.expr("slice(t, 1, prefix_size)")
+    sets = own.withColumn("prefix_size", _prefix_size("size(t)")).select(
         F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"),
         F.struct("doc", "line", F.size("t").alias("size"), prefix.alias("prefix"), bits.alias("bits")).alias("set"),
     )
     return sets.groupBy("h1", "h2").agg(F.min("set").alias("set")).select("set.*")
 
 
+def _prefix_size(size: str) -> Column:
+    return F.expr(f"cast({size} - ({ABOVE} * {size} + {BELOW - 1}) div {BELOW} + 1 AS int)")
+
+
 def _fits() -> Column:
     """Whether b stands before a and passes the length, position and signature filters; each only drops pairs below 4/5.
 
@@ -87,59 +94,84 @@ def _fits() -> Column:
     only; the overlap is at most the words before the shared one plus those from it on.
     """
     return F.expr(
-        "(a.doc > b.doc OR (a.doc = b.doc AND a.line > b.line))"
-        f" AND {BELOW} * least(a.size, b.size) >= {ABOVE} * greatest(a.size, b.size)"
-        f" AND {ABOVE + BELOW} * (least(a.place, b.place) + least(a.size - a.place, b.size - b.place)) >= {ABOVE} * (a.size + b.size)"
-        f" AND {ABOVE + BELOW} * bit_count(a.bits ^ b.bits) <= {BELOW - ABOVE} * (a.size + b.size)"
+        "(doc > b_doc OR (doc = b_doc AND line > b_line))"
+        f" AND {BELOW} * least(size, b_size) >= {ABOVE} * greatest(size, b_size)"
+        f" AND {ABOVE + BELOW} * (least(place, b_place) + least(size - place, b_size - b_place)) >= {ABOVE} * (size + b_size)"
+        f" AND {ABOVE + BELOW} * bit_count(bits ^ b_bits) <= {BELOW - ABOVE} * (size + b_size)"
     )
 
 
-_PAIR = {"doc": "a.doc", "line": "a.line", "to_doc": "b.doc", "to_line": "b.line"}
 _ROW = ("doc", "line", "size", "place", "bits")
+_PAIR = ("doc", "line", "b_doc", "b_line")
 
 
-def _first_candidates(sets: DataFrame) -> DataFrame:
-    """(a, b, token, hot): pairs of prefix rows to verify, and, with b null, the rows of large buckets for a second round."""
+def _placed(sets: DataFrame) -> DataFrame:
+    """Prefix rows (token, doc, line, size, place, bits, n, first, before): with the number of lines in the token's
+    bucket, its first line and the one before."""
     rows = sets.select("doc", "line", "size", "bits", F.posexplode("prefix").alias("place", "token"))
     bucket = Window.partitionBy("token")
     along = bucket.orderBy("doc", "line")
     own = F.struct(*_ROW)
-    placed = rows.select("token", own.alias("a"), F.count(F.lit(1)).over(bucket).alias("n"), F.first(own).over(along).alias("first"), F.lag(own).over(along).alias("before")).where("n > 1")
-    small = placed.where(F.col("n") <= BUCKET)
-    left, right = small.select("token", "a"), small.select(F.col("token").alias("to"), F.col("a").alias("b"))
-    pairs = left.join(right, (F.col("token") == F.col("to")) & _fits()).select("a", "b", "token")
-    large = placed.where(F.col("n") > BUCKET)
-    near = large.select("a", F.explode(F.array("first", "before")).alias("b"), "token").where(F.col("b").isNotNull() & _fits())
-    return pairs.unionByName(near).unionByName(large.select("a", F.lit(None).cast(large.schema["a"].dataType).alias("b"), "token"))
+    return rows.select(
+        "token", *_ROW, F.count(F.lit(1)).over(bucket).alias("n"), F.first(own).over(along).alias("first"), F.lag(own).over(along).alias("before")
+    ).where("n > 1")
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of prefix rows of one bucket that pass the filters."""
+    right = right.select(F.col("token").alias("b_token"), *[F.col(c).alias(f"b_{c}") for c in _ROW])
+    pairs = left.select("token", *_ROW).join(right, (F.col("token") == F.col("b_token")) & _fits())
+    return pairs.select(*_PAIR, "size", "b_size")
+
+
+def _near(large: DataFrame) -> DataFrame:
+    """Pairs of prefix rows with their bucket's first row and the row before."""
+    rows = large.select(*_ROW, F.explode(F.array("first", "before")).alias("other")).where(F.col("other").isNotNull())
+    rows = rows.select(*_ROW, *[F.col("other")[c].alias(f"b_{c}") for c in _ROW])
+    return rows.where(_fits()).select(*_PAIR, "size", "b_size")
+
+
+def _pairs(met: DataFrame, complete: bool) -> DataFrame:
+    """(doc, line, b_doc, b_line), each pair once.
+
+    Where all shared prefix words are `complete`, their number bounds the overlap too: what is shared beyond
+    them lies behind the prefix of one of the two.
+    """
+    pairs = met.groupBy(*_PAIR, "size", "b_size").agg(F.count(F.lit(1)).alias("shared"))
+    if complete:
+        behind = F.greatest(F.col("size") - _prefix_size("size"), F.col("b_size") - _prefix_size("b_size"))
+        pairs = pairs.where((ABOVE + BELOW) * (F.col("shared") + behind) >= ABOVE * (F.col("size") + F.col("b_size")))
+    return pairs.select(*_PAIR)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc, line) of the first side of the pairs whose words have a Jaccard similarity of 4/5 or more."""
-    ids = pairs.select("doc", "line").union(pairs.select("to_doc", "to_line")).distinct()
+    ids = pairs.select("doc", "line").union(pairs.select("b_doc", "b_line")).distinct()
     wanted = ids.groupBy("doc").agg(F.collect_set("line").alias("wanted"))  # at most the lines of one document
-    text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc")
-    chosen = text.select("doc", F.explode("wanted").alias("line"), F.split("text", "\n").alias("all"))
-    words = chosen.select("doc", "line", F.array_distinct(_words(F.get("all", F.col("line")))).alias("words"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n").alias("all")).join(wanted, "doc")
+    chosen = text.select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("text")))).alias("x")).select("doc", "x.*")
+    words = chosen.select("doc", "line", F.array_distinct(F.array_remove(_split(F.col("text")), "")).alias("words"))
     words = materialize(words, "line-words")
-    one = pairs.join(words, ["doc", "line"])
-    other = words.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words"))
-    both = one.join(other, ["to_doc", "to_line"])
-    shared = F.size(F.array_intersect("words", "to_words"))
-    close = BELOW * shared >= ABOVE * (F.size("words") + F.size("to_words") - shared)
+    other = words.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("b_words"))
+    both = pairs.join(words, ["doc", "line"]).join(other, ["b_doc", "b_line"])
+    shared = F.size(F.array_intersect("words", "b_words"))
+    close = BELOW * shared >= ABOVE * (F.size("words") + F.size("b_words") - shared)
     return both.where(close).select("doc", "line").distinct()
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of the lines that stay, of those that have words."""
     sets = materialize(distinct_sets(docs), "line-sets")
-    found = materialize(_first_candidates(sets), "line-candidates")
-    gone = materialize(_verified(docs, found.where("b IS NOT NULL").select(*[F.col(c).alias(n) for n, c in _PAIR.items()]).distinct()), "line-matched")
-    rest = found.where("b IS NULL").select("token", "a")
-    if not rest.isEmpty():
-        open_rows = rest.join(gone, (F.col("a.doc") == gone["doc"]) & (F.col("a.line") == gone["line"]), "left_anti")
-        right = rest.select(F.col("token").alias("to"), F.col("a").alias("b"))
-        pairs = open_rows.join(right, (F.col("token") == F.col("to")) & _fits()).select(*[F.col(c).alias(n) for n, c in _PAIR.items()]).distinct()
-        gone = gone.unionByName(_verified(docs, materialize(pairs, "line-second"))).distinct()
+    placed = _placed(sets)
+    large = materialize(placed.where(F.col("n") > BUCKET), "line-large")
+    small = placed.where(F.col("n") <= BUCKET)
+    if large.isEmpty():
+        gone = materialize(_verified(docs, materialize(_pairs(_met(small, small), True), "line-pairs")), "line-matched")
+    else:
+        pairs = materialize(_pairs(_met(small, small).unionByName(_near(large)), False), "line-pairs")
+        gone = materialize(_verified(docs, pairs), "line-matched")
+        open_rows = large.join(gone, ["doc", "line"], "left_anti")
+        gone = gone.unionByName(_verified(docs, materialize(_pairs(_met(open_rows, large), False), "line-second"))).distinct()
     return sets.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
 
 
