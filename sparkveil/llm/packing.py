@@ -212,10 +212,10 @@ def swap_search(lengths: list[int], bins: list[list[int]], capacity: int, search
                     put(d, to)
                 moved = True
                 break
-        if not members[target]:
-            used -= 1
-            stuck.clear()
-        elif not moved:
+        used -= not members[target]
+        if moved:
+            stuck.clear()  # every step raises the sum of squares, so this ends
+        else:
             stuck.add(target)
     return [sorted(m) for m in members if m]
 
