@@ -199,7 +199,7 @@ _LEVEL = f"CASE WHEN {_ROLE} IN ('admin', 'compliance_officer') THEN 'full' WHEN
 
 def _redact_sql(c: str) -> str:
     masked = f"regexp_replace(regexp_replace(regexp_replace({c}, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g')"
-    return f"CASE {_LEVEL} WHEN 'full' THEN {c} WHEN 'partial' THEN '****' || right({c}, 4) WHEN 'masked' THEN {masked} END"
+    return f"CASE {_LEVEL} WHEN 'full' THEN {c} WHEN 'partial' THEN '****' || right({c}, CAST(least(4, length({c}) // 2) AS INTEGER)) WHEN 'masked' THEN {masked} END"
 
 
 def _reader(df):

@@ -14,7 +14,7 @@ _FIELDS = ("c_mktsegment", "c_name", "c_nationkey", "record_id")
 def hash_sql(alias: str = "") -> str:
     """Canonical hash of a v_baseline / v_current record."""
     p = f"{alias}." if alias else ""
-    parts = ", ".join(f"'{c}', coalesce(CAST({p}{c} AS VARCHAR), chr(0))" for c in _FIELDS)
+    parts = ", ".join(f"'{c}', CASE WHEN {p}{c} IS NULL THEN 'N' ELSE 'V' || strlen(CAST({p}{c} AS VARCHAR)) || ':' || CAST({p}{c} AS VARCHAR) END" for c in _FIELDS)
     return f"sha256(concat_ws(chr(1), {parts}))"
 
 

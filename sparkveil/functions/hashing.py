@@ -51,9 +51,15 @@ def canonical_text(column: Column, data_type: T.DataType) -> Column:
 
 
 def record_hash(schema: T.StructType, exclude: tuple[str, ...] = ()) -> Column:
-    """SHA-256 of a record: fields in name order, each with its name and a marker for NULL."""
+    """SHA-256 of a record: fields in name order, each with its name and its value as `N` or `V<bytes>:<text>`.
+
+    With the length in front no text can pass for a border between fields or for a missing value.
+    """
     fields = sorted((f for f in schema.fields if f.name not in exclude), key=lambda f: f.name)
     parts = []
     for field in fields:
-        parts += [F.lit(field.name), canonical_text(F.col(f"`{field.name}`"), field.dataType)]
+        column = F.col(f"`{field.name}`")
+        text = canonical_text(column, field.dataType)
+        value = F.concat(F.lit("V"), F.octet_length(text), F.lit(":"), text)
+        parts += [F.lit(field.name), F.when(column.isNull(), F.lit("N")).otherwise(value)]
     return F.sha2(F.concat_ws(_SEPARATOR, *parts), 256)

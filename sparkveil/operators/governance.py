@@ -64,9 +64,9 @@ ACCESS_LEVELS = {
 
 
 def redact(value: Column, level: Column) -> Column:
-    """Full value, last four characters, letters and digits masked, or nothing."""
+    """Full value, its end (at most four characters and half of it), letters and digits masked, or nothing."""
     masked = F.mask(value)
-    partial = F.concat(F.lit("****"), F.right(value, F.lit(4)))
+    partial = F.concat(F.lit("****"), F.right(value, F.least(F.lit(4), F.floor(F.length(value) / 2).cast("int"))))
     return F.when(level == "full", value).when(level == "partial", partial).when(level == "masked", masked)
 
 

@@ -257,16 +257,23 @@ def volume_route(df: DataFrame, source: str, threshold: int) -> DataFrame:
 
 
 def learned_route(df: DataFrame, features: list[str], label: str, max_iterations: int = 20):
-    """Documented strategy: a logistic regression trained on past decisions (label 1 = batch)."""
+    """Documented strategy: a logistic regression trained on past decisions (label 1 = batch).
+
+    Records with a missing or unreadable feature are not trained on. They are scored with the others: every
+    feature counts as 0 there, so each record of the input has a prediction.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
 
+    read = [f"coalesce(nanvl(try_cast(`{c}` AS DOUBLE), NULL), 0D) AS __in_{i}" for i, c in enumerate(features)]
     stages = [
-        VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="skip"),
+        SQLTransformer(statement=f"SELECT *, {', '.join(read)} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"__in_{i}" for i in range(len(features))], outputCol="__features"),
         LogisticRegression(featuresCol="__features", labelCol=label, maxIter=max_iterations, standardization=True),
     ]
-    return Pipeline(stages=stages).fit(df)
+    whole = " AND ".join(f"NOT isnan(try_cast(`{c}` AS DOUBLE)) AND try_cast(`{c}` AS DOUBLE) IS NOT NULL" for c in features)
+    return Pipeline(stages=stages).fit(df.where(whole).where(F.col(label).isNotNull()))
 
 
 def statistics(decided: DataFrame, route: str = "decision.route", reason: str = "decision.reason") -> DataFrame:

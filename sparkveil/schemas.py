@@ -62,81 +62,71 @@ class Schema:
         }
 
 
-def _schema(name: str, data_type: str, text: str) -> Schema:
-    """Fields written one per line as `name type tags`: `!` not nullable, `*` sensitive, the rest rule tags."""
-    fields = []
-    for line in text.strip().splitlines():
-        column, kind, *tags = line.split()
-        rules = tuple(t for t in tags if t not in "!*")
-        fields.append(Field(column, kind, "!" not in tags, rules, "*" in tags))
-    return Schema(name, data_type, tuple(fields))
-
-
-# The declared record schemas.
-HEALTHCARE = _schema("healthcare_v1", "healthcare", """
-id string !
-patient_name string * HIPAA_PHI
-ssn string * HIPAA_PHI
-phone string * HIPAA_PHI
-email string * HIPAA_PHI
-diagnosis string * HIPAA_PHI
-treatment_date timestamp
-has_violation boolean
-violation_type string
-timestamp timestamp
-medical_record_number string * HIPAA_PHI
-doctor_name string * HIPAA_PHI
-insurance_id string * HIPAA_PHI
-""")
-FINANCIAL = _schema("financial_v1", "financial", """
-id string !
-customer_name string * GDPR_PII
-account_number string * GDPR_PII
-transaction_amount double
-transaction_date timestamp
-location string
-consent_given boolean GDPR_CONSENT
-has_violation boolean
-violation_type string
-timestamp timestamp
-customer_id string * GDPR_PII
-credit_score int * GDPR_PII
-data_retention_days int
-""")
-CUSTOMER = _schema("customer_v1", "customer", """
-id string !
-name string * PII
-email string * PII
-phone string * PII
-address string * PII
-date_of_birth date * PII
-created_at timestamp
-updated_at timestamp
-""")
-ECOMMERCE = _schema("ecommerce_v1", "customer", """
-order_id string !
-customer_email string * PII GDPR_PII
-customer_name string * PII
-credit_card string * PCI_DSS
-billing_address string * PII
-product_name string
-order_amount double
-order_date timestamp
-shipping_address string * PII
-consent_marketing boolean GDPR_CONSENT
-timestamp timestamp
-""")
-IOT = _schema("iot_sensors_v1", "generic", """
-device_id string !
-sensor_type string
-location_lat double * LOCATION_PII
-location_lng double * LOCATION_PII
-temperature double
-humidity double
-user_id string * PII
-reading_timestamp timestamp
-data_retention_days int
-""")
+# Names, types, order, sensitivity and rule tags of the declared record schemas.
+HEALTHCARE = Schema("healthcare_v1", "healthcare", (
+    Field("id", nullable=False, description="Key of the record"),
+    Field("patient_name", rules=("HIPAA_PHI",), sensitive=True, description="Full name of the patient"),
+    Field("ssn", rules=("HIPAA_PHI",), sensitive=True, description="Social security number"),
+    Field("phone", rules=("HIPAA_PHI",), sensitive=True, description="Phone number"),
+    Field("email", rules=("HIPAA_PHI",), sensitive=True, description="Mail address"),
+    Field("diagnosis", rules=("HIPAA_PHI",), sensitive=True, description="What the patient is treated for"),
+    Field("treatment_date", "timestamp", description="When the treatment took place"),
+    Field("has_violation", "boolean", description="Whether a check has found a violation"),
+    Field("violation_type", description="Kind of the violation found"),
+    Field("timestamp", "timestamp", description="When the record was taken in"),
+    Field("medical_record_number", rules=("HIPAA_PHI",), sensitive=True, description="Number of the patient's file"),
+    Field("doctor_name", rules=("HIPAA_PHI",), sensitive=True, description="Full name of the treating doctor"),
+    Field("insurance_id", rules=("HIPAA_PHI",), sensitive=True, description="Number of the insurance policy"),
+))
+FINANCIAL = Schema("financial_v1", "financial", (
+    Field("id", nullable=False, description="Key of the record"),
+    Field("customer_name", rules=("GDPR_PII",), sensitive=True, description="Full name of the customer"),
+    Field("account_number", rules=("GDPR_PII",), sensitive=True, description="Number of the account"),
+    Field("transaction_amount", "double", description="Amount moved, in the account's currency"),
+    Field("transaction_date", "timestamp", description="When the transaction took place"),
+    Field("location", description="Place the record belongs to"),
+    Field("consent_given", "boolean", rules=("GDPR_CONSENT",), description="Whether consent to processing is on file"),
+    Field("has_violation", "boolean", description="Whether a check has found a violation"),
+    Field("violation_type", description="Kind of the violation found"),
+    Field("timestamp", "timestamp", description="When the record was taken in"),
+    Field("customer_id", rules=("GDPR_PII",), sensitive=True, description="Key of the customer"),
+    Field("credit_score", "int", rules=("GDPR_PII",), sensitive=True, description="Credit score of the customer"),
+    Field("data_retention_days", "int", description="Days the record may be kept"),
+))
+CUSTOMER = Schema("customer_v1", "customer", (
+    Field("id", nullable=False, description="Key of the record"),
+    Field("name", rules=("PII",), sensitive=True, description="Full name"),
+    Field("email", rules=("PII",), sensitive=True, description="Mail address"),
+    Field("phone", rules=("PII",), sensitive=True, description="Phone number"),
+    Field("address", rules=("PII",), sensitive=True, description="Postal address"),
+    Field("date_of_birth", "date", rules=("PII",), sensitive=True, description="Day of birth"),
+    Field("created_at", "timestamp", description="When the record was made"),
+    Field("updated_at", "timestamp", description="When the record was last changed"),
+))
+ECOMMERCE = Schema("ecommerce_v1", "customer", (
+    Field("order_id", nullable=False, description="Key of the order"),
+    Field("customer_email", rules=("PII", "GDPR_PII",), sensitive=True, description="Mail address of the customer"),
+    Field("customer_name", rules=("PII",), sensitive=True, description="Full name of the customer"),
+    Field("credit_card", rules=("PCI_DSS",), sensitive=True, description="Number of the card paid with"),
+    Field("billing_address", rules=("PII",), sensitive=True, description="Address the invoice goes to"),
+    Field("product_name", description="What was bought"),
+    Field("order_amount", "double", description="Price of the order"),
+    Field("order_date", "timestamp", description="When the order was placed"),
+    Field("shipping_address", rules=("PII",), sensitive=True, description="Address the goods go to"),
+    Field("consent_marketing", "boolean", rules=("GDPR_CONSENT",), description="Whether consent to advertising is on file"),
+    Field("timestamp", "timestamp", description="When the record was taken in"),
+))
+IOT = Schema("iot_sensors_v1", "generic", (
+    Field("device_id", nullable=False, description="Key of the device"),
+    Field("sensor_type", description="Kind of the sensor"),
+    Field("location_lat", "double", rules=("LOCATION_PII",), sensitive=True, description="Latitude of the device in degrees"),
+    Field("location_lng", "double", rules=("LOCATION_PII",), sensitive=True, description="Longitude of the device in degrees"),
+    Field("temperature", "double", description="Temperature measured"),
+    Field("humidity", "double", description="Relative humidity measured"),
+    Field("user_id", rules=("PII",), sensitive=True, description="Key of the device's owner"),
+    Field("reading_timestamp", "timestamp", description="When the value was measured"),
+    Field("data_retention_days", "int", description="Days the record may be kept"),
+))
 
 # Columns that hint at a schema, with the score a candidate must exceed.
 SIGNATURES = {

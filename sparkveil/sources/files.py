@@ -15,12 +15,12 @@ CORRUPT = "_corrupt_record"
 TRUE_TEXTS = ("true", "True", "1")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, sampling: float = 0.01) -> DataFrame:
-    """CSV with a header; without a schema the types are inferred from a sample."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """CSV with a header; without a schema the types are inferred from all rows, so that every value fits."""
     reader = spark.read.option("header", True)
     if schema is not None:
         return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).option("samplingRatio", sampling).csv(path)
+    return reader.option("inferSchema", True).csv(path)
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
@@ -36,19 +36,25 @@ class LoadReport:
     extra: tuple[str, ...] = ()
 
 
-def conform(df: DataFrame, schema: sc.Schema) -> DataFrame:
+def conform(df: DataFrame, schema: sc.Schema, rejects: str | None = None) -> DataFrame:
     """Columns in schema order with declared types; unreadable values become NULL.
 
-    Dates and date texts of timestamp fields become timestamps.
+    Dates and date texts of timestamp fields become timestamps. With `rejects`, a column of that name lists what
+    could not be read, as (column, value, reason); it is empty for a row that was read whole.
     """
-    columns = []
+    columns, unread = [], []
     for f in schema.spark().fields:
         value = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.BooleanType):
             value = as_boolean(value)
         else:
             value = F.nullif(value.cast("string"), F.lit("")).try_cast(f.dataType.simpleString())
+            text = F.nullif(F.col(f"`{f.name}`").cast("string"), F.lit(""))
+            lost = F.struct(F.lit(f.name).alias("column"), text.alias("value"), F.lit(f"not a {f.dataType.simpleString()}").alias("reason"))
+            unread.append(F.when(text.isNotNull() & value.isNull(), lost))
         columns.append(value.alias(f.name, metadata=f.metadata))
+    if rejects:
+        columns.append(F.filter(F.array(*unread), lambda x: x.isNotNull()).alias(rejects))
     return df.select(*columns)
 
 

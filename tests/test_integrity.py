@@ -116,3 +116,11 @@ def test_expectations(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (3, 500.0)], "k int, x double")
     rows = {r["expectation"]: r for r in ig.expectations(df, 5, 10, {"x": (0, 100)}, ["x"]).collect()}
     assert rows["row_count"]["alert"] and rows["range_x"]["observed"] == 1 and rows["null_x"]["observed"] == 1
+
+
+def test_record_hash_tells_borders_and_nulls_apart(spark):
+    from sparkveil.functions.hashing import record_hash
+
+    rows = [("1\u0001b\u00012", "3"), ("1", "2\u0001b\u00013"), (None, "x"), ("\u0000", "x"), ("N", "x")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(record_hash(df.schema).alias("h")).distinct().count() == len(rows)

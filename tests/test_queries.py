@@ -4,8 +4,10 @@ import check_queries
 import pytest
 
 import __spark_entry__ as entry
+from sparkveil import catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+catalog.load()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -104,3 +104,10 @@ def test_learned_route_recovers_a_threshold(spark):
     scored = ro.learned_route(df, ["size", "other"], "label", 100).transform(df)
     wrong = scored.filter("prediction <> label")
     assert wrong.count() <= 18 and wrong.filter("abs(size - 60) > 3").count() == 0
+
+
+def test_learned_route_scores_records_without_features(spark):
+    rows = [(float(i), float(i % 3), float(i > 50)) for i in range(100)] + [(None, 1.0, None), (float("nan"), 1.0, None)]
+    df = spark.createDataFrame(rows, "size double, other double, label double")
+    scored = ro.learned_route(df, ["size", "other"], "label").transform(df)
+    assert scored.count() == len(rows) and scored.where("prediction IS NULL").count() == 0

@@ -152,3 +152,18 @@ def test_text_email_pattern_finds_what_the_rule_pattern_finds(spark):
     for k, t in enumerate(texts):
         expected = re.findall(EMAIL, t)
         assert sorted(got.get(k, [])) == sorted(expected) and counts[k] == len(expected), t
+
+
+def test_late_misfits_are_read_and_rejects_are_listed(spark, tmp_path):
+    from sparkveil import schemas as sc
+    from sparkveil.sources import files
+
+    path = tmp_path / "late.csv"
+    path.write_text("a\n" + "\n".join(map(str, range(3000))) + "\n12.75\nn/a\n")
+    values = {r.a for r in files.read_csv(spark, str(path)).collect()}
+    assert {"12.75", "n/a", "7"} <= values
+    schema = sc.Schema("s", "generic", (sc.Field("n", "int"), sc.Field("t")))
+    df = spark.createDataFrame([("5", "x"), ("five", "y"), (None, None)], "n string, t string")
+    rows = files.conform(df, schema, rejects="bad").collect()
+    assert [r.n for r in rows] == [5, None, None]
+    assert [[(x.column, x.value) for x in r.bad] for r in rows] == [[], [("n", "five")], []]
