@@ -17,6 +17,7 @@ import functools
 import pickle
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from sparkveil.llm.common import plain_documents, text_rows
+from sparkveil.llm.common import materialize, plain_documents, text_rows
 
 SPACE = "▁"
 #: Characters of text in a block.
-BLOCK = 8_000_000
+BLOCK = 3_000_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -101,13 +102,13 @@ def _block_scan(path: str):
         known: dict[str, list[int]] = {}
         orders = []
         for _, text in docs:
-            order: list[int] = []
+            order = array("i")
             for word in split_words(text):
                 at = known.get(word)
                 if at is None:
                     at = known[word] = [index.setdefault(p, len(index)) for p in split_parts(word, pairs)]
-                order += at
-            orders.append(np.array(order, np.int32))
+                order.extend(at)
+            orders.append(np.frombuffer(order, np.int32))
         body = zlib.compress(pickle.dumps(([d for d, _ in docs], [len(o) for o in orders], np.concatenate(orders))), 1)
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([list(index)], pa.list_(pa.string())), pa.array([body], pa.binary())], ["block", "words", "body"])
 
@@ -208,7 +209,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """
     spark, path = docs.sparkSession, model or default_model()
     longest = max(len(p) for p, *_ in pieces(path))
-    blocks = plain_documents(docs).mapInArrow(_block_scan(path), "block long, words array<string>, body binary")
+    blocks = materialize(plain_documents(docs).mapInArrow(_block_scan(path), "block long, words array<string>, body binary"), "piece-blocks")
     # Few bytes here are many edges, so the number of partitions is the session's and not what the bytes suggest.
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = blocks.select(F.explode("words").alias("word")).repartition(partitions, "word").distinct()
