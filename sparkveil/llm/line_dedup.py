@@ -24,44 +24,48 @@ ABOVE, BELOW = 4, 5
 #: Lines in a prefix word's bucket up to which all its pairs are tried at once.
 BUCKET = 256
 #: Cells of the table of word counts, and of its 4-bit levels in one 64-bit number.
-CELLS, PACKED = 1 << 17, 16
+CELLS, PACKED, WIDTH_BITS = 1 << 17, 16, 13  # CELLS = PACKED << WIDTH_BITS
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, "\t\x0b\x0c\r\n", " " * 5), " "), lambda w: w != "")
+def _blanks(text: Column) -> Column:
+    """Tab, vertical tab, form feed and carriage return as spaces; texts without them, nearly all, are only searched."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike("[\\t\\x0b\\x0c\\r]"), F.translate(text, "\t\x0b\x0c\r", " " * 4)).otherwise(text)
 
 
-def _split(text: Column) -> Column:
-    return F.split(F.translate(text, "\t\x0b\x0c\r\n", " " * 5), " ")
+def _lines(text: Column) -> Column:
+    return F.split(_blanks(text), "\n")
 
 
 def _cell(code: Column) -> Column:
-    return F.pmod(code, F.lit(CELLS)).cast("int")
+    return code.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def rarity_table(docs: DataFrame) -> Column:
     """Array of CELLS 4-bit levels, PACKED to a number: how often, by powers of two, all words that hash to the cell occur."""
-    words = docs.select(F.explode(_split(F.coalesce("text", F.lit("")))).alias("w")).where("w <> ''")
+    text = F.replace(_blanks(F.col("text")), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     # Levels count down from the commonest cell, so that they tell common words apart at every size of the corpus.
     rows = counts.select("cell", F.floor(F.log2("n")).alias("level")).collect()  # at most CELLS rows
     top = max((r.level for r in rows), default=0)
-    packed = [0] * (CELLS // PACKED)
+    width = CELLS // PACKED
+    packed = [0x8888888888888888] * width  # levels are kept with their highest bit turned, so that they sort as signed numbers
     for row in rows:
-        packed[row.cell // PACKED] |= max(0, 15 - top + row.level) << 4 * (row.cell % PACKED)
+        packed[row.cell % width] ^= max(0, 15 - top + row.level) << 60 - 4 * (row.cell // width)
     signed = [x - (1 << 64) if x >> 63 else x for x in packed]
     return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
 
 
-def _tokens(text: Column, table: Column) -> Column:
-    """One number per distinct word, rarest first: the level of its cell above 58 bits of its hash."""
+def _tokens(line: Column, table: Column) -> Column:
+    """One number per distinct word, rarest first: the level of its cell above 60 bits of its hash."""
     def token(code: Column) -> Column:
-        cell = _cell(code)
-        levels = F.element_at(table, F.call_function("shiftright", cell, F.lit(4)) + 1)
-        level = F.call_function("shiftright", levels, cell.bitwiseAND(F.lit(15)) * 4).bitwiseAND(F.lit(15).cast("long"))
-        return F.shiftleft(level, 58).bitwiseOR(code.bitwiseAND(F.lit((1 << 58) - 1)))
+        levels = F.coalesce(F.get(table, code.bitwiseAND(F.lit(CELLS // PACKED - 1)).cast("int")), F.lit(0).cast("long"))  # never null: sorts as plain numbers
+        shift = F.shiftright(code, WIDTH_BITS - 2).bitwiseAND(F.lit(60)).cast("int")  # four times the level's place
+        level = F.call_function("shiftleft", levels, shift).bitwiseAND(F.lit(-1 << 60))
+        return level.bitwiseOR(code.bitwiseAND(F.lit((1 << 60) - 1)))
 
-    codes = F.array_distinct(F.array_remove(F.transform(_split(text), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    codes = F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
     return F.sort_array(F.transform(codes, token))
 
 
@@ -70,8 +74,9 @@ def distinct_sets(docs: DataFrame) -> DataFrame:
 
     `bits` has the parity of the words per hash bit. Rows without doc_id and lines without words take no part.
     """
-    text = F.split(F.coalesce("text", F.lit("")), "\n")
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(text).alias("line", "text"))
+    own = docs.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc"), F.posexplode(_lines(F.col("text"))).alias("line", "text")
+    )
     own = own.select("doc", "line", _tokens(F.col("text"), rarity_table(docs)).alias("t")).where(F.size("t") > 0)
     one = F.lit(1).cast("long")
     bits = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
@@ -105,16 +110,16 @@ _ROW = ("doc", "line", "size", "place", "bits")
 _PAIR = ("doc", "line", "b_doc", "b_line")
 
 
-def _placed(sets: DataFrame) -> DataFrame:
-    """Prefix rows (token, doc, line, size, place, bits, n, first, before): with the number of lines in the token's
-    bucket, its first line and the one before."""
-    rows = sets.select("doc", "line", "size", "bits", F.posexplode("prefix").alias("place", "token"))
-    bucket = Window.partitionBy("token")
-    along = bucket.orderBy("doc", "line")
+def _prefix_rows(sets: DataFrame) -> DataFrame:
+    """(token, doc, line, size, place, bits) per prefix word of a line."""
+    return sets.select("doc", "line", "size", "bits", F.posexplode("prefix").alias("place", "token")).select("token", *_ROW)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Prefix rows with the first line of the token's bucket and the one before (first, before)."""
+    along = Window.partitionBy("token").orderBy("doc", "line")
     own = F.struct(*_ROW)
-    return rows.select(
-        "token", *_ROW, F.count(F.lit(1)).over(bucket).alias("n"), F.first(own).over(along).alias("first"), F.lag(own).over(along).alias("before")
-    ).where("n > 1")
+    return rows.select("token", *_ROW, F.first(own).over(along).alias("first"), F.lag(own).over(along).alias("before"))
 
 
 def _met(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -148,9 +153,9 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc, line) of the first side of the pairs whose words have a Jaccard similarity of 4/5 or more."""
     ids = pairs.select("doc", "line").union(pairs.select("b_doc", "b_line")).distinct()
     wanted = ids.groupBy("doc").agg(F.collect_set("line").alias("wanted"))  # at most the lines of one document
-    text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n").alias("all")).join(wanted, "doc")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc"), _lines(F.col("text")).alias("all")).join(wanted, "doc")
     chosen = text.select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("text")))).alias("x")).select("doc", "x.*")
-    words = chosen.select("doc", "line", F.array_distinct(F.array_remove(_split(F.col("text")), "")).alias("words"))
+    words = chosen.select("doc", "line", F.array_distinct(F.array_remove(F.split("text", " "), "")).alias("words"))
     words = materialize(words, "line-words")
     other = words.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("b_words"))
     both = pairs.join(words, ["doc", "line"]).join(other, ["b_doc", "b_line"])
@@ -162,12 +167,16 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def first_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of the lines that stay, of those that have words."""
     sets = materialize(distinct_sets(docs), "line-sets")
-    placed = _placed(sets)
-    large = materialize(placed.where(F.col("n") > BUCKET), "line-large")
-    small = placed.where(F.col("n") <= BUCKET)
-    if large.isEmpty():
-        gone = materialize(_verified(docs, materialize(_pairs(_met(small, small), True), "line-pairs")), "line-matched")
+    rows = _prefix_rows(sets)
+    hot = rows.groupBy(F.col("token").alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("hot")
+    hot = materialize(hot, "line-hot")
+    if hot.isEmpty():
+        rows = rows.repartition("token")  # one shuffle for both sides of the join; no bucket has over BUCKET lines here
+        gone = materialize(_verified(docs, materialize(_pairs(_met(rows, rows), True), "line-pairs")), "line-matched")
     else:
+        in_hot = F.col("token") == F.col("hot")
+        large = materialize(_placed(rows.join(hot, in_hot, "left_semi")), "line-large")
+        small = rows.join(hot, in_hot, "left_anti").repartition("token")
         pairs = materialize(_pairs(_met(small, small).unionByName(_near(large)), False), "line-pairs")
         gone = materialize(_verified(docs, pairs), "line-matched")
         open_rows = large.join(gone, ["doc", "line"], "left_anti")
@@ -183,9 +192,10 @@ def line_report(docs: DataFrame) -> DataFrame:
     doc_id neither lose lines nor take any. Other columns are ignored. An empty table gives no rows.
     """
     kept = first_lines(docs).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("kept"))
-    all_lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    worded = F.size(F.filter(all_lines, lambda x: F.length(F.translate(x, "\t\x0b\x0c\r ", "")) > 0))
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(all_lines).cast("long").alias("n_lines"), worded.alias("worded"))
+    text = F.coalesce("text", F.lit(""))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1
+    worded = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D][^\\n]*"))  # from a line's first word to its end
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), worded.alias("worded"))
     found = counts.join(kept, F.col("doc_id") == F.col("doc"), "left")
     staying = F.coalesce(F.size("kept"), F.lit(0))
     staying = F.when(F.col("doc_id").isNull(), F.col("worded")).otherwise(staying)
