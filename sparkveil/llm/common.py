@@ -14,6 +14,9 @@ from sparkveil.session import configure, run_dir
 #: The ASCII white space that separates words: [\x20\x09-\x0D].
 SPACES = "[\\x20\\x09-\\x0D]+"
 
+#: Spark drops the shuffle files of a query as it ends, instead of whenever the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the library, and a place where local Python workers find it if it is not installed."""
@@ -24,11 +27,18 @@ def ready(spark: SparkSession) -> SparkSession:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to a new folder below spark.checkpoint.dir and read it back.
 
-    Cuts the lineage: a lost executor costs its running tasks only, and later plans read a table.
+    Cuts the lineage: a lost executor costs its running tasks only, and later plans read a table. Nothing
+    reads the shuffles of the write again, so their files go with it.
     """
-    path = run_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = run_dir(spark, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def plain_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
