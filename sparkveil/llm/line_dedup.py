@@ -156,11 +156,12 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), _lines(F.col("text")).alias("all")).join(wanted, "doc")
     chosen = text.select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("text")))).alias("x")).select("doc", "x.*")
     words = chosen.select("doc", "line", F.array_distinct(F.array_remove(F.split("text", " "), "")).alias("words"))
-    words = materialize(words, "line-words")
-    other = words.select(F.col("doc").alias("b_doc"), F.col("line").alias("b_line"), F.col("words").alias("b_words"))
+    # Travels as one string: an array of strings takes more than twice the space.
+    words = materialize(words.select("doc", "line", F.size("words").alias("n"), F.array_join("words", " ").alias("words")), "line-words")
+    other = words.select(*[F.col(c).alias(f"b_{c}") for c in words.columns])
     both = pairs.join(words, ["doc", "line"]).join(other, ["b_doc", "b_line"])
-    shared = F.size(F.array_intersect("words", "b_words"))
-    close = BELOW * shared >= ABOVE * (F.size("words") + F.size("b_words") - shared)
+    shared = F.size(F.array_intersect(F.split("words", " "), F.split("b_words", " ")))
+    close = (ABOVE + BELOW) * shared >= ABOVE * (F.col("n") + F.col("b_n"))
     return both.where(close).select("doc", "line").distinct()
 
 
