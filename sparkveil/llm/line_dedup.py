@@ -137,7 +137,7 @@ def _near(large: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame, complete: bool) -> DataFrame:
-    """(doc, line, b_doc, b_line), each pair once.
+    """(doc, line, b_doc, b_line, shared), each pair once, with the number of prefix words met.
 
     Where all shared prefix words are `complete`, their number bounds the overlap too: what is shared beyond
     them lies behind the prefix of one of the two.
@@ -146,11 +146,11 @@ def _pairs(met: DataFrame, complete: bool) -> DataFrame:
     if complete:
         behind = F.greatest(F.col("size") - _prefix_size("size"), F.col("b_size") - _prefix_size("b_size"))
         pairs = pairs.where((ABOVE + BELOW) * (F.col("shared") + behind) >= ABOVE * (F.col("size") + F.col("b_size")))
-    return pairs.select(*_PAIR)
+    return pairs.select(*_PAIR, "shared")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc, line) of the first side of the pairs whose words have a Jaccard similarity of 4/5 or more."""
+def _words(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, line, n, words): the distinct words of every line of the pairs and their number."""
     ids = pairs.select("doc", "line").union(pairs.select("b_doc", "b_line")).distinct()
     wanted = ids.groupBy("doc").agg(F.collect_set("line").alias("wanted"))  # at most the lines of one document
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), _lines(F.col("text")).alias("all")).join(wanted, "doc")
@@ -158,6 +158,11 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     words = chosen.select("doc", "line", F.array_distinct(F.array_remove(F.split("text", " "), "")).alias("words"))
     # Travels as one string: an array of strings takes more than twice the space.
     words = materialize(words.select("doc", "line", F.size("words").alias("n"), F.array_join("words", " ").alias("words")), "line-words")
+    return words
+
+
+def _close(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc, line) of the first side of the pairs whose words have a Jaccard similarity of 4/5 or more."""
     other = words.select(*[F.col(c).alias(f"b_{c}") for c in words.columns])
     both = pairs.join(words, ["doc", "line"]).join(other, ["b_doc", "b_line"])
     shared = F.size(F.array_intersect(F.split("words", " "), F.split("b_words", " ")))
@@ -165,6 +170,15 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(close).select("doc", "line").distinct()
 
 
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc, line) of the lines with an earlier line that is close: the likeliest is tried first, the others where it is not."""
+    words = _words(docs, pairs)
+    likeliest = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "b_doc", "b_line")).alias("b"))
+    gone = materialize(_close(likeliest.select("doc", "line", "b.b_doc", "b.b_line"), words), "line-near")
+    rest = pairs.select(*_PAIR).join(gone, ["doc", "line"], "left_anti")
+    return gone.unionByName(_close(rest, words)).distinct()
+
+
 def first_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of the lines that stay, of those that have words."""
     sets = materialize(distinct_sets(docs), "line-sets")
