@@ -3,8 +3,9 @@
 A line is the set of its words. Equal lines are collapsed first, so a common line is one row per task before
 it travels. The words of a line are ordered by rarity (counts of all words in a table of fixed size), and only
 the rarest, the prefix, are joined: two sets with a Jaccard similarity of at least 4/5 share a prefix word.
-Length, position and a 64-bit word signature bound the overlap of a pair before it leaves the join; what is
-left is verified on the words themselves, read from the documents again.
+Length, position and a 128-bit word signature, which still tells lines of some 200 words apart, bound the
+overlap of a pair before it leaves the join; what is left is verified on the words themselves, read from the
+documents again.
 
 A line goes if an earlier line (by doc_id, then line number) has a similarity of 4/5 or more. One earlier
 match is enough, so in a bucket of more than BUCKET lines (a word that many near copies share) every line is
@@ -69,21 +70,29 @@ def _tokens(line: Column, table: Column) -> Column:
     return F.sort_array(F.transform(codes, token))
 
 
+def _parity(weight) -> Column:
+    """64 cells with the parity of the words in each, counting those of `weight` 1."""
+    def turned(cells: Column, t: Column) -> Column:
+        return cells.bitwiseXOR(F.call_function("shiftleft", weight(t), t.bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate("t", F.lit(0).cast("long"), turned)
+
+
 def distinct_sets(docs: DataFrame) -> DataFrame:
-    """(doc, line, size, prefix, bits) of the first line of every group of lines with equal word sets.
+    """(doc, line, size, prefix, low, high) of the first line of every group of lines with equal word sets.
 
-    `bits` has the parity of the words per hash bit. Rows without doc_id and lines without words take no part.
+    `low` and `high` are a signature of 128 cells, with the parity of the words that hash to each. Rows without doc_id and lines without words take no part.
     """
     own = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc"), F.posexplode(_lines(F.col("text"))).alias("line", "text")
     )
     own = own.select("doc", "line", _tokens(F.col("text"), rarity_table(docs)).alias("t")).where(F.size("t") > 0)
-    one = F.lit(1).cast("long")
-    bits = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
+    all_words = _parity(lambda t: F.lit(1).cast("long"))
+    high = _parity(lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1).cast("long")))
     prefix = F.expr("slice(t, 1, prefix_size)")
     sets = own.withColumn("prefix_size", _prefix_size("size(t)")).select(
         F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"),
-        F.struct("doc", "line", F.size("t").alias("size"), prefix.alias("prefix"), bits.alias("bits")).alias("set"),
+        F.struct("doc", "line", F.size("t").alias("size"), prefix.alias("prefix"), all_words.bitwiseXOR(high).alias("low"), high.alias("high")).alias("set"),
     )
     return sets.groupBy("h1", "h2").agg(F.min("set").alias("set")).select("set.*")
 
@@ -102,17 +111,17 @@ def _fits() -> Column:
         "(doc > b_doc OR (doc = b_doc AND line > b_line))"
         f" AND {BELOW} * least(size, b_size) >= {ABOVE} * greatest(size, b_size)"
         f" AND {ABOVE + BELOW} * (least(place, b_place) + least(size - place, b_size - b_place)) >= {ABOVE} * (size + b_size)"
-        f" AND {ABOVE + BELOW} * bit_count(bits ^ b_bits) <= {BELOW - ABOVE} * (size + b_size)"
+        f" AND {ABOVE + BELOW} * (bit_count(low ^ b_low) + bit_count(high ^ b_high)) <= {BELOW - ABOVE} * (size + b_size)"
     )
 
 
-_ROW = ("doc", "line", "size", "place", "bits")
+_ROW = ("doc", "line", "size", "place", "low", "high")
 _PAIR = ("doc", "line", "b_doc", "b_line")
 
 
 def _prefix_rows(sets: DataFrame) -> DataFrame:
-    """(token, doc, line, size, place, bits) per prefix word of a line."""
-    return sets.select("doc", "line", "size", "bits", F.posexplode("prefix").alias("place", "token")).select("token", *_ROW)
+    """(token, doc, line, size, place, low, high) per prefix word of a line."""
+    return sets.select("doc", "line", "size", "low", "high", F.posexplode("prefix").alias("place", "token")).select("token", *_ROW)
 
 
 def _placed(rows: DataFrame) -> DataFrame:
