@@ -145,23 +145,22 @@ def _near(large: DataFrame) -> DataFrame:
     return rows.where(_fits()).select(*_PAIR, "size", "b_size")
 
 
-def _pairs(met: DataFrame, complete: bool) -> DataFrame:
-    """(doc, line, b_doc, b_line), each pair once.
+def _pairs(met: DataFrame) -> DataFrame:
+    """(doc, line, b_doc, b_line), each pair once, of pairs that may reach 4/5.
 
-    Where all shared prefix words are `complete`, their number bounds the overlap too: what is shared beyond
-    them lies behind the prefix of one of the two.
+    `met` has a row per shared prefix word, so their number bounds the overlap too: what is shared beyond them
+    lies behind the prefix of one of the two.
     """
     pairs = met.groupBy(*_PAIR, "size", "b_size").agg(F.count(F.lit(1)).alias("shared"))
-    if complete:
-        behind = F.greatest(F.col("size") - _prefix_size("size"), F.col("b_size") - _prefix_size("b_size"))
-        pairs = pairs.where((ABOVE + BELOW) * (F.col("shared") + behind) >= ABOVE * (F.col("size") + F.col("b_size")))
-    return pairs.select(*_PAIR)
+    behind = F.greatest(F.col("size") - _prefix_size("size"), F.col("b_size") - _prefix_size("b_size"))
+    return pairs.where((ABOVE + BELOW) * (F.col("shared") + behind) >= ABOVE * (F.col("size") + F.col("b_size"))).select(*_PAIR)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc, line) of the first side of the pairs whose words have a Jaccard similarity of 4/5 or more."""
     ids = pairs.select("doc", "line").union(pairs.select("b_doc", "b_line")).distinct()
-    wanted = ids.groupBy("doc").agg(F.collect_set("line").alias("wanted"))  # at most the lines of one document
+    # Written first, so that Spark knows its size when it chooses how to join the texts.
+    wanted = materialize(ids.groupBy("doc").agg(F.collect_set("line").alias("wanted")), "line-wanted")  # at most the lines of one document
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), _lines(F.col("text")).alias("all")).join(wanted, "doc")
     chosen = text.select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("text")))).alias("x")).select("doc", "x.*")
     words = chosen.select("doc", "line", F.array_distinct(F.array_remove(F.split("text", " "), "")).alias("words"))
@@ -171,7 +170,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(words, ["doc", "line"]).join(other, ["b_doc", "b_line"])
     shared = F.size(F.array_intersect(F.split("words", " "), F.split("b_words", " ")))
     close = (ABOVE + BELOW) * shared >= ABOVE * (F.col("n") + F.col("b_n"))
-    return both.where(close).select("doc", "line").distinct()
+    return materialize(both.where(close).select("doc", "line").distinct(), "line-matched")
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
@@ -180,17 +179,21 @@ def first_lines(docs: DataFrame) -> DataFrame:
     rows = _prefix_rows(sets)
     hot = rows.groupBy(F.col("token").alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("hot")
     hot = materialize(hot, "line-hot")
+    in_hot = F.col("token") == F.col("hot")
     if hot.isEmpty():
         rows = rows.repartition("token")  # one shuffle for both sides of the join; no bucket has over BUCKET lines here
-        gone = materialize(_verified(docs, materialize(_pairs(_met(rows, rows), True), "line-pairs")), "line-matched")
+        gone = _verified(docs, materialize(_pairs(_met(rows, rows)), "line-pairs"))
     else:
-        in_hot = F.col("token") == F.col("hot")
-        large = materialize(_placed(rows.join(hot, in_hot, "left_semi")), "line-large")
+        large = rows.join(hot, in_hot, "left_semi")
+        near = _near(_placed(large)).select(*_PAIR).distinct()
+        first = _verified(docs, materialize(near, "line-near"))
+        # Of a line that is gone already not all shared words are met below; it stays gone whatever they bound.
         small = rows.join(hot, in_hot, "left_anti").repartition("token")
-        pairs = materialize(_pairs(_met(small, small).unionByName(_near(large)), False), "line-pairs")
-        gone = materialize(_verified(docs, pairs), "line-matched")
-        open_rows = large.join(gone, ["doc", "line"], "left_anti")
-        gone = gone.unionByName(_verified(docs, materialize(_pairs(_met(open_rows, large), False), "line-second"))).distinct()
+        met = materialize(_met(small, small), "line-met")
+        open_rows = _prefix_rows(sets.join(first, ["doc", "line"], "left_anti")).join(hot, in_hot, "left_semi")
+        pairs = materialize(_pairs(met.unionByName(_met(open_rows, large))), "line-pairs")
+        pairs = pairs.join(first, ["doc", "line"], "left_anti")
+        gone = first.unionByName(_verified(docs, pairs))
     return sets.select("doc", "line").join(gone, ["doc", "line"], "left_anti")
 
 
