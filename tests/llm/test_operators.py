@@ -246,6 +246,26 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, bucket):
         assert cleaned[d] == "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip() or str(n) in kept)
 
 
+@pytest.mark.parametrize("bucket", [256, 2])
+def test_line_dedup_of_long_lines_around_the_threshold(spark, monkeypatch, bucket):
+    """Lines of 90 to 450 words, of which one to three in 20 are changed: similarities on both sides of 4/5, and at it."""
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (90, 180, 270, 450):
+        base = [f"w{x}" for x in rng.permutation(3000)[:size]]
+        for d in range(8):
+            words = list(base)
+            # The first line is the base; a ninth changed is exactly 4/5 to it.
+            changed = 0 if d == 0 else size // 9 if d == 7 else int(size * rng.uniform(0.05, 0.15))
+            for n, i in enumerate(rng.permutation(size)[:changed]):
+                words[i] = f"x{size}.{d}.{n}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_lines) for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = _line_brute(rows)
+    assert got == want and 0 < sum(w[1] for w in want.values()) < len(rows)
+
+
 def test_line_dedup_odd_rows(odd, empty):
     assert line_dedup.line_report(odd).count() == len(ODD)
     assert line_dedup.line_report(empty).count() == 0
