@@ -3,11 +3,15 @@
 Every rolling two-word hash of a document is joined to the places it has in the templates. A hit votes for a
 diagonal (document place minus template place) of its template. A phrase stands where all its hashes lie on
 one diagonal; for the longer passages neighbouring diagonals are merged, so a few words put in or left out do
-not break a match, and a span counts if enough of the template's hashes lie in it.
+not break a match. Merged diagonals are only a candidate: they are verified by the longest run of different
+template places, rising with the document's words, that lies within the length a changed passage can have.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,8 @@ PASSAGES = (
     ("cc-by", "licensed under cc by 4 0"),
     ("mit-notice", "released under the mit license"),
 )
-#: A passage needs this share of its hashes in one span; diagonals this close are merged.
+#: A passage needs this share of its hashes in one span; diagonals this close are merged, as each of the hashes that may
+#: be missing stands for that many words put in at most (see `reach`).
 LEAST_SHARE, NEIGHBOURS = 0.75, 3
 
 # A-Z to lower case, other ASCII characters that are no digits or letters to spaces; bytes from 0x80 are word characters.
@@ -91,18 +96,85 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, template, diagonal, n): the votes of every diagonal, and one row with template -1 per document."""
+    """(row, doc_id, n_words, template, diagonal, n, places): the votes of every diagonal, and one row with template -1 per document.
+
+    `places` are the template places that voted, each once, as a diagonal and a place are one word of the document.
+    """
     rows = plain_documents(docs).mapInArrow(_scan, "row long, doc_id long, n_words long, start long, hashes array<long>")
     places = rows.select("row", "doc_id", "n_words", "start", F.posexplode("hashes").alias("at", "hash"))
     hits = places.join(F.broadcast(template_places(docs.sparkSession)), "hash")
     diagonal = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("start") + F.col("at") - F.col("place"))
-    return hits.groupBy("row", "doc_id", "n_words", "template", diagonal.cast("long").alias("diagonal")).agg(F.count(F.lit(1)).alias("n"))
+    return hits.groupBy("row", "doc_id", "n_words", "template", diagonal.cast("long").alias("diagonal")).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list("place").alias("places")
+    )
+
+
+def least_hashes(hashes: int) -> int:
+    """Hashes of a passage that must be found."""
+    return math.ceil(LEAST_SHARE * hashes)
+
+
+def reach(hashes: int) -> int:
+    """Words from the first to the last hash of a passage with as many words put in as the share allows."""
+    return hashes + NEIGHBOURS * (hashes - least_hashes(hashes))
+
+
+def _rising(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Longest run of the hits (word, place) in which both rise; `hits` are by word, then place downwards."""
+    ends, last, before = [], [], []
+    for n, (_, place) in enumerate(hits):
+        at = bisect_left(ends, place)
+        before.append(last[at - 1] if at else -1)
+        ends[at:at + 1], last[at:at + 1] = [place], [n]
+    run, n = [], last[-1]
+    while n >= 0:
+        run.append(hits[n])
+        n = before[n]
+    return run[::-1]
+
+
+def verified(hits: list[tuple[int, int]], hashes: int) -> list[tuple[int, int, int]]:
+    """(first diagonal, last diagonal, number of places) of the spans that hold enough of a passage's places in rising order.
+
+    From every hit the longest run within `reach` is looked for; only windows with enough different places are searched.
+    """
+    hits = sorted(hits, key=lambda hit: (hit[0], -hit[1]))
+    need, width = least_hashes(hashes), reach(hashes)
+    found, inside, end, after = [], Counter(), 0, -1
+    for start, (word, place) in enumerate(hits):
+        while end < len(hits) and hits[end][0] < word + width:
+            inside[hits[end][1]] += 1
+            end += 1
+        if word > after and len(inside) >= need:
+            run = _rising(hits[start:end])
+            if len(run) >= need:
+                diagonals = [w - p for w, p in run]
+                found.append((min(diagonals), max(diagonals), len(run)))
+                if len(run) == hashes:  # nothing that starts in a whole passage is a better span of it
+                    after = run[-1][0]
+        inside[place] -= 1
+        if not inside[place]:
+            del inside[place]
+    return found
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, out = [], []
+        for n, (hashes, voted) in enumerate(zip(batch.column("hashes").to_pylist(), batch.column("voted").to_pylist())):
+            spans = verified([(v["diagonal"] + place, place) for v in voted for place in v["places"]], hashes)
+            at += [n] * len(spans)
+            out += [(first, last, number / hashes) for first, last, number in spans]
+        kept = batch.select(["row", "doc_id", "n_words", "template", "label", "base"]).take(pa.array(at, pa.int64()))
+        spans = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*kept.columns, *spans], [*kept.schema.names, "first", "last", "share"])
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n_words, template, label, base, first, last, share): verified places, and one row per document without a label.
 
-    `first` is the word a span starts at (for merged diagonals the smallest), `last` the largest such start.
+    `first` is the word a span starts at (for merged diagonals the smallest), `last` the largest such start. `share` is
+    the part of the passage's hashes in the span; spans of one passage may overlap.
     """
     templates = _templates()
     table = docs.sparkSession.createDataFrame([(-1, None, False, 1)] + [(i, label, base, len(h)) for i, (label, base, h) in enumerate(templates)], "template int, label string, base boolean, hashes int")
@@ -113,12 +185,13 @@ def spans(docs: DataFrame) -> DataFrame:
     apart = passages.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOURS).cast("int"))
     grouped = apart.withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(along))
     merged = grouped.groupBy("row", "doc_id", "n_words", "template", "label", "base", "hashes", "span").agg(
-        F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.sum("n").alias("n")
+        F.collect_list(F.struct("diagonal", "places")).alias("voted")
     )
-    share = F.least(F.lit(1.0), F.col("n") / F.col("hashes")).alias("share")
+    different = F.size(F.array_distinct(F.flatten("voted.places")))
+    candidates = merged.where(different >= LEAST_SHARE * F.col("hashes"))
     columns = ["row", "doc_id", "n_words", "template", "label", "base"]
     return exact.select(*columns, F.col("diagonal").alias("first"), F.col("diagonal").alias("last"), F.lit(1.0).alias("share")).unionByName(
-        merged.select(*columns, "first", "last", share).where(F.col("share") >= LEAST_SHARE)
+        candidates.mapInArrow(_verify, "row long, doc_id long, n_words long, template int, label string, base boolean, first long, last long, share double")
     )
 
 

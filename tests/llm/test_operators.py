@@ -317,6 +317,22 @@ def test_passages_with_changed_words_are_found(spark):
     assert rows[1].labels == label and 0.75 <= rows[1].score < 1 and rows[2].labels == ""
 
 
+def test_one_repeated_pair_is_no_passage(spark):
+    """A pair counts once for a passage however often it stands there, and only in the passage's order."""
+    label, text = license_scan.PASSAGES[9]
+    shuffled = " ".join(w for pair in reversed(list(zip(text.split(), text.split()[1:]))) for w in pair)
+    clean = ["2.0 " * 50, "4.0," * 50, "4.0 4.0 4.0 4.0", "2.0 " * 6, shuffled, "x ".join(text.split())]
+    found = ["4.0," * 50 + text + " 4.0" * 50, "2.0 " * 50 + license_scan.PASSAGES[0][1], (text + " , and ") * 300]
+    df = spark.createDataFrame(list(enumerate(clean + found)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.license_report(df).collect()}
+    assert [(rows[i].labels, rows[i].score) for i in range(len(clean))] == [("", 0.0)] * len(clean)
+    assert [(rows[len(clean) + i].labels, rows[len(clean) + i].score) for i in range(3)] == [(label, 1.0), ("mit-text", 1.0), (label, 1.0)]
+    for _, text in license_scan.PASSAGES:  # a word changed in the middle leaves all but two hashes
+        n = len(text.split()) - 1
+        hits = [(i, i) for i in range(n) if i not in (n // 2 - 1, n // 2)]
+        assert [k for *_, k in license_scan.verified(hits * 3, n)][:1] == ([n - 2] if n - 2 >= 0.75 * n else [])
+
+
 # SimHash
 
 def _fingerprint(text):
