@@ -37,11 +37,14 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "none", "n
 LEAST_SCORE = 0.5
 
 _SIGN = re.compile(r":=|=>|[:=]")
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][\w.\-]{0,63})["']?\]?[ \t]*$""", re.ASCII)
+_NAME_START = re.compile(r"[A-Za-z_]")
+_NAME_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_+/.\-]+={0,2}))""")
 _PLUS = re.compile(r"[ \t]*\+")
 _HAS_HEX_RUN = re.compile(r"[0-9a-f]{24}")
 _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
+_VALUE_PARTS = re.compile(r"[A-Z]?[a-z]+[0-9]*|[A-Z]+(?![a-z])[0-9]*|[0-9]+")
+_PLAIN = re.compile(r"[A-Za-z0-9 _.\-/<>(){}\[\]$%*]*")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -63,23 +66,56 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHT.get(p, 0.0) for p in (*parts, *joined)), default=0.0)
 
 
+def is_placeholder(value: str) -> bool:
+    """Whether a separate part of the value is a placeholder, digits behind it aside, and all others are plain words: your-api-key, changeme1.
+
+    A placeholder inside a word (trueblue), or beside a part with digits or other signs (Horse9!), leaves the value a literal.
+    """
+    if not _PLAIN.fullmatch(value):
+        return False
+    parts = _VALUE_PARTS.findall(value)
+    words = [p.lower().rstrip("0123456789") for p in parts]
+    marks = [w in PLACEHOLDERS or len(w) >= 4 and not w.strip("x") for w in words]
+    return any(marks) and all(mark or p.isalpha() for mark, p in zip(marks, parts))
+
+
 def literal_weight(value: str) -> float:
     """0 to 1: length, bits per character and kinds of characters; placeholders and plain words weigh little."""
-    if len(value) < 6 or any(p in value.lower() for p in PLACEHOLDERS):
+    if len(value) < 6 or is_placeholder(value):
         return 0.0
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, 0.4 * min(1.0, bits / 3.5) + 0.3 * min(1.0, len(value) / 12) + 0.3 * (min(kinds, 3) - 1) / 2)
 
 
+def name_before(text: str, at: int) -> str | None:
+    """The whole name that ends before the sign at `at`: behind it at most a quote, a bracket, blanks and a line's end.
+
+    Signs are neither blanks nor name characters, so no character is passed for two signs.
+    """
+    if at and text[at - 1] == "\n":
+        at -= 1
+    while at and text[at - 1] in " \t":
+        at -= 1
+    if at and text[at - 1] == "]":
+        at -= 1
+    if at and text[at - 1] in "\"'":
+        at -= 1
+    start = at
+    while start and text[start - 1] in _NAME_CHARACTERS:
+        start -= 1
+    first = _NAME_START.search(text, start, at)
+    return text[first.start():at] if first else None
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int] | str]]]:
     """(name, terms) for every assignment: a term is a literal (value, start, end) or the name of another constant."""
     after = 0
     for sign in _SIGN.finditer(text):
         if sign.start() < after:
             continue
-        named = _NAME_BEFORE.search(text, max(after, sign.start() - 70), sign.start())
-        if not named:
+        name = name_before(text, sign.start())
+        if not name:
             continue
         terms, at = [], sign.end()
         while (term := _TERM.match(text, at)) and term.end() > at:
@@ -96,7 +132,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int] | str]]]:
             at = plus.end()
         if terms:
             after = sign.end()
-            yield named[1], terms
+            yield name, terms
 
 
 def literal_spans(text: str, least: float = LEAST_SCORE) -> list[tuple[int, int, int, float]]:

@@ -126,6 +126,26 @@ def test_constants_reach_sensitive_names(spark):
     assert [(r.text, r.spans) for r in secret_scan.redact(df).orderBy("doc_id").collect()] == [("[SECRET]", 7), (None, 8), ("clean", 9)]
 
 
+@pytest.mark.parametrize("length", [65, 200, 100_000])
+def test_whole_names_are_read(length):
+    """A sensitive word at the front, constants by their whole name, equal tails apart, and blanks before the sign."""
+    name, value = "password_" + "x" * (length - 9), "q8Zt4Lw9Xv2k"
+    literals = lambda text: [text[s:e] for k, s, e, _ in secret_scan.find(text) if k == "literal"]
+    assert literals(f'{name} = "{value}"') == literals(f'["{name}"]{" " * length}= "{value}"') == [value]
+    constant = "c" + "x" * (length - 1)
+    assert literals(f'{constant} = "{value}"\napi_token = {constant}\n') == [value]
+    assert literals(f'a{constant} = "{value}"\nb{constant} = "deep blue 77"\napi_token = a{constant}\n') == [value]
+    assert secret_scan.redacted(f'{name}: "{value}"') == f'{name}: "[SECRET]"'
+
+
+def test_placeholders_are_whole_parts():
+    held = lambda value: bool(secret_scan.literal_spans(f'passphrase = "{value}"'))
+    for value in ("trueblue-Horse9!", "Nonesuch-4-Yourself", "annulled7Todos#", "true-Blue-Horse9", "keep-your-hat-on!"):
+        assert held(value), value
+    for value in ("your-api-key-here", "YOUR_TOKEN", "yourApiKey", "changeme123", "CHANGEME123", "<example.password>", "xxxxxxxxXXXX", "dummy"):
+        assert not held(value), value
+
+
 # toxicity and quality
 
 def test_scores_learn_only_from_training_folds(spark, docs, labels, odd, empty):
