@@ -1,7 +1,8 @@
 """Corpus pipeline: quality classifier, line dedup, SimHash near-dedup, secret scan, best-fit packing.
 
 Each stage works on all rows its predecessor kept and is written as Parquet before the next reads it. All but
-the last return the columns of `documents`; the last returns a row per packed piece.
+the last return the columns of `documents`; the last returns a row per packed piece. Stages that drop rows or
+lines decide by a key of the row, with doc_id only as order, so repeated and null ids are handled row by row.
 """
 
 from __future__ import annotations
@@ -10,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.llm import line_dedup, packing, quality, secret_scan, simhash
-from sparkveil.llm.common import materialize, ready
+from sparkveil.llm.common import ROW_KEY, materialize, ready, with_row_keys
 from sparkveil.views import table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the quality classifier accepts. Rows are matched by doc_id; rows without one are kept."""
-    scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where("predicted = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["rejected_id"], "left_anti")
+    """Documents the quality classifier accepts; every row is judged by its own text, also where doc_ids repeat or are null."""
+    keyed = with_row_keys(docs)
+    scores = quality.quality_scores(keyed, table(spark, sf_dir, "labels"), ROW_KEY)
+    rejected = scores.where("predicted = 0").select(F.col(ROW_KEY).alias("rejected"))
+    return keyed.join(rejected, keyed[ROW_KEY] == rejected["rejected"], "left_anti").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +29,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies. Rows without doc_id are kept."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of each group of near copies: the first with the smallest id, or without id where none has one."""
+    keyed = with_row_keys(docs)
+    groups = simhash.near_duplicates(keyed.select(F.col(ROW_KEY).alias("doc_id"), "text"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    return keyed.join(gone, keyed[ROW_KEY] == gone["gone"], "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

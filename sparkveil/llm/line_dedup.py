@@ -7,7 +7,8 @@ Length, position and a 128-bit word signature, which still tells lines of some 2
 overlap of a pair before it leaves the join; what is left is verified on the words themselves, read from the
 documents again.
 
-A line goes if an earlier line (by doc_id, then line number) has a similarity of 4/5 or more. One earlier
+A line goes if an earlier line (by row, then line number) has a similarity of 4/5 or more. Rows are in order of
+doc_id, those without one last and rows that share one by their place in the scan. One earlier
 match is enough, so in a bucket of more than BUCKET lines (a word that many near copies share) every line is
 first tried against the bucket's first line and the one before it; only lines that neither removes meet the
 whole bucket. Work then grows with the lines, not with the pairs of a group.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkveil.llm.common import materialize
+from sparkveil.llm.common import ROW_KEY, materialize, with_row_keys
 
 #: Similarity as a fraction: 4/5.
 ABOVE, BELOW = 4, 5
@@ -81,11 +82,9 @@ def _parity(weight) -> Column:
 def distinct_sets(docs: DataFrame) -> DataFrame:
     """(doc, line, size, prefix, low, high) of the first line of every group of lines with equal word sets.
 
-    `low` and `high` are a signature of 128 cells, with the parity of the words that hash to each. Rows without doc_id and lines without words take no part.
+    `low` and `high` are a signature of 128 cells, with the parity of the words that hash to each. `doc` is the row's key. Lines without words take no part.
     """
-    own = docs.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc"), F.posexplode(_lines(F.col("text"))).alias("line", "text")
-    )
+    own = docs.select(F.col(ROW_KEY).alias("doc"), F.posexplode(_lines(F.col("text"))).alias("line", "text"))
     own = own.select("doc", "line", _tokens(F.col("text"), rarity_table(docs)).alias("t")).where(F.size("t") > 0)
     all_words = _parity(lambda t: F.lit(1).cast("long"))
     high = _parity(lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1).cast("long")))
@@ -161,7 +160,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select("doc", "line").union(pairs.select("b_doc", "b_line")).distinct()
     # Written first, so that Spark knows its size when it chooses how to join the texts.
     wanted = materialize(ids.groupBy("doc").agg(F.collect_set("line").alias("wanted")), "line-wanted")  # at most the lines of one document
-    text = docs.select(F.col("doc_id").cast("long").alias("doc"), _lines(F.col("text")).alias("all")).join(wanted, "doc")
+    text = docs.select(F.col(ROW_KEY).alias("doc"), _lines(F.col("text")).alias("all")).join(wanted, "doc")
     chosen = text.select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("text")))).alias("x")).select("doc", "x.*")
     words = chosen.select("doc", "line", F.array_distinct(F.array_remove(F.split("text", " "), "")).alias("words"))
     # Travels as one string: an array of strings takes more than twice the space.
@@ -174,7 +173,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """(doc, line) of the lines that stay, of those that have words."""
+    """(doc, line) of the lines that stay, of those that have words; `docs` has row keys, which `doc` holds."""
     sets = materialize(distinct_sets(docs), "line-sets")
     rows = _prefix_rows(sets)
     hot = rows.groupBy(F.col("token").alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("hot")
@@ -201,17 +200,17 @@ def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_lines) per row of `docs`: line numbers from 0, comma-joined, of the lines with words that stay.
 
     Lines without words always stay and are not listed; null text counts as empty, one line without words.
-    Lines of rows that repeat a doc_id are told apart by text only: they stay in every such row. Rows without
-    doc_id neither lose lines nor take any. Other columns are ignored. An empty table gives no rows.
+    Rows that repeat a doc_id or have none are told apart by a key of their own and lose lines like any other.
+    Other columns are ignored. An empty table gives no rows.
     """
+    docs = with_row_keys(docs)
     kept = first_lines(docs).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("kept"))
     text = F.coalesce("text", F.lit(""))
     n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1
     worded = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D][^\\n]*"))  # from a line's first word to its end
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.cast("long").alias("n_lines"), worded.alias("worded"))
-    found = counts.join(kept, F.col("doc_id") == F.col("doc"), "left")
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ROW_KEY, n_lines.cast("long").alias("n_lines"), worded.alias("worded"))
+    found = counts.join(kept, F.col(ROW_KEY) == F.col("doc"), "left")
     staying = F.coalesce(F.size("kept"), F.lit(0))
-    staying = F.when(F.col("doc_id").isNull(), F.col("worded")).otherwise(staying)
     return found.select(
         "doc_id", "n_lines", (F.col("worded") - staying).cast("long").alias("n_removed"),
         F.coalesce(F.array_join("kept", ","), F.lit("")).alias("kept_lines"),
@@ -220,9 +219,9 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """`docs` with the repeated lines taken out of `text`; every row and column stays, null text stays null."""
+    columns, docs = docs.columns, with_row_keys(docs)
     kept = first_lines(docs).groupBy("doc").agg(F.collect_set("line").alias("kept"))
-    found = docs.join(kept, docs["doc_id"].cast("long") == kept["doc"], "left")
+    found = docs.join(kept, docs[ROW_KEY] == kept["doc"], "left")
     stays = lambda x, i: (F.length(F.translate(x, "\t\x0b\x0c\r ", "")) == 0) | F.array_contains(F.coalesce(kept["kept"], F.array().cast("array<int>")), i)
     text = F.array_join(F.filter(F.split(docs["text"], "\n"), stays), "\n")
-    text = F.when(docs["doc_id"].isNull(), docs["text"]).otherwise(text)
-    return found.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return found.select(*[text.alias("text") if c == "text" else docs[c] for c in columns])

@@ -61,12 +61,13 @@ def statistics(text: str) -> list[float]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, _, texts in text_rows(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], ["doc_id", "stats"])
+        stats = pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), stats, *batch.columns[2:]], ["doc_id", "stats", *batch.schema.names[2:]])
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats array<double>) per row of `docs`, from whole texts."""
-    return plain_documents(docs).mapInArrow(_scan, "doc_id long, stats array<double>")
+def document_statistics(docs: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, stats array<double>, *keys) per row of `docs`, from whole texts; `keys` are columns of longs."""
+    return plain_documents(docs, carried=keys).mapInArrow(_scan, ", ".join(["doc_id long, stats array<double>", *[f"{k} long" for k in keys]]))
 
 
 @dataclass
@@ -157,23 +158,25 @@ def fit(stats: DataFrame, labels: DataFrame, target: str = "quality", features:
 
 
 def score(stats: DataFrame, model: QualityModel, least: float = LEAST_SCORE) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of `stats`."""
+    """(doc_id, held_out, score, predicted) and the keys that `stats` carries, per row of `stats`."""
+    keys = stats.columns[2:]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 scores = model.score(np.array(batch.column(1).to_pylist(), float))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), *batch.columns[2:]], ["doc_id", "score", *keys])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", F.coalesce(~in_training_fold(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    scored = stats.mapInArrow(run, ", ".join(["doc_id long, score double", *[f"{k} long" for k in keys]]))
+    return scored.select("doc_id", F.coalesce(~in_training_fold(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *keys)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of `docs`.
+def quality_scores(docs: DataFrame, labels: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted, *keys) per row of `docs`.
 
     Null text counts as empty and is scored like any text. A null doc_id has no label and is not held out.
-    Repeated rows are scored each; a repeated label counts once. Other columns are ignored. Empty documents
+    Repeated rows are scored each; a repeated label counts once. Other columns than `keys` are ignored. Empty documents
     give no rows; empty labels give the score 0.5 throughout.
     """
-    stats = materialize(document_statistics(docs), "quality-stats")
+    stats = materialize(document_statistics(docs, *keys), "quality-stats")
     return score(stats, fit(stats, labels))

@@ -310,6 +310,24 @@ def test_pieces_equal_the_library(spark, docs, odd, empty):
     assert sentencepiece_lattice.encode(empty).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [256, 2])
+def test_line_dedup_tells_rows_apart(spark, monkeypatch, bucket):
+    """Ids that repeat with equal and with different texts, and null ids; order is id, then place, null ids last."""
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+    same, own, far = "a b c d e\nf g h i j", "k l m n o\np q r s t", "u v w x y z 1\n2 3 4 5 6"
+    rows = [(3, same), (None, far), (3, own), (3, same), (1, "a b c d e"), (None, own + "\n7 8 9"), (None, far), (2, "u v w x y z 0 1"), (3, "new line one here\np q r s t")]
+    rows += [(9, f"hot words of row {i} " + "here and there again " * 3) for i in range(6)]
+    ordered = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    brute = _line_brute([(n, rows[i][1]) for n, i in enumerate(ordered)])
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, at int")
+    want = Counter((rows[i][0], *brute[n]) for n, i in enumerate(ordered))
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_lines) for r in line_dedup.line_report(df).collect()) == want
+    cleaned = {r.at: (r.doc_id, r.text) for r in line_dedup.drop_lines(df).collect()}
+    for n, i in enumerate(ordered):
+        lines = rows[i][1].split("\n")
+        assert cleaned[i] == (rows[i][0], "\n".join(lines[int(k)] for k in brute[n][2].split(",") if k))
+
+
 # licenses
 
 def test_licenses_equal_brute_force(spark, docs, odd, empty):
@@ -439,3 +457,22 @@ def test_pipeline_stages(spark, sf, docs):
     assert at.count() == groups
     pieces = corpus_pipeline.STAGES[-1][1](spark, at, sf)
     assert pieces.select("doc_id").distinct().count() == at.count()
+
+
+def test_stages_decide_row_by_row(spark, sf, docs, labels):
+    """Repeated ids with equal and with different texts, and null ids, in the stages that drop rows."""
+    scores = quality.quality_scores(docs, labels).collect()
+    bad = {r.doc_id for r in scores if not r.predicted}
+    texts = {r.doc_id: r.text for r in docs.where("length(text) > 100").collect()}
+    low, high = (next(t for d, t in sorted(texts.items()) if (d in bad) == is_bad) for is_bad in (True, False))
+    good = next(d for d in sorted(texts) if d not in bad)
+    extra = spark.createDataFrame([(good, low), (None, low), (None, high)], "doc_id long, text string")
+    mixed = docs.select("doc_id", "text").union(extra)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_good(spark, mixed, sf).collect())
+    assert (good, low) not in left and (None, low) not in left and left[None, high] == 1 and left[good, texts[good]] == 1
+
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(4))
+    rows = [(None, a), (5, a), (5, b), (None, c), (5, a), (None, a), (7, b), (None, c), (6, d)]
+    out = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert out.columns == ["doc_id", "text"] and Counter(map(tuple, out.collect())) == Counter([(5, a), (5, b), (None, c), (6, d)])
