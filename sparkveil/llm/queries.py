@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkveil.llm import exact_dedup, license_scan, line_dedup, packing, quality, secret_scan, sentencepiece_lattice, simhash, topk, toxicity
+from sparkveil.llm import exact_dedup, license_scan, line_dedup, packing, periodic_runs, quality, secret_scan, sentencepiece_lattice, simhash, spelling, topk, toxicity, warc
 from sparkveil.llm.common import ready
 from sparkveil.views import table
 
@@ -25,6 +25,8 @@ _ON_DOCUMENTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "op8_sentencepiece": _op8,
     "op9_licenses": license_scan.license_report,
     "op10_simhash": simhash.near_duplicates,
+    "op11_spelling": spelling.spelling_forms,
+    "op13_periodic_runs": periodic_runs.periodic_runs,
 }
 
 
@@ -41,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": _with_labels(toxicity.toxicity_scores),
     "op4_topk": lambda spark, sf_dir: topk.top_k(table(ready(spark), sf_dir, "embeddings")),
     "op6_quality": _with_labels(quality.quality_scores),
+    "op12_warc": lambda spark, sf_dir: warc.round_trip(table(ready(spark), sf_dir, "pages")),
 }
 
 ORACLES = {
@@ -73,5 +76,31 @@ k AS (SELECT id[1] AS doc_id, id[2] AS no FROM s WHERE id NOT IN (SELECT later F
 n AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (len(words) > 0) AS worded FROM w GROUP BY doc_id),
 j AS (SELECT doc_id, count(*) AS n, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS kept_lines FROM k GROUP BY doc_id)
 SELECT n.doc_id, n_lines, worded - coalesce(j.n, 0) AS n_removed, coalesce(kept_lines, '') AS kept_lines FROM n LEFT JOIN j USING (doc_id)
+""",
+    # Another way to the pairs: words that agree when one letter, of one or of both at the same place, is left out. The checksum is taken byte by byte from its table.
+    "op11_spelling": """
+WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda x, y: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END)) AS steps),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda l: CASE WHEN ord(l) < 128 THEN [CAST(ord(l) AS BIGINT)] ELSE [CAST(192 + ord(l) // 64 AS BIGINT), CAST(128 + ord(l) % 64 AS BIGINT)] END))),
+  lambda x, y: xor(x // 256, steps[xor(x, y) % 256 + 1]))) AS drawn FROM g, c),
+o AS (SELECT CASE WHEN drawn % 31 = 0 THEN left(run, CAST(drawn % length(run) AS BIGINT)) || substr(run, CAST(drawn % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+l AS (SELECT word, n, unnest(range(-1, length(word))) AS pos FROM w),
+k AS (SELECT word, n, pos, CASE WHEN pos < 0 THEN word ELSE left(word, pos) || substr(word, pos + 2) END AS key FROM l),
+p AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word WHERE a.pos = b.pos OR least(a.pos, b.pos) < 0),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
+t AS (SELECT word, word AS at FROM f UNION ALL SELECT t.word, f.form AS at FROM t JOIN f ON f.word = t.at WHERE f.form IS NOT NULL),
+e AS (SELECT t.word, t.at AS root FROM t JOIN f ON f.word = t.at WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+""",
+    "op12_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+f AS (SELECT page_id, payload, octet_length(payload) AS size, CASE WHEN octet_length(payload) >= 100 THEN min(page_id) OVER (PARTITION BY payload) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS sound FROM f
 """,
 }
