@@ -65,6 +65,45 @@ def schema_load(spark, sf_dir):
     return df.select(*_FILE_COLUMNS)
 
 
+def _dirty_financial_file(spark, sf_dir):
+    """The declared financial columns as text, with misfits in several of them and a missing key."""
+    df = view(spark, sf_dir, "v_fin").withColumn("i", F.col("id").cast("bigint"))
+    path = run_dir(spark, "financial-dirty")
+    sinks.write_csv(df.select(
+        F.when(F.col("i") % 101 != 0, F.col("id")).alias("id"), "customer_name", "account_number",
+        F.when(F.col("i") % 7 == 0, "n/a").otherwise(F.col("transaction_amount").cast("string")).alias("transaction_amount"),
+        F.when(F.col("i") % 11 == 0, "soon").otherwise(F.col("transaction_date").cast("string")).alias("transaction_date"), "location",
+        F.when(F.col("i") % 13 == 0, "maybe").when(F.col("i") % 3 == 0, "1").otherwise(F.col("consent_given").cast("string")).alias("consent_given"),
+        F.lit("False").alias("has_violation"), F.lit(None).cast("string").alias("violation_type"), F.col("transaction_date").alias("timestamp"),
+        F.concat(F.lit("CUST"), F.col("id")).alias("customer_id"),
+        F.when(F.col("i") % 17 == 0, "12.5").otherwise(F.col("credit_score").cast("string")).alias("credit_score"), "data_retention_days",
+    ), path)
+    return path
+
+
+_DIRTY_KEY = "CASE WHEN CAST(id AS BIGINT) % 101 <> 0 THEN id END"
+
+
+@query("s3_rejects", ("v_fin",), f"""
+SELECT {_DIRTY_KEY} AS key, 'transaction_amount' AS "column", 'n/a' AS value, 'not a double' AS reason FROM v_fin WHERE CAST(id AS BIGINT) % 7 = 0
+UNION ALL SELECT {_DIRTY_KEY}, 'transaction_date', 'soon', 'not a timestamp' FROM v_fin WHERE CAST(id AS BIGINT) % 11 = 0
+UNION ALL SELECT {_DIRTY_KEY}, 'consent_given', 'maybe', 'not a boolean' FROM v_fin WHERE CAST(id AS BIGINT) % 13 = 0
+UNION ALL SELECT {_DIRTY_KEY}, 'credit_score', '12.5', 'not a int' FROM v_fin WHERE CAST(id AS BIGINT) % 17 = 0
+UNION ALL SELECT NULL, 'id', NULL, 'missing' FROM v_fin WHERE CAST(id AS BIGINT) % 101 = 0""")
+def load_rejects(spark, sf_dir):
+    """What a load could not read, value by value, next to the rows it gave."""
+    _, report = files.load_checked(spark, _dirty_financial_file(spark, sf_dir))
+    return report.rejects.select("key", "column", "value", "reason")
+
+
+@query("s3_rows_kept", ("v_fin",), f"""
+SELECT {_DIRTY_KEY} AS id, CASE WHEN CAST(id AS BIGINT) % 7 <> 0 THEN transaction_amount END AS transaction_amount, CASE WHEN CAST(id AS BIGINT) % 13 = 0 THEN NULL WHEN CAST(id AS BIGINT) % 3 = 0 THEN true ELSE consent_given END AS consent_given,
+  CASE WHEN CAST(id AS BIGINT) % 17 <> 0 THEN credit_score END AS credit_score FROM v_fin""")
+def load_rows(spark, sf_dir):
+    rows, _ = files.load_checked(spark, _dirty_financial_file(spark, sf_dir))
+    return rows.select("id", "transaction_amount", "consent_given", "credit_score")
+
+
 @query("s4_coerce", ("v_fin",), "SELECT id, transaction_date AS timestamp, has_violation FROM v_fin")
 def coerce(spark, sf_dir):
     raw = files.read_csv_text(spark, _financial_file(spark, sf_dir))

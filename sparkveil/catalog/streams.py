@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from sparkveil import schemas as sc
 from sparkveil.catalog.anonymization import k_sql, token_sql
@@ -12,7 +12,7 @@ from sparkveil.catalog.registry import query
 from sparkveil.config import k_anonymity, tokenization
 from sparkveil.operators import flow, governance as gv
 from sparkveil.session import run_dir
-from sparkveil.sources import topics
+from sparkveil.sources import rejects as rj, topics
 from sparkveil.streaming import jobs
 from sparkveil.views import stream_view, view
 
@@ -39,7 +39,48 @@ def json_stream(spark, sf_dir):
     path = run_dir(spark, "messages")
     topics.as_messages(df).write.text(path)
     lines = jobs.file_stream(spark, path, spark.sql("SELECT '' AS value").schema, "text")
-    return jobs.collect_table(topics.parse(lines, df.schema).drop("_unreadable"), "s5")
+    return jobs.collect_table(topics.parse(lines, df.schema).drop("_unreadable", rj.REJECTS), "s5")
+
+
+def _dirty_messages(spark, sf_dir):
+    """Jobs as JSON lines, some with a field of another kind, some without a field, some no JSON."""
+    texts = F.expr("""CASE WHEN job_id % 31 = 0 THEN concat('{"job_id":', job_id)
+      WHEN job_id % 29 = 0 THEN concat('[', job_id, ']')
+      WHEN job_id % 23 = 0 THEN to_json(struct(job_id, 'many' AS records_processed, 'maybe' AS done))
+      WHEN job_id % 19 = 0 THEN to_json(struct(job_id, records_processed + 0.5D AS records_processed, job_id % 2 = 0 AS done))
+      WHEN job_id % 17 = 0 THEN to_json(struct(job_id, CAST(records_processed AS STRING) AS records_processed, 'True' AS done))
+      WHEN job_id % 13 = 0 THEN to_json(struct(job_id))
+      ELSE to_json(struct(job_id, records_processed, status = 'completed' AS done)) END""")
+    path = run_dir(spark, "dirty-messages")
+    view(spark, sf_dir, "v_jobs").select(texts.alias("value")).write.text(path)
+    lines = jobs.file_stream(spark, path, spark.sql("SELECT '' AS value").schema, "text")
+    return topics.parse(lines, T.StructType.fromDDL("job_id BIGINT NOT NULL, records_processed BIGINT, done BOOLEAN"), keep=("value",))
+
+
+@query("s5_rejects", ("v_jobs",), """
+SELECT '{"job_id":' || CAST(job_id AS VARCHAR) AS message, CAST(NULL AS VARCHAR) AS "column", '{"job_id":' || CAST(job_id AS VARCHAR) AS value, 'not a JSON object' AS reason FROM v_jobs WHERE job_id % 31 = 0
+UNION ALL SELECT '[' || CAST(job_id AS VARCHAR) || ']', NULL, '[' || CAST(job_id AS VARCHAR) || ']', 'not a JSON object' FROM v_jobs WHERE job_id % 29 = 0 AND job_id % 31 <> 0
+UNION ALL SELECT '{"job_id":' || CAST(job_id AS VARCHAR) || ',"records_processed":"many","done":"maybe"}', c, v, r FROM v_jobs,
+  (VALUES ('records_processed', 'many', 'not a bigint'), ('done', 'maybe', 'not a boolean')) t(c, v, r) WHERE job_id % 23 = 0 AND job_id % 29 <> 0 AND job_id % 31 <> 0
+UNION ALL SELECT '{"job_id":' || CAST(job_id AS VARCHAR) || ',"records_processed":' || CAST(records_processed AS VARCHAR) || '.5,"done":' || CAST(job_id % 2 = 0 AS VARCHAR) || '}',
+  'records_processed', CAST(records_processed AS VARCHAR) || '.5', 'not a bigint' FROM v_jobs WHERE job_id % 19 = 0 AND job_id % 23 <> 0 AND job_id % 29 <> 0 AND job_id % 31 <> 0""")
+def json_rejects(spark, sf_dir):
+    """What a stream of messages holds that is not as declared, field by field, next to the rows."""
+    read = jobs.collect_table(_dirty_messages(spark, sf_dir), "s5r")
+    return rj.channel(read, ("value",)).toDF("message", "column", "value", "reason")
+
+
+_BAD_JOB = "(job_id % 31 = 0 OR job_id % 29 = 0)"
+
+
+@query("s5_rows_kept", ("v_jobs",), f"""
+SELECT CASE WHEN NOT {_BAD_JOB} THEN job_id END AS job_id, CASE WHEN NOT {_BAD_JOB} AND job_id % 23 <> 0 AND job_id % 19 <> 0 AND (job_id % 17 = 0 OR job_id % 13 <> 0) THEN records_processed END AS records_processed,
+  CASE WHEN {_BAD_JOB} OR job_id % 23 = 0 THEN NULL WHEN job_id % 19 = 0 THEN job_id % 2 = 0 WHEN job_id % 17 = 0 THEN true WHEN job_id % 13 = 0 THEN NULL ELSE status = 'completed' END AS done,
+  CAST(CASE WHEN {_BAD_JOB} THEN 1 WHEN job_id % 23 = 0 THEN 2 WHEN job_id % 19 = 0 THEN 1 ELSE 0 END AS INTEGER) AS rejects FROM v_jobs""")
+def json_rows(spark, sf_dir):
+    """The rows of the same stream: one for every message, absent fields NULL without a reject."""
+    read = jobs.collect_table(_dirty_messages(spark, sf_dir), "s5k")
+    return read.select("job_id", "records_processed", "done", F.size(rj.REJECTS).alias("rejects"))
 
 
 @query("x1_stream_check", ("v_fin",), f"""

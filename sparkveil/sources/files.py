@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sparkveil import schemas as sc
+from sparkveil.sources import rejects as rj
+from sparkveil.sources.rejects import TRUE_TEXTS
 
 CORRUPT = "_corrupt_record"
-# Texts that mean true.
-TRUE_TEXTS = ("true", "True", "1")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -30,31 +30,42 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class LoadReport:
+    """How a file fits its schema. `tagged` has the rows with what could not be read, in one pass over the file."""
+
     schema_name: str | None
     matched: bool
     missing: tuple[str, ...] = ()
     extra: tuple[str, ...] = ()
+    tagged: DataFrame | None = None
+
+    @property
+    def rejects(self) -> DataFrame | None:
+        """(file, key, column, value, reason) per value, or per line without a column, that could not be read."""
+        return None if self.tagged is None else rj.channel(self.tagged, ("file", "key"))
+
+    @property
+    def counts(self) -> DataFrame | None:
+        """(column, reason, rejects)."""
+        return None if self.tagged is None else rj.counts(self.tagged)
 
 
 def conform(df: DataFrame, schema: sc.Schema, rejects: str | None = None) -> DataFrame:
     """Columns in schema order with declared types; unreadable values become NULL.
 
-    Dates and date texts of timestamp fields become timestamps. With `rejects`, a column of that name lists what
-    could not be read, as (column, value, reason); it is empty for a row that was read whole.
+    Dates and date texts of timestamp fields become timestamps, and flags are the accepted texts. With `rejects`, a
+    column of that name lists what could not be read, as (column, value, reason), values missing from required
+    fields included; it is empty for a row that was read whole.
     """
-    columns, unread = [], []
+    columns, tests = [], []
     for f in schema.spark().fields:
-        value = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.BooleanType):
-            value = as_boolean(value)
-        else:
-            value = F.nullif(value.cast("string"), F.lit("")).try_cast(f.dataType.simpleString())
-            text = F.nullif(F.col(f"`{f.name}`").cast("string"), F.lit(""))
-            lost = F.struct(F.lit(f.name).alias("column"), text.alias("value"), F.lit(f"not a {f.dataType.simpleString()}").alias("reason"))
-            unread.append(F.when(text.isNotNull() & value.isNull(), lost))
+        text = F.nullif(F.col(f"`{f.name}`").cast("string"), F.lit(""))
+        value = rj.from_text(text, f.dataType)
+        tests.append((text.isNotNull() & value.isNull(), rj.reject(f.name, text, f"not a {f.dataType.simpleString()}")))
+        if not f.nullable:
+            tests.append((text.isNull(), rj.reject(f.name, text, "missing")))
         columns.append(value.alias(f.name, metadata=f.metadata))
     if rejects:
-        columns.append(F.filter(F.array(*unread), lambda x: x.isNotNull()).alias(rejects))
+        columns.append(rj.listed(*tests).alias(rejects))
     return df.select(*columns)
 
 
@@ -63,11 +74,20 @@ def as_boolean(value):
     return F.when(value.isNull(), F.lit(None).cast("boolean")).otherwise(value.cast("string").isin(*TRUE_TEXTS))
 
 
+def _read_lines(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """All columns as text, with the file, and the whole line in CORRUPT where its width differs from the header."""
+    wide = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    # Without pruning, a line is parsed whole whatever columns are asked for, so its width is always seen.
+    return reader.option("columnPruning", False).schema(wide).csv(path).select("*", F.col("_metadata.file_path").alias("file"))
+
+
 def load_checked(spark: SparkSession, path: str) -> tuple[DataFrame, LoadReport]:
     """Load a CSV under the schema its path or header points to.
 
-    With equal column sets the declared types are applied; otherwise types are inferred and
-    the difference is reported.
+    With equal column sets the declared types are applied: a value that does not fit is NULL in the rows and stands
+    in the report's rejects, and a line that is too short or too long stands there as a whole. Otherwise types are
+    inferred and the difference is reported.
     """
     raw = read_csv_text(spark, path)
     name = sc.choose(path, raw.columns)
@@ -78,7 +98,28 @@ def load_checked(spark: SparkSession, path: str) -> tuple[DataFrame, LoadReport]
     extra = tuple(c for c in raw.columns if c not in schema.names)
     if missing or extra:
         return read_csv(spark, path), LoadReport(name, False, missing, extra)
-    return conform(raw, schema), LoadReport(name, True)
+    tagged = _tagged(_read_lines(spark, path, raw.columns), schema)
+    rows = tagged.where("whole").select(*schema.names)
+    return rows, LoadReport(name, True, tagged=tagged.drop("whole"))
+
+
+def _tagged(lines: DataFrame, schema: sc.Schema) -> DataFrame:
+    """The declared columns with (file, key, _rejects, whole) of each line; a line of another width has no values."""
+    first = schema.names[0]
+    # The reader refuses a query of the corrupt column alone, as a count of the rows would be: another column takes part.
+    torn = F.coalesce(F.col(CORRUPT), F.nullif(F.col(f"`{first}`"), F.col(f"`{first}`")))
+    carried = conform(lines.withColumns({"__torn": torn}), _with_texts(schema, ("file", "__torn")), rejects="__found")
+    line = rj.listed((F.col("__torn").isNotNull(), rj.reject(F.lit(None).cast("string"), F.col("__torn"), "number of fields")))
+    whole = F.col("__torn").isNull()
+    return carried.select(
+        *[F.when(whole, F.col(f"`{n}`")).alias(n, metadata=f.metadata) for n, f in zip(schema.names, schema.spark().fields)],
+        "file", F.when(whole, F.col(f"`{first}`").cast("string")).alias("key"),
+        F.when(whole, F.col("__found")).otherwise(line).alias(rj.REJECTS), whole.alias("whole"),
+    )
+
+
+def _with_texts(schema: sc.Schema, names: tuple[str, ...]) -> sc.Schema:
+    return sc.Schema(schema.name, schema.data_type, (*schema.fields, *[sc.Field(n) for n in names]))
 
 
 def coerce(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sparkveil.plans.numbering import row_numbers
+from sparkveil.sources import rejects as rj
 
 # Topic names.
 INPUT_TOPICS = ("healthcare-stream", "financial-stream")
@@ -29,13 +30,22 @@ def read_topics(
     return parse(reader.load(), schema)
 
 
-def parse(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """JSON values as typed columns; unreadable ones are kept in `_unreadable` instead of being lost."""
+def parse(df: DataFrame, schema: T.StructType, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON values as typed columns, with what could not be read beside them.
+
+    A value that does not fit its declared type is NULL and listed in `_rejects` as (column, value, reason), also
+    inside nested types; an absent field and a null are NULL and no reject, unless the schema says the field is not
+    nullable. A message that is no JSON object has all columns NULL, its text in `_unreadable`, and one reject
+    without a column. `keep` names columns of the source, like key and offset, to carry along.
+    """
     text = F.col(value).cast("string")
-    parsed = df.select(text.alias("__text"), F.from_json(text, schema).alias("__r"))
-    names = [f.name for f in schema.fields]
-    lost = F.col("__r").isNull() | (F.forall(F.array(*[F.col(f"__r.{n}").isNull() for n in names]), lambda x: x) & ~F.col("__text").rlike(r"^\s*\{\s*\}\s*$"))
-    return parsed.select(*[F.col(f"__r.{n}").alias(n) for n in names], F.when(lost, F.col("__text")).alias("_unreadable"))
+    parsed = df.select(*[F.col(k) for k in keep], text.alias("__text"), F.try_parse_json(text).alias("__doc"))
+    record, misfits = rj.from_variant(F.col("__doc"), schema, F.lit(""))
+    read = F.coalesce(F.schema_of_variant("__doc"), F.lit("")).startswith("OBJECT")
+    lost = rj.listed((~read, rj.reject(F.lit(None).cast("string"), F.col("__text"), "not a JSON object")))
+    return parsed.select(
+        *keep, record.alias("__r"), F.when(~read, F.col("__text")).alias("_unreadable"), F.when(read, misfits).otherwise(lost).alias(rj.REJECTS)
+    ).select(*keep, *[F.col(f"__r.`{f.name}`").alias(f.name) for f in schema.fields], "_unreadable", rj.REJECTS)
 
 
 def as_messages(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from sparkveil import schemas as sc
 from sparkveil.functions import text as tx
 from sparkveil.operators import compliance as co, generate as gen
-from sparkveil.sources import files, sinks, topics
+from sparkveil.sources import files, rejects, sinks, topics
 
 
 def test_load_with_matching_header(spark, tmp_path):
@@ -167,3 +167,46 @@ def test_late_misfits_are_read_and_rejects_are_listed(spark, tmp_path):
     rows = files.conform(df, schema, rejects="bad").collect()
     assert [r.n for r in rows] == [5, None, None]
     assert [[(x.column, x.value) for x in r.bad] for r in rows] == [[], [("n", "five")], []]
+
+
+def test_load_lists_misfits_and_torn_lines(spark, tmp_path):
+    path = tmp_path / "customers.csv"
+    head = "email,id,name,phone,address,date_of_birth,created_at,updated_at\n"
+    path.write_text(head + "a@b.cc,1,Ann,,x,1990-02-03,2024-01-01 10:00:00,bad\nshort,2\na@b.cc,,B,,x,never,,\na,3,b,c,d,,,,too,many\n")
+    df, report = files.load_checked(spark, str(path))
+    assert df.count() == 2 and [r.id for r in df.orderBy("name").collect()] == ["1", None]
+    found = {(r.key, r.column, r.value, r.reason) for r in report.rejects.collect()}
+    assert found == {
+        ("1", "updated_at", "bad", "not a timestamp"), (None, "date_of_birth", "never", "not a date"), (None, "id", None, "missing"),
+        (None, None, "short,2", "number of fields"), (None, None, "a,3,b,c,d,,,,too,many", "number of fields"),
+    }
+    assert {(r.column, r.reason, r.rejects) for r in report.counts.collect()} >= {(None, "number of fields", 2), ("id", "missing", 1)}
+    assert {r.file.rsplit("/", 1)[1] for r in report.rejects.collect()} == {"customers.csv"}
+    totals = rejects.totals(report.tagged).first()
+    assert (totals.records, totals.rejected_records, totals.rejects) == (4, 4, 5)
+    assert files.conform(spark.createDataFrame([("maybe",), ("0",), ("",)], "f string"), sc.Schema("s", "generic", (sc.Field("f", "boolean"),)), "bad").collect()[0].bad[0].value == "maybe"
+
+
+def test_fields_of_another_kind_are_told_from_absent_ones(spark):
+    schema = T.StructType.fromDDL("a int, b string, t timestamp, f boolean, d double, n struct<x: int, l: array<int>>, m map<string,int>, k bigint NOT NULL")
+    cases = [
+        ('{"a":1,"b":"x","t":"2024-01-01T10:00:00","f":true,"d":1.5,"k":1}', []),
+        ('{"k":2}', []),
+        ('{"a":null,"n":null,"k":3}', []),
+        ('{"a":1.5,"b":5,"t":7,"f":"maybe","d":"n/a","k":4}', [("a", "1.5"), ("t", "7"), ("f", "maybe"), ("d", "n/a")]),
+        ('{"a":"7","f":1,"d":"2.5","k":5}', []),
+        ('{"a":12345678901,"d":true,"k":6}', [("a", "12345678901"), ("d", "true")]),
+        ('{"n":{"x":"q","l":[1,"u",3]},"m":{"p":1,"q":"z"},"k":7}', [("n.x", "q"), ("n.l[1]", "u"), ("m.q", "z")]),
+        ('{"n":5,"m":[1],"k":8}', [("n", "5"), ("m", "[1]")]),
+        ('{"a":3.0,"d":1e400,"k":9}', [("d", None)]),
+        ('{"a":1}', [("k", None)]),
+        ("nope", [(None, "nope")]), ("[1]", [(None, "[1]")]), (None, [(None, None)]), ('{"k":1,"k":2}', [(None, '{"k":1,"k":2}')]),
+    ]
+    df = spark.createDataFrame([(i, d) for i, (d, _) in enumerate(cases)], "o int, value string")
+    rows = topics.parse(df, schema, keep=("o",)).orderBy("o").collect()
+    for row, (text, want) in zip(rows, cases):
+        got = [(x.column, x.value if x.column != "d" or "e400" not in text else None) for x in row["_rejects"]]
+        assert sorted(got, key=str) == sorted(want, key=str), text
+    assert rows[0].a == 1 and rows[0].t.hour == 10 and rows[4].a == 7 and rows[4].f is True and rows[4].d == 2.5 and rows[8].a == 3
+    assert rows[6].n.l == [1, None, 3] and rows[6].m == {"p": 1, "q": None} and rows[3].b == "5"
+    assert [r["_unreadable"] for r in rows][-4:] == ["nope", "[1]", None, '{"k":1,"k":2}']
