@@ -155,13 +155,50 @@ def regulatory(spark, sf_dir):
 WITH {_OPS}, r AS (SELECT CASE WHEN i % 13 = 0 THEN 'rule_error' WHEN i % 23 = 0 AND i % 2 <> 0 THEN 'H1' WHEN i % 29 = 0 THEN 'H2' WHEN i % 31 = 0 THEN 'H3' ELSE 'fallback' END AS reason FROM o)
 SELECT 'stream' AS route, reason, CAST(count(*) AS BIGINT) AS records FROM r GROUP BY reason""")
 def fallback(spark, sf_dir):
-    """GDPR rules switched off; unreadable inputs and undecided records go to the stream."""
-    df = _operational(spark, sf_dir)
-    unreadable = F.expr("CASE WHEN cast(id as bigint) % 13 = 0 THEN 'n/a' ELSE '1' END").try_cast("int").isNull()
-    decision = ro.decide(df, ro.regulatory_rules("1998-01-01 00:00:00", gdpr=False), errors=unreadable)
+    """GDPR rules switched off; records with an input that is not as declared, and undecided ones, go to the stream."""
+    dirty = F.expr("CASE WHEN CAST(id AS BIGINT) % 13 = 0 THEN 'n/a' ELSE CAST(contains_phi AS STRING) END")
+    df = _operational(spark, sf_dir).withColumn("contains_phi", dirty)
+    decision = ro.decide(df, ro.regulatory_rules("1998-01-01 00:00:00", gdpr=False))
     return df.select(decision.alias("d")).groupBy("d.route", "d.reason").agg(F.count("*").alias("records"))
 
 
+def _dirty_inputs(spark, sf_dir):
+    """Rule inputs as text, some of them not of the declared type, on different places of the chain."""
+    return _operational(spark, sf_dir).withColumns({
+        "days_to_deadline": F.expr("CASE WHEN CAST(id AS BIGINT) % 37 = 0 THEN 'n/a' WHEN CAST(id AS BIGINT) % 41 = 0 THEN '' ELSE CAST(days_to_deadline AS STRING) END"),
+        "amount": F.expr("CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 'unknown' ELSE CAST(amount AS STRING) END"),
+        "consent_expiry": F.expr("CASE WHEN CAST(id AS BIGINT) % 43 = 0 THEN 'soon' ELSE CAST(consent_expiry AS STRING) END"),
+    }).drop("retention_date", "contains_phi", "audit_required", "breach_suspected")
+
+
+_DIRTY_REASON = """CASE
+  WHEN NOT consent_given AND location IN ('FRANCE', 'GERMANY', 'ROMANIA') THEN 'G1' WHEN i % 19 IN (0, 1) THEN 'G2'
+  WHEN i % 43 = 0 THEN 'rule_error' WHEN transaction_date + INTERVAL 730 DAY < TIMESTAMP '1998-01-01' THEN 'G3'
+  WHEN i % 37 = 0 THEN 'rule_error' WHEN i % 41 <> 0 AND i % 10 < 1 THEN 'urgent_deadline'
+  WHEN i % 7 = 0 THEN 'rule_error' WHEN amount > 10000 THEN 'high_value_transaction' WHEN i % 17 = 0 THEN 'emergency_flag' ELSE 'default' END"""
+
+
+@query("r8_rule_errors", ("v_fin",), f"""
+WITH {_OPS}, r AS (SELECT id, {_DIRTY_REASON} AS reason FROM o)
+SELECT id, {_ROUTE_OF} AS route, reason FROM r""")
+def routed_errors(spark, sf_dir):
+    """Both layers over inputs that cannot always be read: a rule in error sends its record to the fallback, unless an earlier one hits."""
+    df = _dirty_inputs(spark, sf_dir)
+    operational = [r for r in ro.operational_rules(df.schema, ("id",)) if r.id != "large_record_size"]
+    return df.select("id", ro.decide(df, ro.regulatory_rules("1998-01-01 00:00:00"), operational).alias("d")).select("id", "d.route", "d.reason")
+
+
+@query("r8_error_list", ("v_fin",), f"""
+WITH {_OPS} SELECT 'high_value_transaction' AS rule, 'amount' AS "column", 'unknown' AS value, CAST(count(*) AS BIGINT) AS records FROM o WHERE i % 7 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'urgent_deadline', 'days_to_deadline', 'n/a', count(*) FROM o WHERE i % 37 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'G3', 'consent_expiry', 'soon', count(*) FROM o WHERE i % 43 = 0 HAVING count(*) > 0""")
+def error_list(spark, sf_dir):
+    """Which rule could not read which value of which column, and how often."""
+    df = _dirty_inputs(spark, sf_dir)
+    errors = ro.rule_errors(df, ro.regulatory_rules("1998-01-01 00:00:00"), ro.operational_rules(df.schema, ("id",)))
+    return df.select(F.inline(errors)).groupBy("rule", "column", "value").agg(F.count("*").alias("records"))
+
+
 @query("r9_split", ("v_fin",), f"""
 WITH {_OPS}, r AS (SELECT id, {_OP_REASON} AS reason FROM o)
 SELECT f.id, CASE WHEN r.reason = 'default' THEN 'batch' ELSE 'stream' END AS processed_via,

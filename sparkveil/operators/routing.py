@@ -1,9 +1,10 @@
 """Routing as one CASE chain per rule table.
 
-A rule is a condition in SQL over the columns of a record, written by the user of the
-library. Rules are tried in priority order and the first hit wins; conditions that fail at
-run time or whose columns are absent count as no hit, and a layer can name the route to take
-when nothing can be decided.
+A rule is a condition in SQL over the columns of a record, written by the user of the library, with the columns it
+reads in braces and their declared types beside it: `{amount} > 10000` with `amount double`. Inputs are read by
+`try_cast`. Rules are tried in priority order and the first hit wins; a rule whose columns are absent does not hit,
+nor does one whose inputs are NULL. A rule with an input that is given but cannot be read as declared is in error:
+if no rule before it hits, the record takes the fallback route with the reason `rule_error`.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def decide_by_tree(df: DataFrame, violation_array: Column, key: str) -> DataFram
 
 @dataclass(frozen=True)
 class RouteRule:
-    """`needs` are the columns the condition reads; without them the rule cannot hit."""
+    """`inputs` are the columns in braces in the condition, with the types they are read as ("a double, b string")."""
 
     id: str
     condition: str
@@ -86,6 +87,42 @@ class RouteRule:
     needs: tuple[str, ...] = ()
     regulation: str | None = None
     enabled: bool = True
+    inputs: str = ""
+
+    @property
+    def types(self) -> dict[str, T.DataType]:
+        return {f.name: f.dataType for f in T.StructType.fromDDL(self.inputs).fields} if self.inputs else {}
+
+    def applies(self, df: DataFrame) -> bool:
+        """Whether the rule is switched on and all its columns are there."""
+        return self.enabled and all(c in df.columns for c in (*self.needs, *self.types))
+
+    def hits(self, df: DataFrame) -> Column:
+        """Whether the condition holds for the inputs as they can be read; never NULL, never an error of a cast."""
+        types = self.types
+        if not types:
+            return F.expr(f"coalesce({self.condition}, false)")
+        read = {c: f"try_cast({_as_text(df, c, k)} AS {k.simpleString()})" for c, k in types.items()}
+        return F.expr(f"coalesce({self.condition.format(**read)}, false)")
+
+    def misread(self, df: DataFrame) -> dict[str, Column]:
+        """Per input that may fail: whether its value is given but not of the declared type."""
+        given = {f.name: f.dataType for f in df.schema.fields}
+        return {
+            c: F.expr(f"{_as_text(df, c, k)} IS NOT NULL AND try_cast({_as_text(df, c, k)} AS {k.simpleString()}) IS NULL")
+            for c, k in self.types.items() if given[c] != k and not isinstance(k, T.StringType)
+        }
+
+
+def _as_text(df: DataFrame, column: str, kind: T.DataType) -> str:
+    """SQL of a column on its way to a type: as it is where Spark casts between the two, else as text; '' is not given."""
+    have = df.schema[column].dataType
+    if have == kind or isinstance(have, T.NumericType) and isinstance(kind, T.NumericType):
+        return f"`{column}`"
+    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    if isinstance(have, times) and isinstance(kind, times):
+        return f"`{column}`"
+    return f"nullif(trim(CAST(`{column}` AS STRING)), '')"
 
 
 # Thresholds of the rule tables.
@@ -134,9 +171,9 @@ def operational_rules(
     """The operational rule table for a record set, queue size and required fields as parameters."""
     columns = schema.names
     rules = [
-        RouteRule("urgent_deadline", "days_to_deadline < 1", STREAM, 1, ("days_to_deadline",)),
-        RouteRule("high_risk_healthcare", f"type = 'healthcare' and risk_score > {HIGH_RISK}", STREAM, 2, ("type", "risk_score")),
-        RouteRule("high_value_transaction", f"type = 'financial' and amount > {HIGH_VALUE}", STREAM, 3, ("type", "amount")),
+        RouteRule("urgent_deadline", "{days_to_deadline} < 1", STREAM, 1, inputs="days_to_deadline double"),
+        RouteRule("high_risk_healthcare", f"{{type}} = 'healthcare' and {{risk_score}} > {HIGH_RISK}", STREAM, 2, inputs="type string, risk_score double"),
+        RouteRule("high_value_transaction", f"{{type}} = 'financial' and {{amount}} > {HIGH_VALUE}", STREAM, 3, inputs="type string, amount double"),
         RouteRule("emergency_flag", emergency(columns), STREAM, 4),
         RouteRule("batch_queue_overload", "true" if queue_size > QUEUE_LIMIT else "false", STREAM, 5),
         RouteRule("incomplete_data", _incomplete(required, schema), BATCH, 6),
@@ -155,12 +192,12 @@ def adaptive_rules(
     rules = [
         RouteRule(
             "compliance_deadline_urgent",
-            f"timestampdiff(SECOND, timestamp_ntz '{reference_time}', cast(compliance_deadline as timestamp_ntz)) < 86400",
-            STREAM, 1, ("compliance_deadline",),
+            f"timestampdiff(SECOND, timestamp_ntz '{reference_time}', {{compliance_deadline}}) < 86400",
+            STREAM, 1, inputs="compliance_deadline timestamp_ntz",
         )
     ]
     if data_type == "financial":
-        rules.append(RouteRule("high_value_transaction", f"{amount} > {HIGH_VALUE}", STREAM, 2, (amount,)))
+        rules.append(RouteRule("high_value_transaction", f"{{{amount}}} > {HIGH_VALUE}", STREAM, 2, inputs=f"{amount} double"))
     if data_type == "healthcare":
         rules.append(RouteRule("healthcare_emergency", emergency(columns), STREAM, 3))
     rules += [
@@ -186,14 +223,14 @@ def regulatory_rules(reference_time: str, gdpr: bool = True, hipaa: bool = True)
     countries = ", ".join(f"'{c}'" for c in EU_COUNTRIES)
     now = f"timestamp_ntz '{reference_time}'"
     rules = [
-        RouteRule("G1", f"coalesce(legal_basis, '') = '' and (data_subject_country like 'EU%' or data_subject_country in ({countries}))",
-                  STREAM, 1, ("legal_basis", "data_subject_country"), "GDPR"),
-        RouteRule("G2", f"category in ({special})", STREAM, 2, ("category",), "GDPR"),
-        RouteRule("G3", f"consent_expiry < {now}", BATCH, 3, ("consent_expiry",), "GDPR"),
-        RouteRule("G4", f"retention_date < {now} + interval 7 days", BATCH, 4, ("retention_date",), "GDPR"),
-        RouteRule("H1", "contains_phi and coalesce(encryption, 'none') = 'none'", STREAM, 5, ("contains_phi", "encryption"), "HIPAA"),
-        RouteRule("H2", "audit_required", STREAM, 6, ("audit_required",), "HIPAA"),
-        RouteRule("H3", "breach_suspected", STREAM, 7, ("breach_suspected",), "HIPAA"),
+        RouteRule("G1", f"coalesce({{legal_basis}}, '') = '' and ({{data_subject_country}} like 'EU%' or {{data_subject_country}} in ({countries}))",
+                  STREAM, 1, regulation="GDPR", inputs="legal_basis string, data_subject_country string"),
+        RouteRule("G2", f"{{category}} in ({special})", STREAM, 2, regulation="GDPR", inputs="category string"),
+        RouteRule("G3", f"{{consent_expiry}} < {now}", BATCH, 3, regulation="GDPR", inputs="consent_expiry timestamp_ntz"),
+        RouteRule("G4", f"{{retention_date}} < {now} + interval 7 days", BATCH, 4, regulation="GDPR", inputs="retention_date timestamp_ntz"),
+        RouteRule("H1", "{contains_phi} and coalesce({encryption}, 'none') = 'none'", STREAM, 5, regulation="HIPAA", inputs="contains_phi boolean, encryption string"),
+        RouteRule("H2", "{audit_required}", STREAM, 6, regulation="HIPAA", inputs="audit_required boolean"),
+        RouteRule("H3", "{breach_suspected}", STREAM, 7, regulation="HIPAA", inputs="breach_suspected boolean"),
     ]
     wanted = {"GDPR": gdpr, "HIPAA": hipaa}
     return [replace(r, enabled=wanted[r.regulation]) for r in rules]
@@ -202,23 +239,43 @@ def regulatory_rules(reference_time: str, gdpr: bool = True, hipaa: bool = True)
 def decide(df: DataFrame, *layers: list[RouteRule], fallback: str = STREAM, errors: Column | None = None) -> Column:
     """struct(route, reason) of the first rule that hits over all layers in order.
 
-    `errors` marks records whose inputs could not be read (for example a failed `try_cast`);
-    they take the fallback route before any rule is tried. When no rule hits, the fallback
-    route is taken as well.
+    Before a rule is tried its inputs are: where one is given but not of the declared type, the record takes the
+    fallback route, unless an earlier rule has hit. When no rule hits, the fallback route is taken as well.
+    `errors` marks records that the caller knows to be unreadable; they take it before any rule.
     """
+    steps = [] if errors is None else [(F.coalesce(errors, F.lit(False)), _to(fallback, "rule_error"))]
+    for rule in _in_order(df, layers):
+        failed = list(rule.misread(df).values())
+        if failed:
+            steps.append((_any(failed), _to(fallback, "rule_error")))
+        steps.append((rule.hits(df), _to(rule.route, rule.id)))
     chain = None
-    if errors is not None:
-        chain = F.when(F.coalesce(errors, F.lit(False)), _to(fallback, "rule_error"))
-    for layer in layers:
-        for rule in sorted(layer, key=lambda r: r.priority):
-            if not rule.enabled or any(n not in df.columns for n in rule.needs):
-                continue
-            test = F.expr(f"coalesce({rule.condition}, false)")
-            outcome = _to(rule.route, rule.id)
-            chain = F.when(test, outcome) if chain is None else chain.when(test, outcome)
+    for test, outcome in steps:
+        chain = F.when(test, outcome) if chain is None else chain.when(test, outcome)
     return _to(fallback, "fallback") if chain is None else chain.otherwise(_to(fallback, "fallback"))
 
 
+def _in_order(df: DataFrame, layers: Iterable[list[RouteRule]]) -> list[RouteRule]:
+    return [rule for layer in layers for rule in sorted(layer, key=lambda r: r.priority) if rule.applies(df)]
+
+
+def _any(tests: list[Column]) -> Column:
+    out = tests[0]
+    for test in tests[1:]:
+        out = out | test
+    return out
+
+
+def rule_errors(df: DataFrame, *layers: list[RouteRule]) -> Column:
+    """Array of (rule, column, value) for every input of a rule that is given but cannot be read as declared."""
+    entries = [
+        F.when(failed, F.struct(F.lit(rule.id).alias("rule"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")))
+        for rule in _in_order(df, layers) for c, failed in rule.misread(df).items()
+    ]
+    kind = "array<struct<rule: string, column: string, value: string>>"
+    return F.filter(F.array(*entries).cast(kind), lambda x: x.isNotNull())
+
+
 def severity_route(severity: Column, complexity_score: Column) -> Column:
     """Documented variant: critical first, then complexity of 4 and more."""
     return (
@@ -286,10 +343,10 @@ def statistics(decided: DataFrame, route: str = "decision.route", reason: str =
 
 def rule_hits(df: DataFrame, rules: list[RouteRule]) -> DataFrame:
     """How often each rule would hit on its own, in one aggregate."""
-    usable = [r for r in rules if r.enabled and all(n in df.columns for n in r.needs)]
+    usable = [r for r in rules if r.applies(df)]
     counts = df.agg(
         F.count("*").alias("total"),
-        *[F.count_if(F.expr(f"coalesce({r.condition}, false)")).alias(f"n{i}") for i, r in enumerate(usable)],
+        *[F.count_if(r.hits(df)).alias(f"n{i}") for i, r in enumerate(usable)],
     )
     rows = [
         F.struct(F.lit(r.id).alias("rule"), F.col(f"n{i}").alias("hits"), (F.col(f"n{i}") / F.col("total")).alias("hit_rate"))

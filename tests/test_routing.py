@@ -111,3 +111,29 @@ def test_learned_route_scores_records_without_features(spark):
     df = spark.createDataFrame(rows, "size double, other double, label double")
     scored = ro.learned_route(df, ["size", "other"], "label").transform(df)
     assert scored.count() == len(rows) and scored.where("prediction IS NULL").count() == 0
+
+
+def test_rules_in_error_take_the_fallback(spark):
+    df = spark.createDataFrame(
+        [("a", "n/a", "5"), ("b", "0", "bad"), ("c", "3", "bad"), ("d", "", "20000"), ("e", None, None), ("f", " 2 ", "20000")],
+        "id string, days_to_deadline string, amount string",
+    ).withColumn("type", F.lit("financial"))
+    layer = ro.operational_rules(df.schema, ("id",))
+    got = {r.id: (r.d.route, r.d.reason) for r in df.select("id", ro.decide(df, layer, fallback="review").alias("d")).collect()}
+    assert got == {
+        "a": ("review", "rule_error"), "b": ("stream", "urgent_deadline"), "c": ("review", "rule_error"),
+        "d": ("stream", "high_value_transaction"), "e": ("batch", "default"), "f": ("stream", "high_value_transaction"),
+    }
+    errors = {r.id: [tuple(x) for x in r.e] for r in df.select("id", ro.rule_errors(df, layer).alias("e")).collect()}
+    assert errors["a"] == [("urgent_deadline", "days_to_deadline", "n/a")] and errors["b"] == errors["c"] == [("high_value_transaction", "amount", "bad")]
+    assert errors["d"] == errors["e"] == errors["f"] == []
+    assert {r.rule: r.hits for r in ro.rule_hits(df, layer).collect()}["urgent_deadline"] == 1
+
+
+def test_typed_inputs_are_not_tested_again(spark):
+    df = spark.createDataFrame([(1, 2.0, True)], "id int, amount double, audit_required boolean").withColumn("type", F.lit("financial"))
+    rules = [*ro.operational_rules(df.schema), *ro.regulatory_rules("2024-01-01 00:00:00")]
+    assert all(not r.misread(df) for r in rules if r.applies(df))
+    late = spark.createDataFrame([("soon",), ("2024-01-01 03:00:00",), ("2030-01-01",)], "compliance_deadline string")
+    adaptive = ro.adaptive_rules(late.schema, "other", "2024-01-01 00:00:00", ())
+    assert [r.d.reason for r in late.select(ro.decide(late, adaptive).alias("d")).collect()] == ["rule_error", "compliance_deadline_urgent", "default_batch_routing"]
