@@ -1,64 +1,41 @@
 """Running sums and row numbers that never put one ordering into one task.
 
-A window without PARTITION BY, or with one hot key, sorts everything in a single task.
-Here the ordering is cut into ranges first. The range limits come from a small fixed-size
-hash sample of the keys, become literals of the plan (so a recomputed task sees the same
-limits) and need not be exact for the result to be exact.
+A window without PARTITION BY, or with one hot key, sorts everything in a single task. Here the ordering is cut
+into ranges first. The range limits come from a sample: rows whose key hashes below a share of the hash space that
+makes about SAMPLES_PER_RANGE of them per range, so a recomputed task finds the same rows. The sample is an
+aggregate of the plan (a scalar subquery over the key columns), not a job of its own, and a row finds its range by
+a binary search in it. Limits need not be exact for the result to be exact.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_SAMPLES_PER_RANGE = 16
-_MAX_RANGES = 8192  # bounds the literals of the plan; a range may hold any number of rows
-_BLOCK = 64
-
-
-def _range_limits(df: DataFrame, order: list[str], ranges: int) -> list:
-    """At most `ranges - 1` keys; the sample is a per-task top-n, no full sort."""
-    wanted = ranges * _SAMPLES_PER_RANGE
-    keys = df.select(*order)
-    sample = (
-        keys.withColumn("__h", F.xxhash64(*order))
-        .orderBy("__h", *order)
-        .limit(wanted)
-        .drop("__h")
-        .orderBy(*order)
-        .collect()
-    )
-    step = max(1, len(sample) // ranges)
-    return sample[step::step][: ranges - 1]
-
+SAMPLES_PER_RANGE = 16
 
-def _range_index(df: DataFrame, order: list[str], limits: list) -> Column:
-    """Index of the range a row falls in: a tree of comparisons, and a short list below each leaf if there are many."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(c).alias(c) for c in order])
 
-    def literal(limit) -> Column:
-        return F.struct(*[F.lit(limit[c]).cast(types[c]).alias(c) for c in order])
+def _range_limits(df: DataFrame, unique: list[str], order: list[str], ranges: int) -> Column:
+    """Sorted array of about `ranges` keys, as a scalar subquery; `unique` columns tell the rows apart.
 
-    def tree(steps: list, low: int, high: int, leaf) -> Column:
-        """`leaf(i)` where exactly `i` of the steps are at or below the key."""
-        if low == high:
-            return leaf(low)
-        middle = (low + high) // 2
-        return F.when(key < literal(steps[middle]), tree(steps, low, middle, leaf)).otherwise(
-            tree(steps, middle + 1, high, leaf)
-        )
+    The hash of a unique key is even, so the sample has the wanted size whatever the distribution of the keys.
+    """
+    share = F.lit(float(ranges * SAMPLES_PER_RANGE)) / df.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    draw = F.shiftrightunsigned(F.xxhash64(*unique), 1) / F.lit(float(1 << 63))
+    keys = df.where(draw < share).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("keys"))
+    every = F.greatest(F.lit(1), F.size("keys").cast("int") / F.lit(ranges)).cast("int")
+    return keys.select(F.filter("keys", lambda _, i: (i + 1) % every == 0)).scalar()
 
-    if len(limits) <= 4 * _BLOCK:
-        return tree(limits, 0, len(limits), F.lit)
-    blocks = [limits[i:i + _BLOCK] for i in range(0, len(limits), _BLOCK)]
 
-    def inside(i: int) -> Column:
-        # The tree has placed the key at or above the first limit of its block.
-        block = blocks[max(i - 1, 0)]
-        below = F.filter(F.array(*[literal(x) for x in block]), lambda x: x <= key)
-        return F.lit(max(i - 1, 0) * _BLOCK) + F.size(below)
+def _with_range(df: DataFrame, limits: Column, order: list[str], ranges: int, name: str) -> DataFrame:
+    """`df` with the number of limits at or below its key: a binary search, a projection for each halving step.
 
-    return tree([b[0] for b in blocks], 0, len(blocks), inside)
+    There are fewer than twice `ranges` limits, since they are every n-th key for the largest n that leaves `ranges`.
+    """
+    key, at = F.struct(*order), F.col(name)
+    out = df.select("*", limits.alias("__limits"), F.lit(0).alias(name))  # read once, passed on by reference within the stage
+    for step in (1 << i for i in reversed(range((2 * ranges).bit_length()))):
+        out = out.withColumn(name, at + F.when(F.get("__limits", at + (step - 1)) <= key, step).otherwise(0))
+    return out.drop("__limits")
 
 
 def running_sum(
@@ -73,18 +50,18 @@ def running_sum(
 
     Three cheap steps: totals per (partition, range) with map-side combine, offsets from
     those totals, and a window inside each range. A key that holds a third of all rows is
-    still spread over all ranges.
+    still spread over all ranges. Nothing runs before the action; it reads the order columns three times
+    (count, sample, totals) and the other columns once.
     """
     if ranges is None:
-        ranges = min(_MAX_RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    limits = _range_limits(df, order, ranges)
+        ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limits = _range_limits(df, [*partition, *order], order, ranges)
     # One struct as partition key: never NULL itself and NULL fields compare equal, so the
     # join and the window share one shuffle.
     key_columns = [F.struct(*partition).alias("__p")] if partition else []
-    cut = df.select(
+    cut = _with_range(df, limits, order, ranges, "__r").select(
         "*",
         *key_columns,
-        _range_index(df, order, limits).alias("__r"),
         *[value.alias(f"__v_{name}") for name, value in sums.items()],
     )
     outer = ["__p"] if partition else []
@@ -95,7 +72,7 @@ def running_sum(
         *keys, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums]
     )
     if not partition:
-        offsets = F.broadcast(offsets)  # at most `ranges` rows
+        offsets = F.broadcast(offsets)  # fewer than 2 * ranges rows
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     results = [
