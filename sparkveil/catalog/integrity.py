@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkveil.catalog.registry import query
-from sparkveil.operators import integrity as ig
+from sparkveil.operators import baselines as bl, integrity as ig
+from sparkveil.session import run_dir
 from sparkveil.views import table, view
 
 _FIELDS = ("c_mktsegment", "c_name", "c_nationkey", "record_id")
@@ -34,10 +35,15 @@ def baseline(spark, sf_dir):
     return out.select("baseline_id", "record_id", "record_hash", "schema_hash", "columns", "c_name")
 
 
+def digest_sql(column: str) -> str:
+    """SHA-256 over the number of hashes and the sums of their four 64-bit parts."""
+    sums = ", ".join(f"CAST(sum(CAST(('0x' || substr({column}, {16 * i + 1}, 16)) AS UBIGINT)) AS VARCHAR)" for i in range(4))
+    return f"sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {sums}))"
+
+
 @query("i2_baseline_summary", ("v_baseline",), f"""
-WITH h AS (SELECT CAST(('0x' || substr({hash_sql()}, 1, 15)) AS BIGINT) AS x FROM v_baseline)
-SELECT 'B1' AS baseline_id, CAST(count(*) AS BIGINT) AS total_records, sha256('{_SCHEMA_TEXT}') AS schema_hash,
-  sha256(concat_ws(':', CAST(count(*) AS VARCHAR), CAST(sum(x) AS VARCHAR))) AS content_hash FROM h""")
+WITH h AS (SELECT {hash_sql()} AS x FROM v_baseline)
+SELECT 'B1' AS baseline_id, CAST(count(*) AS BIGINT) AS total_records, sha256('{_SCHEMA_TEXT}') AS schema_hash, {digest_sql('x')} AS content_hash FROM h""")
 def baseline_summary(spark, sf_dir):
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return ig.baseline_summary(ig.baseline(view(spark, sf_dir, "v_baseline"), "B1", at))
@@ -69,6 +75,54 @@ def change_counts(spark, sf_dir):
     return out.groupBy("change_type", "severity").agg(F.count("*").alias("events"))
 
 
+_RANGE_DIGITS = 1  # 16 ranges: the given tables are small
+
+
+def _stored(spark, sf_dir, current: str):
+    """Two stored baselines: the trusted set, and a current one in which only some ranges differ or many."""
+    root = run_dir(spark, "baselines")
+    for name in ("v_baseline", current):
+        df = view(spark, sf_dir, name) if name != "few" else view(spark, sf_dir, "v_baseline").withColumn(
+            "c_mktsegment", F.when(F.col("record_id").cast("bigint") % 301 == 0, "TAMPERED").otherwise(F.col("c_mktsegment"))
+        ).where("CAST(record_id AS BIGINT) % 997 <> 0")
+        bl.store(df, f"{root}/{name}", digits=_RANGE_DIGITS)
+    return f"{root}/v_baseline", f"{root}/{current}"
+
+
+@query("i2_range_digests", ("v_baseline",), f"""
+WITH h AS (SELECT {hash_sql()} AS x, CAST(('0x' || substr(sha256(record_id), 1, {_RANGE_DIGITS})) AS INTEGER) AS node FROM v_baseline)
+SELECT node, CAST(count(*) AS BIGINT) AS records, {digest_sql('x')} AS digest FROM h GROUP BY node""")
+def range_digests(spark, sf_dir):
+    """The leaves of the tree of digests that is stored with a baseline."""
+    old, _ = _stored(spark, sf_dir, "few")
+    return bl.tree(spark, old).where(f"level = {_RANGE_DIGITS}").select("node", "records", "digest")
+
+
+@query("i3_by_ranges", ("v_baseline", "v_current"), f"""
+WITH {_CHANGES} SELECT record_id, change_type, old_hash, new_hash, {_SEV} AS severity, {_IMP} AS compliance_impact, CAST(1 AS BIGINT) AS copies,
+  CASE change_type WHEN 'record_modified' THEN 'c_mktsegment:' || old_segment || '>' || new_segment END AS fields FROM ev""")
+def changes_by_ranges(spark, sf_dir):
+    """The change events of two stored baselines, read from the ranges whose digests differ."""
+    out = bl.changes(spark, *_stored(spark, sf_dir, "v_current"))
+    shown = F.transform(F.map_entries("affected_fields"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["old"], F.lit(">"), e["value"]["new"]))
+    return out.select(
+        "record_id", "change_type", "old_hash", "new_hash", "severity", "compliance_impact", "copies", F.array_join(shown, ",").alias("fields")
+    )
+
+
+_FEW = f"""c AS (SELECT record_id, CAST(record_id AS BIGINT) % 301 = 0 AND CAST(record_id AS BIGINT) % 997 <> 0 AND c_mktsegment <> 'TAMPERED' AS modified, CAST(record_id AS BIGINT) % 997 = 0 AS gone,
+  CAST(('0x' || substr(sha256(record_id), 1, {_RANGE_DIGITS})) AS INTEGER) AS node FROM v_baseline),
+d AS (SELECT node, count(*) AS records, count(*) FILTER (NOT gone) AS kept, bool_or(modified OR gone) AS changed FROM c GROUP BY node)"""
+
+
+@query("i3_range_report", ("v_baseline",), f"""
+WITH {_FEW} SELECT CAST(count(*) AS BIGINT) AS ranges, CAST(count(*) FILTER (changed) AS BIGINT) AS changed_ranges, CAST(sum(records + kept) AS BIGINT) AS records,
+  CAST(coalesce(sum(records + kept) FILTER (changed), 0) AS BIGINT) AS records_read FROM d""")
+def range_report(spark, sf_dir):
+    """How much of two baselines a comparison reads, told by their trees."""
+    return bl.report(spark, *_stored(spark, sf_dir, "few"))
+
+
 @query("i4_field_diff", ("v_baseline", "v_current"), f"""
 WITH {_CHANGES} SELECT record_id, 'c_mktsegment' AS field, old_segment AS old, new_segment AS new FROM ev WHERE change_type = 'record_modified'""")
 def field_diff(spark, sf_dir):

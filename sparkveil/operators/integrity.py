@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sparkveil.functions.hashing import record_hash
+from sparkveil.functions.hashing import hmac_sha256, record_hash
 
 # Severity and compliance impact per kind of change.
 SEVERITY = {"record_modified": "high", "record_added": "medium", "record_deleted": "critical"}
@@ -42,18 +42,25 @@ def baseline(df: DataFrame, baseline_id: str, created_at: Column, id_column: str
     )
 
 
-def baseline_summary(stored: DataFrame) -> DataFrame:
-    """Totals per baseline with an order-free content hash, combined map-side.
+def multiset_digest(record_hash: Column) -> Column:
+    """Aggregate: SHA-256 over the number of hex hashes and the exact sums of their four 64-bit parts.
 
-    The content hash covers the exact sum of 60-bit record hashes and their count, so equal
-    copies count and no sort or concatenation of all records is needed.
+    Order-free and combined map-side, equal copies count, and every bit of every hash takes part. Sums of plain
+    hashes can be forged by someone who may choose many records; give keyed hashes (`keyed`) where that matters.
     """
-    head = F.conv(F.substring("record_hash", 1, 15), 16, 10).cast("bigint").cast("decimal(28,0)")
+    parts = [F.conv(F.substring(record_hash, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[F.sum(p).cast("string") for p in parts]), 256)
+
+
+def keyed(record_hash: Column, secret: bytes) -> Column:
+    """The hash under a secret, so that nobody without it can find records of a wanted sum."""
+    return hmac_sha256(record_hash, secret)
+
+
+def baseline_summary(stored: DataFrame) -> DataFrame:
+    """Totals per baseline with an order-free content hash (`multiset_digest`); no sort or concatenation of all records."""
     return stored.groupBy("baseline_id").agg(
-        F.count("*").alias("total_records"), F.sum(head).alias("__sum"), F.max("schema_hash").alias("schema_hash")
-    ).select(
-        "baseline_id", "total_records", "schema_hash",
-        F.sha2(F.concat_ws(":", F.col("total_records").cast("string"), F.col("__sum").cast("string")), 256).alias("content_hash"),
+        F.count("*").alias("total_records"), F.max("schema_hash").alias("schema_hash"), multiset_digest(F.col("record_hash")).alias("content_hash")
     )
 
 
@@ -112,14 +119,15 @@ def detect_changes(
         "record_id", "old_hash", F.lit(None).cast("string").alias("new_hash"),
         F.lit("record_deleted").alias("change_type"), empty.alias("affected_fields"),
     )
-    return _as_events(changed.unionByName(deleted))
+    return as_events(changed.unionByName(deleted))
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
 
 
-def _as_events(changes: DataFrame) -> DataFrame:
+def as_events(changes: DataFrame, *carried: str) -> DataFrame:
+    """Changes as events, with severity, impact and a sentence."""
     kind = F.col("change_type")
     text = (
         F.when(kind == "record_modified", F.concat(F.lit("Record "), F.col("record_id"), F.lit(" was modified")))
@@ -128,7 +136,7 @@ def _as_events(changes: DataFrame) -> DataFrame:
     )
     return changes.select(
         "change_type", "record_id", "old_hash", "new_hash", _lookup(SEVERITY, kind).alias("severity"),
-        _lookup(IMPACT, kind).alias("compliance_impact"), text.alias("description"), "affected_fields",
+        _lookup(IMPACT, kind).alias("compliance_impact"), text.alias("description"), "affected_fields", *carried,
     )
 
 

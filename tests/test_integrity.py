@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from sparkveil.functions.hashing import record_hash
-from sparkveil.operators import integrity as ig, reports as rp
+from sparkveil.operators import baselines as bl, integrity as ig, reports as rp
 
 
 def events(trusted, current, **kwargs):
@@ -124,3 +124,40 @@ def test_record_hash_tells_borders_and_nulls_apart(spark):
     rows = [("1\u0001b\u00012", "3"), ("1", "2\u0001b\u00013"), (None, "x"), ("\u0000", "x"), ("N", "x")]
     df = spark.createDataFrame(rows, "a string, b string")
     assert df.select(record_hash(df.schema).alias("h")).distinct().count() == len(rows)
+
+
+def _store(spark, tmp_path, name, rows, **kwargs):
+    bl.store(spark.createDataFrame(rows, "record_id string, t string, x int"), f"{tmp_path}/{name}", **kwargs)
+    return f"{tmp_path}/{name}"
+
+
+def test_only_ranges_that_differ_are_read(spark, tmp_path):
+    rows = [(f"r{i}", "a", i) for i in range(4000)]
+    now = [(i, "z" if i == "r17" else t, x) for i, t, x in rows if i != "r99"] + [("new", None, 1), ("new", None, 1)]
+    old, new = _store(spark, tmp_path, "old", rows), _store(spark, tmp_path, "new", now)
+    found = bl.changes(spark, old, new).collect()
+    assert sorted((r.change_type, r.record_id, r.copies) for r in found) == [("record_added", "new", 2), ("record_deleted", "r99", 1), ("record_modified", "r17", 1)]
+    modified = next(r for r in found if r.record_id == "r17")
+    assert {k: (v["old"], v["new"]) for k, v in modified.affected_fields.items()} == {"t": ("a", "z")}
+    nodes = [r.node for r in bl.changed_ranges(spark, old, new).collect()]
+    assert 1 <= len(nodes) <= 3
+    scan = bl.read_ranges(spark, old, nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(node" in scan or "PartitionFilters: [node" in scan
+    for path in (old, new):  # what differs nowhere may be gone
+        for part in (tmp_path / path).glob("records/node=*/*"):
+            if int(part.parent.name.split("=")[1]) not in nodes:
+                part.unlink()
+    assert {(r.change_type, r.record_id) for r in bl.changes(spark, old, new).collect()} == {(r.change_type, r.record_id) for r in found}
+    row = bl.report(spark, old, new).first()
+    assert row.changed_ranges == len(nodes) and row.records == 8001 and row.records_read < 200
+
+
+def test_equal_and_empty_baselines(spark, tmp_path):
+    rows = [("a", "x", 1), ("b", None, None), ("b", None, None)]
+    one, two = _store(spark, tmp_path, "one", rows), _store(spark, tmp_path, "two", rows[::-1])
+    assert bl.changes(spark, one, two).count() == 0 and bl.report(spark, one, two).first().changed_ranges == 0
+    none = _store(spark, tmp_path, "none", [])
+    assert sorted((r.change_type, r.record_id) for r in bl.changes(spark, none, two).collect()) == [("record_added", "a"), ("record_added", "b")]
+    secret = _store(spark, tmp_path, "keyed", rows, secret=b"k" * 64)
+    roots = [bl.tree(spark, p).where("level = 0").first().digest for p in (one, two, secret)]
+    assert roots[0] == roots[1] != roots[2]
