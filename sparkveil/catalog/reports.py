@@ -64,7 +64,7 @@ def system_stats(spark, sf):
 
 @query("f5_trend", ("v_viol",), """
 SELECT CAST(created_at AS DATE) AS date, CAST(count(*) AS BIGINT) AS violations_count, CAST(count(DISTINCT file_id) AS BIGINT) AS files_affected
-FROM v_viol WHERE created_at >= (SELECT max(created_at) FROM v_viol) - INTERVAL 30 DAY GROUP BY 1 ORDER BY 1 DESC LIMIT 30""")
+FROM v_viol WHERE CAST(created_at AS DATE) > CAST((SELECT max(created_at) FROM v_viol) AS DATE) - 30 GROUP BY 1""")
 def trend(spark, sf):
     df = view(spark, sf, "v_viol")
     return rp.violation_trend(df, rp.newest(df))

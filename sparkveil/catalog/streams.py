@@ -13,8 +13,8 @@ from sparkveil.config import k_anonymity, tokenization
 from sparkveil.operators import flow, governance as gv
 from sparkveil.session import run_dir
 from sparkveil.sources import rejects as rj, topics
-from sparkveil.streaming import jobs
-from sparkveil.views import stream_view, view
+from sparkveil.streaming import consent, jobs
+from sparkveil.views import stream_view, table, view
 
 _AT = "2024-01-01 12:00:00"
 
@@ -158,22 +158,33 @@ def tumbling_closed(spark, sf_dir):
 
 
 _CONSENT_SQL = """c AS (SELECT user_id, arg_max(w, created_at) AS w, max(created_at) AS t FROM (SELECT user_id, created_at, action_type = 'error' AS w FROM v_audit
-  WHERE action_type IN ('error', 'signup') AND created_at < TIMESTAMP '2024-01-12') x GROUP BY 1)"""
+  WHERE action_type IN ('error', 'signup')) x GROUP BY 1)"""
 
 
 @query("x9_consent_join", ("v_audit",), f"""
 WITH {_CONSENT_SQL} SELECT a.id, a.user_id, coalesce(c.w AND a.created_at >= c.t, false) AS blocked FROM v_audit a LEFT JOIN c ON a.user_id = c.user_id""")
 def consent_join(spark, sf_dir):
     """Sign-ups give consent, errors withdraw it; later events of the subject are blocked."""
-    changes = view(spark, sf_dir, "v_audit").filter(
-        "action_type IN ('error', 'signup') AND created_at < timestamp_ntz '2024-01-12'"
-    ).withColumn("withdrawn", F.col("action_type") == "error")
-    consent = jobs.latest_consent(changes, "user_id", "created_at", "withdrawn")
+    changes = view(spark, sf_dir, "v_audit").filter("action_type IN ('error', 'signup')").withColumn("withdrawn", F.col("action_type") == "error")
+    newest = jobs.latest_consent(changes, "user_id", "created_at", "withdrawn")
     stream = stream_view(spark, sf_dir, "v_audit", "events")
-    blocked = jobs.block_withdrawn(stream, consent, "user_id", "created_at")
+    blocked = jobs.block_withdrawn(stream, newest, "user_id", "created_at")
     return jobs.collect_table(blocked, "x9").select("id", "user_id", "blocked")
 
 
+@query("x9_consent_stream", ("v_audit",), """
+WITH c AS (SELECT user_id, created_at, bool_or(action_type = 'error') AS withdrawn FROM v_audit WHERE action_type IN ('error', 'signup') GROUP BY 1, 2)
+SELECT a.id, a.user_id, coalesce(c.withdrawn, false) AS blocked FROM v_audit a ASOF LEFT JOIN c ON a.user_id = c.user_id AND a.created_at >= c.created_at""")
+def consent_stream(spark, sf_dir):
+    """Changes and events in one stream of eight micro-batches, in no order of time: late changes reopen finished events."""
+    folder = run_dir(spark, "consent-events")
+    table(spark, sf_dir, "events").repartition(8, "event_id").write.parquet(folder)
+    stream = stream_view(spark, sf_dir, "v_audit", "events", files_per_trigger=1, folder=folder)
+    change = F.when(F.col("action_type").isin("error", "signup"), F.col("action_type") == "error")
+    decided = consent.decide(stream, "user_id", "id", "created_at", change, horizon="60 days")
+    return consent.latest(jobs.collect_table(decided, "x9s")).select(F.col("id").cast("bigint").alias("id"), F.col("user_id").cast("bigint").alias("user_id"), "blocked")
+
+
 @query("x10_redacted_stream", ("v_pat",), f"SELECT id, {_redact_sql('patient_name')} AS patient_name, {_redact_sql('phone')} AS phone FROM v_pat")
 def redacted_stream(spark, sf_dir):
     stream = stream_view(spark, sf_dir, "v_pat", "customer")

@@ -133,9 +133,14 @@ def erasure_status(records: DataFrame, requests: DataFrame, subject: str, as_of:
 
 
 def breach_clock(detections: DataFrame, notices: DataFrame, key: str, as_of: Column, hours: int = 72) -> DataFrame:
-    """Detected breaches with the time to the first notice and whether the 72 hours were missed."""
-    first = notices.groupBy(key).agg(F.min("notified_at").alias("notified_at"))
-    joined = detections.join(first, key, "left")
+    """Detected breaches with the time to the first notice that follows, and whether the 72 hours were missed.
+
+    Notices are reduced to one per breach before the outer join; a notice before the detection is none of it.
+    """
+    found = detections.select(F.col(key).alias("__key"), F.col("detected_at").alias("__at")).distinct()
+    follows = notices.join(found, (F.col(key) == F.col("__key")) & (F.col("notified_at") >= F.col("__at")))
+    first = follows.groupBy("__key", "__at").agg(F.min("notified_at").alias("notified_at"))
+    joined = detections.join(first, (F.col(key) == F.col("__key")) & (F.col("detected_at") == F.col("__at")), "left")
     until = F.coalesce(F.col("notified_at"), as_of)
     elapsed = F.timestamp_diff("SECOND", F.col("detected_at"), until) / F.lit(3600.0)
     return joined.select(

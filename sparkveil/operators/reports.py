@@ -100,12 +100,12 @@ def system_statistics(users: DataFrame, files: DataFrame, records: DataFrame, jo
 
 
 def violation_trend(violations: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """Violations and affected files per day, newest first."""
-    recent = since(violations, as_of, "DAY", days)
+    """Violations and affected files per day of the last `days` dates, the newest included and first."""
+    recent = violations.where(F.to_date("created_at") > F.date_sub(F.to_date(as_of), days))
     daily = recent.groupBy(F.to_date("created_at").alias("date")).agg(
         F.count("*").alias("violations_count"), F.count_distinct("file_id").alias("files_affected")
     )
-    return daily.orderBy(F.col("date").desc()).limit(days)
+    return daily.orderBy(F.col("date").desc())
 
 
 def type_statistics(violations: DataFrame) -> DataFrame:

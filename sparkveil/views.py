@@ -107,6 +107,12 @@ SELECT c_custkey AS file_id, 'file_' || CAST(c_custkey AS STRING) || '.csv' AS f
   CASE c_custkey % 3 WHEN 0 THEN 'processed' WHEN 1 THEN 'processing' ELSE 'uploaded' END AS file_status,
   CAST(floor(c_acctbal) AS BIGINT) AS total_records
 FROM customer
+"""),
+    # Requests of data subjects: one per order, its kind told by the order's state.
+    "v_requests": (("orders", "customer"), """
+SELECT o.o_orderkey AS request_id, c.c_name AS customer_name, o.o_orderdate AS requested_at,
+  CASE o.o_orderstatus WHEN 'F' THEN 'access' WHEN 'O' THEN 'rectification' ELSE 'erasure' END AS kind
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 """),
     # Healthcare records with the consent columns of the second rule catalogue.
     "v_consent": (("orders", "customer"), """
