@@ -11,8 +11,8 @@ from sparkveil.catalog.registry import query
 from sparkveil.config import k_anonymity, tokenization
 from sparkveil.operators import flow, generate as gen
 from sparkveil.session import run_dir
-from sparkveil.sources import files, sinks, topics
-from sparkveil.views import table, view
+from sparkveil.sources import appends, files, sinks, topics
+from sparkveil.views import stream_view, table, view
 
 _AT = "2024-01-01 12:00:00"
 
@@ -162,6 +162,86 @@ def violating_records(spark, sf_dir):
     return sinks.violating_record_table(view(spark, sf_dir, "v_ecom"), "ecommerce", "order_id", "f1")
 
 
+_RECORD_FIELDS = ("id", "customer_name", "account_number", "location", "consent_given", "consent_withdrawn", "processing_status", "data_retention_days")
+_RECORD_JSON = "'{' || " + " || ',' || ".join(
+    f"'\"{c}\":' || " + (f"'\"' || {c} || '\"'" if c in ("customer_name", "account_number", "location", "processing_status") else f"CAST({c} AS VARCHAR)") for c in _RECORD_FIELDS
+) + " || '}'"
+_RECORD_HASH = "sha256(concat_ws(chr(1), " + ", ".join(
+    f"'{c}', CASE WHEN {c} IS NULL THEN 'N' ELSE 'V' || strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in sorted(_RECORD_FIELDS)
+) + "))"
+
+
+@query("s11_appended", ("v_fin",), f"""
+WITH r AS (SELECT CAST(id AS BIGINT) AS id, customer_name, account_number, location, consent_given, consent_withdrawn, processing_status, data_retention_days, {_COUNT_FIN} AS v FROM v_fin),
+n AS (SELECT *, CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS row_number FROM r), j AS (SELECT unnest(['job1', 'job2']) AS job_id)
+SELECT job_id, 'file1' AS file_id, job_id || '_' || CAST(row_number - 1 AS VARCHAR) AS record_id, row_number, {_RECORD_JSON} AS original_data,
+  '{{"id":' || CAST(id AS VARCHAR) || ',"account_number":"' || account_number || '"}}' AS processed_data, true AS has_pii, v > 0 AS has_violations,
+  CASE WHEN v = 0 THEN '' WHEN NOT consent_given THEN 'missing_consent' ELSE 'compliance_violation' END AS violation_types,
+  round(1.0 - v / 5.0, 6) AS compliance_score, {_RECORD_HASH} AS record_hash FROM n, j""")
+def appended_records(spark, sf_dir):
+    """The record table of two jobs, one of them appended twice, read back with every column."""
+    df = view(spark, sf_dir, "v_fin").select(F.col("id").cast("bigint").alias("id"), *_RECORD_FIELDS[1:])
+    path = run_dir(spark, "record-table")
+    for job in ("job1", "job2", "job1"):
+        appends.append(sinks.record_table(df, "financial", job, "file1", ["id"], ["id", "account_number"]), path, job)
+    out = appends.read(spark, path).drop(appends.BATCH)
+    return out.withColumns({"violation_types": F.array_join("violation_types", ","), "compliance_score": F.round("compliance_score", 6)})
+
+
+@query("s12_appended", ("v_ecom",), """
+SELECT 'f1' AS file_id, order_id AS record_id, 'missing_consent' AS violation_type, 'GDPR' AS violation_category, 'critical' AS severity,
+  'Processing personal data without explicit consent' AS description, 'consent_given' AS affected_columns, 'open' AS status FROM v_ecom WHERE NOT consent_given
+UNION ALL SELECT 'f1', order_id, 'phi_exposure', 'PCI-DSS', 'critical', 'Exposed credit card number violates PCI-DSS', 'credit_card', 'open' FROM v_ecom WHERE credit_card NOT LIKE '%*%'
+UNION ALL SELECT 'f1', order_id, 'data_retention', 'GDPR', 'medium', 'Data retained for ' || CAST(data_retention_days AS VARCHAR) || ' days, exceeds limit of 365', 'data_retention_days', 'open' FROM v_ecom WHERE data_retention_days > 365""")
+def appended_violations(spark, sf_dir):
+    """Violations by regulation, each part appended twice, read back with every column."""
+    found = sinks.violation_table(view(spark, sf_dir, "v_ecom"), "ecommerce", "order_id", "f1")
+    path = run_dir(spark, "violation-table")
+    for law in ("GDPR", "PCI-DSS") * 2:
+        appends.append(found.where(F.col("violation_category") == law), path, law)
+    return appends.read(spark, path).drop(appends.BATCH).withColumn("affected_columns", F.array_join("affected_columns", ","))
+
+
+_LOG_DERIVED = {
+    "experiment_id": "'run' || CAST(job_id AS VARCHAR)", "pipeline_type": "pipeline_type", "records_processed": "records_processed",
+    "pure_processing_time_seconds": "CAST(processing_time_seconds AS DOUBLE)", "total_time_seconds": "CAST(processing_time_seconds + 1 AS DOUBLE)",
+    "records_per_second": "round(CAST(records_processed AS DOUBLE) / processing_time_seconds, 6)",
+    **{c: "round(processing_time_seconds * 1000.0 / records_processed, 6)" for c in ("avg_latency_ms", "max_latency_ms", "min_latency_ms")},
+    "e2e_latency_ms": "round((processing_time_seconds + 1) * 1000.0 / records_processed, 6)", "success": "status = 'completed'",
+}
+_SQL_KINDS = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+@query("s15_appended", ("v_jobs",), "SELECT " + ", ".join(
+    f"{_LOG_DERIVED[name]} AS {name}" if name in _LOG_DERIVED else f"CAST({'NULL' if default is None else repr(default)} AS {_SQL_KINDS[kind]}) AS {name}"
+    for name, kind, default in sinks.EXPERIMENT_COLUMNS) + " FROM v_jobs")
+def appended_log(spark, sf_dir):
+    """The experiment log of each pipeline appended twice, read back with all 34 columns."""
+    runs_df = view(spark, sf_dir, "v_jobs").select(
+        F.concat(F.lit("run"), F.col("job_id").cast("string")).alias("experiment_id"), "pipeline_type", "records_processed",
+        F.col("processing_time_seconds").cast("double").alias("pure_processing_time_seconds"),
+        (F.col("processing_time_seconds") + 1).cast("double").alias("total_time_seconds"), (F.col("status") == "completed").alias("success"),
+    )
+    path = run_dir(spark, "experiment-log")
+    for pipeline in ("batch", "stream", "hybrid") * 2:
+        appends.append(sinks.experiment_log(runs_df.where(F.col("pipeline_type") == pipeline)), path, pipeline)
+    out = appends.read(spark, path).drop(appends.BATCH)
+    return out.withColumns({c: F.round(c, 6) for c in ("records_per_second", "avg_latency_ms", "max_latency_ms", "min_latency_ms", "e2e_latency_ms")})
+
+
+@query("v4_audit_log", ("v_audit",), """
+SELECT action_type, user_id, 'event' AS resource_type, created_at, '{"id":' || CAST(id AS VARCHAR) || ',"action_type":"' || action_type || '"}' AS details FROM v_audit""")
+def audit_log(spark, sf_dir):
+    """Audit events as a stream of five micro-batches appended to a log; the whole stream is then delivered again."""
+    folder, path = run_dir(spark, "audit-events"), run_dir(spark, "audit-log")
+    table(spark, sf_dir, "events").repartition(5, "event_id").write.parquet(folder)
+    for attempt in range(2):
+        stream = stream_view(spark, sf_dir, "v_audit", "events", files_per_trigger=1, folder=folder)
+        rows = sinks.audit_rows(stream, F.col("action_type"), F.col("user_id"), F.col("created_at"), "event", ["id", "action_type"])
+        appends.append_stream(rows, path, f"{path}/checkpoint-{attempt}", "audit").awaitTermination()
+    return appends.read(spark, path).drop(appends.BATCH)
+
+
 @query("s13_clean", ("v_audit",), """
 SELECT id, CASE WHEN id % 5 IN (0, 1) THEN NULL ELSE detail END AS amount, CASE WHEN id % 7 = 0 THEN NULL ELSE action_type END AS label,
   strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS at, CASE WHEN id % 5 IN (0, 1) THEN NULL ELSE detail END AS nested_amount FROM v_audit""")

@@ -63,6 +63,14 @@ def record_table(df: DataFrame, data_type: str, job_id: str, file_id: str, order
     )
 
 
+def audit_rows(df: DataFrame, action: Column, user: Column, at: Column, resource: str, details: list[str]) -> DataFrame:
+    """Audit events as they are appended: who did what to which resource and when, with details as JSON."""
+    return df.select(
+        action.alias("action_type"), user.alias("user_id"), F.lit(resource).alias("resource_type"), at.alias("created_at"),
+        F.to_json(F.struct(*details), {"ignoreNullFields": "false"}).alias("details"),
+    )
+
+
 def violation_table(df: DataFrame, data_type: str, key: str, file_id: str) -> DataFrame:
     """One row per violation."""
     rows = co.violation_rows(df, data_type, [key])
