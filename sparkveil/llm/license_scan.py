@@ -40,6 +40,11 @@ PASSAGES = (
     ("cc-by", "licensed under cc by 4 0"),
     ("mit-notice", "released under the mit license"),
 )
+#: Word pairs without which a passage is another license's: its version, or what it does not allow.
+DECISIVE = {
+    "apache-notice": ("version 2", "2 0"), "gpl-notice": ("gnu general", "version 3"), "cc-by-nc": ("by nc", "nc 4"), "cc-by": ("by 4",),
+    "mpl-text": ("mozilla public",), "mit-notice": ("mit license",), "gpl-text": ("gnu general",),
+}
 #: A passage needs this share of its hashes in one span; diagonals this close are merged, as each of the hashes that may
 #: be missing stands for that many words put in at most (see `reach`).
 LEAST_SHARE, NEIGHBOURS = 0.75, 3
@@ -68,6 +73,13 @@ def _templates() -> list[tuple[str, bool, list[int]]]:
     return [(label, base, rolling_hashes(words(text)).tolist()) for label, base, text in both]
 
 
+def _decisive_places(number: int) -> frozenset[int]:
+    """Places of a template's hashes that a span of it must have."""
+    label, _, hashes = _templates()[number]
+    wanted = {h for pair in DECISIVE.get(label, ()) for h in rolling_hashes(words(pair)).tolist()}
+    return frozenset(place for place, h in enumerate(hashes) if h in wanted)
+
+
 def template_places(spark: SparkSession) -> DataFrame:
     """(hash, template, place): a row per template hash, with one for the reserved hash. Its size is that of the lists above."""
     rows = [(h, number, place) for number, (_, _, hashes) in enumerate(_templates()) for place, h in enumerate(hashes)]
@@ -133,9 +145,11 @@ def _rising(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return run[::-1]
 
 
-def verified(hits: list[tuple[int, int]], hashes: int) -> list[tuple[int, int, int]]:
+def verified(hits: list[tuple[int, int]], hashes: int, decisive: frozenset[int] = frozenset()) -> list[tuple[int, int, int]]:
     """(first diagonal, last diagonal, number of places) of the spans that hold enough of a passage's places in rising order.
 
+    The decisive places have to be among them.
+
     From every hit the longest run within `reach` is looked for; only windows with enough different places are searched.
     """
     hits = sorted(hits, key=lambda hit: (hit[0], -hit[1]))
@@ -147,7 +161,7 @@ def verified(hits: list[tuple[int, int]], hashes: int) -> list[tuple[int, int, i
             end += 1
         if word > after and len(inside) >= need:
             run = _rising(hits[start:end])
-            if len(run) >= need:
+            if len(run) >= need and decisive <= {p for _, p in run}:
                 diagonals = [w - p for w, p in run]
                 found.append((min(diagonals), max(diagonals), len(run)))
                 if len(run) == hashes:  # nothing that starts in a whole passage is a better span of it
@@ -159,10 +173,11 @@ def verified(hits: list[tuple[int, int]], hashes: int) -> list[tuple[int, int, i
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    decisive = [_decisive_places(number) for number in range(len(_templates()))]
     for batch in batches:
         at, out = [], []
-        for n, (hashes, voted) in enumerate(zip(batch.column("hashes").to_pylist(), batch.column("voted").to_pylist())):
-            spans = verified([(v["diagonal"] + place, place) for v in voted for place in v["places"]], hashes)
+        for n, (template, hashes, voted) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("template", "hashes", "voted")))):
+            spans = verified([(v["diagonal"] + place, place) for v in voted for place in v["places"]], hashes, decisive[template])
             at += [n] * len(spans)
             out += [(first, last, number / hashes) for first, last, number in spans]
         kept = batch.select(["row", "doc_id", "n_words", "template", "label", "base"]).take(pa.array(at, pa.int64()))
@@ -198,7 +213,8 @@ def spans(docs: DataFrame) -> DataFrame:
 def license_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row of `docs`.
 
-    `score` is 1 with a base phrase, else the largest share of a passage found, else 0. Null text counts as
+    A passage is labelled only with its decisive word pairs, so a notice of a similar license, or of another version,
+    does not pass for it. Texts are read whole, as rows of at most 65,536 hashes. `score` is 1 with a base phrase, else the largest share of a passage found, else 0. Null text counts as
     empty; texts of fewer than two words have no hashes and no labels. Repeated rows are told apart by their
     place in the scan and give a row each. Null doc_ids stay null. Other columns are ignored. An empty table
     gives no rows.

@@ -9,6 +9,7 @@ of the rows that tie with it the smallest ids.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -135,19 +136,22 @@ def _select_pass(vectors: DataFrame, block: Block, kth: np.ndarray, above: np.nd
 def top_k(embeddings: DataFrame, k: int = K, divisor: int = 20, query_block: int = QUERY_BLOCK, scale: float = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of every query, ties to the smaller vec_id.
 
-    Queries are the rows whose vec_id is divisible by `divisor`. Rows that cannot be scored (see `quantised`)
+    ValueError is raised only where the lengths of the two longest vectors multiply to 2^62 or more; then scores
+    may not fit a long. Queries are the rows whose vec_id is divisible by `divisor`. Rows that cannot be scored (see `quantised`)
     take no part. Vectors of unequal length count as filled up with zeros. A repeated vec_id is a candidate
     per row; as a query it is asked once per distinct vector, and never meets rows of its own id. Queries
     without a candidate, and empty tables, give no rows. Other columns are ignored.
     """
     spark = embeddings.sparkSession
     vectors = materialize(quantised(embeddings, scale), "topk-vectors")
-    size = F.aggregate("v", F.lit(0).cast("double"), lambda a, e: F.greatest(a, F.abs(e).cast("double")))
-    facts = vectors.agg(F.max(size).alias("largest"), F.max(F.size("v")).alias("width")).first()
+    length = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)
+    facts = vectors.agg(F.max(F.struct(length.alias("square"), "vec_id")).alias("longest"), F.max(F.size("v")).alias("width")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not facts.width:
         return empty
-    bound = int(facts.largest) ** 2 * facts.width
+    other = vectors.where(F.col("vec_id") != facts.longest.vec_id).agg(F.max(length)).first()[0] or 0.0
+    # No product of vectors with different ids exceeds the product of the two greatest lengths.
+    bound = int(math.sqrt(facts.longest.square) * math.sqrt(other) * (1 + 1e-9)) + 1
     if bound >= 2**62:
         raise ValueError("inner products do not fit 64-bit integers")
     kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64

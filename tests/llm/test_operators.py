@@ -328,8 +328,33 @@ def test_line_dedup_tells_rows_apart(spark, monkeypatch, bucket):
         assert cleaned[i] == (rows[i][0], "\n".join(lines[int(k)] for k in brute[n][2].split(",") if k))
 
 
+def test_one_very_long_vector_does_not_end_the_search(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(60)]
+    rows[7][1][3] = 5e6
+    rows[20][1][3] = -0.5
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    for q in (0, 20, 40):
+        scored = sorted(((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q))[:20]
+        assert [got[q, n + 1] for n in range(20)] == [(i, -score) for score, i in scored]
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(20, [1e9, 0.0]), (1, [1e9, 1.0])], "vec_id long, embedding array<double>"))
+
+
 # licenses
 
+def test_no_license_passes_for_a_similar_one(spark):
+    """Every passage against all others, and notices of licenses and versions that are in no list."""
+    texts = [text for _, text in license_scan.PASSAGES]
+    alike = ["Licensed under CC BY-NC 4.0", "Licensed under CC BY-SA 4.0.", "licensed under CC BY-NC-SA 4.0", "Licensed under CC BY 3.0", "licensed under cc by 4.0",
+             "Licensed under the GNU General Public License, version 2", "licensed under the Apache License, version 1.1", "released under the BSD license"]
+    df = spark.createDataFrame([(i, "it is " + t + " as said") for i, t in enumerate(texts + alike)], "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) - set(license_scan.PHRASES) for r in license_scan.license_report(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [{label} for label, _ in license_scan.PASSAGES]
+    assert [got[len(texts) + i] for i in range(len(alike))] == [{"cc-by-nc"}, set(), set(), set(), {"cc-by"}, set(), set(), set()]
+
+
 def test_licenses_equal_brute_force(spark, docs, odd, empty):
     texts = ["MIT license, mit  LICENSE apache-license", "general public licence general public license", "mit licenses mitlicense", "The GNU General Public License (mit license)"]
     df = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")).union(odd.select("doc_id", "text"))
