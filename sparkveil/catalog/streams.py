@@ -12,8 +12,8 @@ from sparkveil.catalog.registry import query
 from sparkveil.config import k_anonymity, tokenization
 from sparkveil.operators import flow, governance as gv
 from sparkveil.session import run_dir
-from sparkveil.sources import rejects as rj, topics
-from sparkveil.streaming import consent, jobs
+from sparkveil.sources import appends, rejects as rj, topics
+from sparkveil.streaming import consent, jobs, late, metrics
 from sparkveil.views import stream_view, table, view
 
 _AT = "2024-01-01 12:00:00"
@@ -157,6 +157,52 @@ def tumbling_closed(spark, sf_dir):
     return _zoneless(jobs.collect_table(counts, "x8c"), "window_start").select("window_start", "action_type", "n")
 
 
+_ARRIVAL = "least(5, greatest(0, CAST(date_diff('day', DATE '2024-01-01', CAST(created_at AS DATE)) AS INTEGER) // 5) + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END)"
+
+
+@query("x8_late", ("v_audit",), f"""
+WITH b AS (SELECT *, {_ARRIVAL} AS batch FROM v_audit), m AS (SELECT batch, max(created_at) AS newest FROM b GROUP BY batch),
+w AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 HOUR AS closed FROM m),
+r AS (SELECT CAST({_DAY} AS TIMESTAMP) AS window_start, action_type, coalesce(CAST({_DAY} AS TIMESTAMP) + INTERVAL 1 DAY <= closed, false) AS late FROM b JOIN w ON b.batch = w.batch)
+SELECT window_start, action_type, CAST(count(*) FILTER (NOT late) AS BIGINT) AS counted, CAST(count(*) FILTER (late) AS BIGINT) AS late FROM r GROUP BY 1, 2""")
+def late_events(spark, sf_dir):
+    """Events that arrive in up to six micro-batches, a tenth of them one batch late: every row is counted or written aside."""
+    folder, path = run_dir(spark, "late-events"), run_dir(spark, "late-windows")
+    arrival = F.least(F.lit(5), F.greatest(F.lit(0), F.floor(F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 5)) + (F.col("event_id") % 10 == 0).cast("int"))
+    events = table(spark, sf_dir, "events").withColumn("__arrival", arrival)
+    for number in range(6):  # one after the other, as files are taken by their time
+        events.where(F.col("__arrival") == number).drop("__arrival").coalesce(1).write.mode("append").parquet(folder)
+    stream = stream_view(spark, sf_dir, "v_audit", "events", files_per_trigger=1, folder=folder)
+    late.start_windows(stream, "created_at", "1 day", "1 hour", ("action_type",), path, f"{path}/checkpoint").awaitTermination()
+    on_time = late.counted(spark, path, "action_type").select("window_start", "action_type", F.col("n").alias("counted"))
+    aside = late.late_rows(spark, path).groupBy(F.date_trunc("day", F.col("created_at").cast("timestamp")).alias("window_start"), "action_type").agg(F.count("*").alias("late"))
+    both = on_time.join(aside, ["window_start", "action_type"], "full_outer")
+    zero = F.lit(0).cast("bigint")
+    return _zoneless(both.select("window_start", "action_type", F.coalesce("counted", zero).alias("counted"), F.coalesce("late", zero).alias("late")), "window_start")
+
+
+_MS = "(processing_time_seconds * 137 + job_id % 1000)"
+
+
+def _share_sql(share: float) -> str:
+    value = f"max(v) FILTER (k = CAST(ceil(n * {share}) AS BIGINT))"
+    width = f"CAST(pow(2, length(bin({value})) - 4) AS BIGINT)"
+    return f"CASE WHEN {value} < 8 THEN {value} ELSE ({value} // {width} + 1) * {width} - 1 END AS p{round(share * 100)}"
+
+
+@query("x5_latency", ("v_jobs",), f"""
+WITH r AS (SELECT pipeline_type, CAST({_MS} AS BIGINT) AS v, row_number() OVER (PARTITION BY pipeline_type ORDER BY {_MS}) AS k, count(*) OVER (PARTITION BY pipeline_type) AS n FROM v_jobs)
+SELECT pipeline_type, CAST(count(*) AS BIGINT) AS records, round(avg(v), 6) AS mean, {', '.join(_share_sql(p) for p in (0.5, 0.95, 0.99))} FROM r GROUP BY pipeline_type""")
+def latency(spark, sf_dir):
+    """Latency of a stream in five micro-batches, as histograms that are added up afterwards."""
+    folder, path = run_dir(spark, "latency-orders"), run_dir(spark, "latency")
+    table(spark, sf_dir, "orders").repartition(5, "o_orderkey").write.parquet(folder)
+    stream = stream_view(spark, sf_dir, "v_jobs", "orders", files_per_trigger=1, folder=folder)
+    metrics.start_latency(stream, F.expr(_MS), ("pipeline_type",), path, f"{path}/checkpoint").awaitTermination()
+    whole = metrics.merged(appends.read(spark, path), "pipeline_type")
+    return metrics.quantiles(whole, (0.5, 0.95, 0.99), "pipeline_type").withColumn("mean", F.round("mean", 6))
+
+
 _CONSENT_SQL = """c AS (SELECT user_id, arg_max(w, created_at) AS w, max(created_at) AS t FROM (SELECT user_id, created_at, action_type = 'error' AS w FROM v_audit
   WHERE action_type IN ('error', 'signup')) x GROUP BY 1)"""
 
