@@ -1,7 +1,7 @@
 """Windowed counts of a stream that account for every row: counted, or late and written aside.
 
 A row is late where its window had closed before its micro-batch began, that is, where the greatest event time of
-all earlier batches less the delay has passed the window's end; Spark's own watermark drops the same rows. Each
+all earlier batches less the delay has passed the window's end. (Spark's own watermark may lag a batch behind.) Each
 batch adds partial counts, its late rows and one line of progress, each once however often it is delivered, so
 there is no state but these tables and totals are sums of the parts.
 """

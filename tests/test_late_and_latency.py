@@ -3,6 +3,7 @@
 import math
 import random
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -14,13 +15,18 @@ def _write(spark, path, *rows):
     df.coalesce(1).write.mode("append").parquet(path)
 
 
-def test_every_row_is_counted_or_late_as_spark_drops_it(spark, tmp_path):
+def test_every_row_is_counted_or_late(spark, tmp_path):
     rng, source, path = random.Random(4), str(tmp_path / "in"), str(tmp_path / "w")
-    total = 0
+    total, want, newest = 0, Counter(), None
     for number in range(6):
         rows = [(f"2024-01-01 {max(0, min(23, number * 4 + rng.randrange(-6, 4))):02d}:{rng.randrange(60):02d}:00", rng.choice("ab")) for _ in range(40)]
         _write(spark, source, *rows, *([(None, "a")] if number == 2 else []))
         total += 40 + (number == 2)
+        for at, key in rows:
+            hour = int(at[11:13])
+            if newest is None or (hour + 1) * 60 > newest - 30:  # minutes of the day
+                want[hour, key] += 1
+        newest = max([newest or 0] + [int(at[11:13]) * 60 + int(at[14:16]) for at, _ in rows])
     schema = spark.createDataFrame([], "at timestamp, k string").schema
 
     def stream():
@@ -32,8 +38,7 @@ def test_every_row_is_counted_or_late_as_spark_drops_it(spark, tmp_path):
     assert counted.agg(F.sum("n")).first()[0] + aside.count() == total and aside.where("at IS NULL").count() == 1 and aside.count() > 5
     lines = late.progress(spark, path).collect()
     assert sum(r.rows for r in lines) == total and sum(r.late for r in lines) == aside.count()
-    own = jobs.collect_latest(jobs.tumbling_counts(stream(), "at", "1 hour", "30 minutes", "k"), ["window_start", "window_end", "k"], "late-own")
-    assert {tuple(r) for r in own.collect()} == {tuple(r) for r in counted.collect()}
+    assert {(r.window_start.hour, r.k): r.n for r in counted.collect()} == want
     late.start_windows(stream(), "at", "1 hour", "30 minutes", ("k",), path, str(tmp_path / "again")).awaitTermination()  # delivered once more
     assert {tuple(r) for r in late.counted(spark, path, "k").collect()} == {tuple(r) for r in counted.collect()} and late.late_rows(spark, path).count() == aside.count()
 
