@@ -19,44 +19,67 @@ MAX_GROUPS = 1_000  # groups whose means are compared pairwise
 
 
 def _tails():
-    """Tail probabilities. Local functions travel to tasks by value, so tasks need no copy of the package."""
+    """Tail probabilities, to a relative error of 10^-9 up to 10^8 degrees of freedom and of 10^-5 at 5 * 10^10. Local functions travel to tasks by value, so tasks need no copy of the package."""
 
     def beta_fraction(a: float, b: float, x: float) -> float:
-        """Continued fraction of the incomplete beta function (modified Lentz)."""
+        """Continued fraction of the incomplete beta function (modified Lentz); it takes some sqrt(a + b) steps."""
         tiny = 1e-300
 
         def away(v: float) -> float:
             return v if abs(v) > tiny else tiny
 
         c, d = 1.0, 1.0 / away(1.0 - (a + b) * x / (a + 1.0))
-        h = d
-        for m in range(1, 400):
+        h, m, change = d, 0, 2.0
+        while abs(change - 1.0) >= 1e-13 and m < 10_000 + 50 * math.sqrt(a + b):
+            m += 1
             even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
             odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
             for step in (even, odd):
                 d = 1.0 / away(1.0 + step * d)
                 c = away(1.0 + step / c)
-                h *= d * c
-            if abs(d * c - 1.0) < 1e-13:
-                break
+                change = d * c
+                h *= change
         return h
 
-    def incomplete_beta(a: float, b: float, x: float) -> float:
+    def stirling_rest(x: float) -> float:
+        """lgamma(x) less (x - 1/2) log x - x + log(2 pi) / 2, without cancellation for large x."""
+        if x < 16.0:
+            return math.lgamma(x) - ((x - 0.5) * math.log(x) - x + 0.5 * math.log(2.0 * math.pi))
+        y = 1.0 / (x * x)
+        return (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / x
+
+    def deviance(x: float, mean: float, gap: float) -> float:
+        """x log(x / mean) + mean - x, by its series where the two are close; `gap` is x - mean."""
+        v = gap / (x + mean)
+        if abs(v) > 0.1:
+            return x * math.log(x / mean) + mean - x
+        total, power, n = gap * v, 2.0 * x * v, 1
+        while True:
+            power *= v * v
+            n += 2
+            if total + power / n == total:
+                return total
+            total += power / n
+
+    def incomplete_beta(a: float, b: float, x: float, y: float) -> float:
+        """Regularized, with y = 1 - x given apart; the factor in front follows Loader (2000), exact for huge a and b."""
         if x <= 0.0:
             return 0.0
-        if x >= 1.0:
+        if y <= 0.0:
             return 1.0
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-        if x < (a + 1.0) / (a + b + 2.0):
-            return front * beta_fraction(a, b, x) / a
-        return 1.0 - front * beta_fraction(b, a, 1.0 - x) / b
+        n, gap = a + b, a * y - b * x  # gap: a less its mean n x
+        height = stirling_rest(n) - stirling_rest(a) - stirling_rest(b) - deviance(a, n * x, gap) - deviance(b, n * y, -gap)
+        front = math.exp(height) * math.sqrt(a * b / (2.0 * math.pi * n))
+        if x < (a + 1.0) / (n + 2.0):
+            return min(1.0, front * beta_fraction(a, b, x) / a)
+        return max(0.0, 1.0 - front * beta_fraction(b, a, y) / b)
 
     def student(t: float, df: float) -> float:
         """Two-sided p-value of Student's t."""
-        return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+        return incomplete_beta(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
     def fisher(f: float, d1: float, d2: float) -> float:
-        return incomplete_beta(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+        return incomplete_beta(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f)) if f > 0 else 1.0
 
     def studentized_range(q: float, k: float, df: float) -> float:
         """Upper tail, by quadrature over the range and the scale."""
@@ -71,13 +94,10 @@ def _tails():
         def below(w: float) -> float:
             return float(np.trapezoid(k * density * (lower - normal(z - w)) ** (k - 1), z))
 
-        if df > 5000:
-            return max(0.0, 1.0 - below(q))
         half = 8.0 / math.sqrt(2.0 * df)
         s = np.linspace(max(1e-3, 1.0 - half), 1.0 + half, 121)
-        log_density = (
-            df / 2.0 * math.log(df / 2.0) - math.lgamma(df / 2.0) + math.log(2.0) + (df - 1) * np.log(s) - df * s * s / 2.0
-        )
+        u = s - 1.0
+        log_density = 0.5 * math.log(df / 2.0) - 0.5 * math.log(2.0 * math.pi) - stirling_rest(df / 2.0) + math.log(2.0) - np.log(s) + df * (np.log1p(u) - u - u * u / 2.0)
         mixed = np.exp(log_density) * np.array([below(q * x) for x in s])
         return max(0.0, 1.0 - float(np.trapezoid(mixed, s)))
 

@@ -85,3 +85,21 @@ def test_spearman_with_ties(runs):
 def test_perfect_correlation(spark):
     row = st.correlation_matrix(spark.range(20).selectExpr("id a", "2 * id b"), ["a", "b"]).first()
     assert row["r"] == pytest.approx(1.0) and row["p_value"] == pytest.approx(0.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("free", [1.0, 7.0, 5e3, 5e8, 5e10])
+def test_tails_hold_at_any_degrees_of_freedom(free):
+    assert st.f_p_value(1.0, free, free) == pytest.approx(0.5, abs=1e-9)
+    for t in (0.3, 1.0, 1.959964, 4.0):
+        assert st.t_p_value(t, free) == pytest.approx(st.f_p_value(t * t, 1.0, free), rel=1e-9)
+        if free >= 5e8:
+            assert st.t_p_value(t, free) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-5)
+    if free >= 1e6:  # chi-squared of two degrees in the limit
+        assert st.f_p_value(3.0, 2.0, free) == pytest.approx(math.exp(-3.0), rel=1e-6)
+
+
+def test_the_studentized_range_has_no_step():
+    below, above = st.studentized_range_p(3.4, 3, 5000), st.studentized_range_p(3.4, 3, 5001)
+    assert 0 <= below - above < 1e-6
+    limit = st.studentized_range_p(3.4, 3, 1e12)
+    assert st.studentized_range_p(3.4, 3, 1e8) == pytest.approx(limit, abs=1e-6) and limit < above
