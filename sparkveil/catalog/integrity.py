@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkveil.catalog.registry import query
-from sparkveil.operators import baselines as bl, integrity as ig
+from sparkveil.operators import baselines as bl, history as hs, integrity as ig
 from sparkveil.session import run_dir
 from sparkveil.views import table, view
 
@@ -161,6 +161,26 @@ def history(spark, sf_dir):
     )
 
 
+@query("i7_record_history", ("v_jobs", "v_users"), """
+WITH c AS (SELECT file_id, job_id, status, created_at, file_id - file_id % 4 AS user_id FROM v_jobs),
+v AS (SELECT *, CAST(row_number() OVER w AS BIGINT) AS version, created_at AS valid_from, lead(created_at) OVER w AS valid_to FROM c WINDOW w AS (PARTITION BY file_id ORDER BY created_at, job_id)),
+n AS (SELECT user_id, username AS name, TIMESTAMP '1990-01-01' AS since FROM v_users WHERE user_id % 4 = 0
+  UNION ALL SELECT user_id, username || ' II', TIMESTAMP '1995-06-17' FROM v_users WHERE user_id % 8 = 0)
+SELECT v.file_id, v.job_id, v.status, v.version, v.valid_from, v.valid_to, n.name AS username FROM v ASOF LEFT JOIN n ON v.user_id = n.user_id AND v.created_at >= n.since""")
+def record_history(spark, sf_dir):
+    """Every version of every file's jobs, with the time it was valid and the user's name of that time."""
+    changes = view(spark, sf_dir, "v_jobs").select(
+        "file_id", "job_id", "status", F.col("created_at").cast("timestamp_ntz").alias("created_at"), (F.col("file_id") - F.col("file_id") % 4).alias("user_id")
+    )
+    users = view(spark, sf_dir, "v_users")
+    since = lambda text: F.lit(text).cast("timestamp_ntz").alias("since")
+    names = users.where("user_id % 4 = 0").select("user_id", F.col("username").alias("name"), since("1990-01-01"), F.lit(1).alias("name_id")).union(
+        users.where("user_id % 8 = 0").select("user_id", F.concat("username", F.lit(" II")), since("1995-06-17"), F.lit(2))
+    )
+    out = hs.record_history(changes, names, "file_id", "created_at", "job_id", "user_id")
+    return out.select("file_id", "job_id", "status", "version", "valid_from", "valid_to", "username")
+
+
 @query("i8_resolve", ("v_jobs", "v_audit"), """
 WITH res AS (SELECT id % (SELECT count(*) FROM v_jobs) AS event_id, CASE WHEN action_type = 'error' THEN 'investigating' ELSE 'resolved' END AS status,
   action_type AS notes, user_id AS resolved_by, created_at AS resolved_at FROM v_audit),

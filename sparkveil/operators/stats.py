@@ -19,7 +19,7 @@ MAX_GROUPS = 1_000  # groups whose means are compared pairwise
 
 
 def _tails():
-    """Tail probabilities, to a relative error of 10^-9 up to 10^8 degrees of freedom and of 10^-5 at 5 * 10^10. Local functions travel to tasks by value, so tasks need no copy of the package."""
+    """Tail probabilities; of Student's t within 10^-6 of the normal limit at 5 * 10^8 degrees of freedom and 10^-5 at 5 * 10^10. Local functions travel to tasks by value, so tasks need no copy of the package."""
 
     def beta_fraction(a: float, b: float, x: float) -> float:
         """Continued fraction of the incomplete beta function (modified Lentz); it takes some sqrt(a + b) steps."""

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from sparkveil.functions.hashing import record_hash
-from sparkveil.operators import baselines as bl, integrity as ig, reports as rp
+from sparkveil.operators import baselines as bl, history as hs, integrity as ig, reports as rp
 
 
 def events(trusted, current, **kwargs):
@@ -161,3 +161,19 @@ def test_equal_and_empty_baselines(spark, tmp_path):
     secret = _store(spark, tmp_path, "keyed", rows, secret=b"k" * 64)
     roots = [bl.tree(spark, p).where("level = 0").first().digest for p in (one, two, secret)]
     assert roots[0] == roots[1] != roots[2]
+
+
+def test_versions_and_names_of_their_time(spark):
+    changes = spark.createDataFrame(
+        [("r", 1, 10, "u"), ("r", 2, 20, "u"), ("r", 3, 20, "w"), ("s", 4, 5, "u"), ("s", 5, 30, None), (None, 6, 1, "u"), (None, 7, 2, "u")],
+        "record string, change int, at int, user string",
+    )
+    names = spark.createDataFrame([("u", "Ann", 8, 1), ("u", "Anne", 20, 2), ("w", "Bob", 0, 1)], "user string, name string, since int, name_id int")
+    rows = hs.record_history(changes, names, "record", "at", "change", "user").collect()
+    got = {r.change: (r.version, r.valid_from, r.valid_to, r.username) for r in rows}
+    assert got == {
+        1: (1, 10, 20, "Ann"), 2: (2, 20, 20, "Anne"), 3: (3, 20, None, "Bob"), 4: (1, 5, 30, None), 5: (2, 30, None, None),
+        6: (1, 1, 2, None), 7: (2, 2, None, None),
+    }
+    assert [r.change for r in rows if r.record == "r"] == [3, 2, 1]
+    assert hs.record_history(changes.limit(0), names, "record", "at", "change", "user").count() == 0
