@@ -208,6 +208,13 @@ def masked_view(spark, sf_dir):
     return gv.redacted_view(df, sc.HEALTHCARE, _reader(df)).select("id", "patient_name", "ssn", "age")
 
 
+@query("v2_strict_view", ("v_pat",), f"SELECT id, {_redact_sql('patient_name')} AS patient_name, {_redact_sql('gender')} AS gender, {_redact_sql('location')} AS location FROM v_pat")
+def strict_view(spark, sf_dir):
+    """As above, with columns that no schema declares hidden like sensitive ones."""
+    df = view(spark, sf_dir, "v_pat")
+    return gv.redacted_view(df, sc.HEALTHCARE, _reader(df), strict=True).select("id", "patient_name", "gender", "location")
+
+
 @query("v2_row_filter", ("v_files",), "SELECT file_id FROM v_files WHERE file_id % 6 IN (0, 2) OR coalesce(created_by = file_id, false)")
 def row_filter(spark, sf_dir):
     df = view(spark, sf_dir, "v_files")
@@ -276,16 +283,23 @@ def data_types(spark, sf_dir):
 SELECT 'healthcare' AS rule_set, CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (has_violation OR medical_record_number IS NOT NULL) AS BIGINT) AS violating FROM v_pat
 UNION ALL SELECT 'financial', count(*), count(*) FILTER (NOT consent_given OR data_retention_days > 365 OR (consent_withdrawn AND processing_status = 'active')) FROM v_fin""")
 def mixed_rules(spark, sf_dir):
-    """One mixed record set: the rule set is chosen per record by the patient name."""
-    mixed = view(spark, sf_dir, "v_pat").unionByName(view(spark, sf_dir, "v_fin"), allowMissingColumns=True)
-    is_patient = F.col("patient_name").isNotNull()
-    # The consent rules only apply to records that have the column, here the financial ones.
-    health = co.violates(mixed.select(*[c for c in mixed.columns if not c.startswith("consent")]), "healthcare")
-    rule_set = F.when(is_patient, "healthcare").otherwise("financial")
-    checked = mixed.select(rule_set.alias("rule_set"), F.when(is_patient, health).otherwise(co.violates(mixed, "financial")).alias("v"))
+    """One mixed record set: the rule set is chosen per record by the patient name, and applies the rules of that kind's columns."""
+    mixed, columns = co.mixed_union({"healthcare": view(spark, sf_dir, "v_pat"), "financial": view(spark, sf_dir, "v_fin")}, "source")
+    kind = F.when(F.col("patient_name").isNotNull(), "healthcare").otherwise("financial")
+    checked = mixed.select(kind.alias("rule_set"), co.mixed_violates(mixed, columns, kind).alias("v"))
     return checked.groupBy("rule_set").agg(F.count("*").alias("records"), F.count_if("v").alias("violating"))
 
 
+@query("m7_mixed_counts", ("v_pat", "v_fin"), """
+SELECT 'healthcare' AS rule_set, CAST(count(*) FILTER (has_violation) * 3 + count(*) FILTER (medical_record_number IS NOT NULL) AS BIGINT) AS violations FROM v_pat
+UNION ALL SELECT 'financial', CAST(sum(CAST(NOT consent_given AS INT) + CAST(data_retention_days > 365 AS INT) + CAST(consent_withdrawn AND processing_status = 'active' AS INT)) AS BIGINT) FROM v_fin""")
+def mixed_counts(spark, sf_dir):
+    """Violations of the mixed set, all of them in one projection and one aggregate."""
+    mixed, columns = co.mixed_union({"healthcare": view(spark, sf_dir, "v_pat"), "financial": view(spark, sf_dir, "v_fin")})
+    found = mixed.select("rule_set", F.size(co.mixed_violations(mixed, columns, F.col("rule_set"))).alias("n"))
+    return found.groupBy("rule_set").agg(F.sum("n").alias("violations"))
+
+
 @query("m3_sensitive_fields", ("v_pat", "v_fin"), """
 SELECT 'healthcare' AS schema_name, 'patient_name' AS field, CAST(count(patient_name) AS BIGINT) AS filled FROM v_pat
 UNION ALL SELECT 'healthcare', 'ssn', count(ssn) FROM v_pat UNION ALL SELECT 'healthcare', 'phone', count(phone) FROM v_pat

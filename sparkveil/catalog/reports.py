@@ -196,7 +196,8 @@ def k_values(spark, sf):
 
 @query("f15_insights", ("v_jobs",), f"""
 WITH {_RUNS} SELECT 'best_privacy_technique' AS insight, (SELECT technique FROM runs GROUP BY 1 ORDER BY avg(privacy_level) DESC, technique DESC LIMIT 1) AS value
-UNION ALL SELECT 'fastest_pipeline', (SELECT pipeline_type FROM runs GROUP BY 1 ORDER BY count(*) DESC, pipeline_type DESC LIMIT 1)""")
+UNION ALL SELECT 'fastest_pipeline', (SELECT pipeline_type FROM runs GROUP BY 1 ORDER BY avg(throughput) DESC, pipeline_type DESC LIMIT 1)
+UNION ALL SELECT 'most_used_pipeline', (SELECT pipeline_type FROM runs GROUP BY 1 ORDER BY count(*) DESC, pipeline_type DESC LIMIT 1)""")
 def insights(spark, sf):
     return rp.insights(_runs(spark, sf))
 

@@ -198,6 +198,34 @@ def violations(df: DataFrame, data_type: str, book: RuleBook = DEFAULT_BOOK, ali
     return F.array_compact(F.array(*candidates))
 
 
+def mixed_union(parts: Mapping[str, DataFrame], tag: str = "rule_set") -> tuple[DataFrame, dict[str, tuple[str, ...]]]:
+    """Record sets of several kinds as one, tagged by kind, and the columns each kind brings.
+
+    The columns tell a field that a kind does not have from one that is NULL: rules apply to the former in no record.
+    """
+    out, columns = None, {}
+    for name, df in parts.items():
+        tagged, columns[name] = df.select(F.lit(name).alias(tag), "*"), tuple(df.columns)
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out, columns
+
+
+def mixed_violations(df: DataFrame, columns: Mapping[str, tuple[str, ...]], kind: Column, book: RuleBook = DEFAULT_BOOK) -> Column:
+    """Violations of every record under the rule set of its own kind, as one projection; unknown kinds have none."""
+    out = F.array().cast(T.ArrayType(VIOLATION))
+    for name, own in columns.items():
+        out = F.when(kind == name, violations(df.select(*[F.col(f"`{c}`") for c in own]), name, book)).otherwise(out)
+    return out
+
+
+def mixed_violates(df: DataFrame, columns: Mapping[str, tuple[str, ...]], kind: Column, book: RuleBook = DEFAULT_BOOK) -> Column:
+    """Quick check of a mixed set: has the record any violation under the rules of its kind?"""
+    out = F.lit(False)
+    for name, own in columns.items():
+        out = F.when(kind == name, violates(df.select(*[F.col(f"`{c}`") for c in own]), name, book)).otherwise(out)
+    return out
+
+
 def violates(df: DataFrame, data_type: str, book: RuleBook = DEFAULT_BOOK, aliases=None) -> Column:
     """Quick check: is there any violation? Builds no structs and stops at the first hit."""
     rules, columns = book.applicable(df, data_type, aliases)

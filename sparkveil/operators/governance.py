@@ -70,9 +70,12 @@ def redact(value: Column, level: Column) -> Column:
     return F.when(level == "full", value).when(level == "partial", partial).when(level == "masked", masked)
 
 
-def redacted_view(df: DataFrame, schema: Schema, role: Column) -> DataFrame:
-    """Sensitive fields by the access level of `role`; other fields stay as they are."""
-    sensitive = set(schema.sensitive)
+def redacted_view(df: DataFrame, schema: Schema, role: Column, strict: bool = False) -> DataFrame:
+    """Sensitive fields by the access level of `role`; other declared fields stay as they are.
+
+    Columns that the schema does not declare stay as they are too, unless `strict`: then they count as sensitive.
+    """
+    sensitive = {c for c in df.columns if c not in schema.names} | set(schema.sensitive) if strict else set(schema.sensitive)
     leveled = df.select("*", pick(ACCESS_LEVELS, role, "none").alias("__level"))
     return leveled.select(*[
         redact(F.col(c).cast("string"), F.col("__level")).alias(c) if c in sensitive else F.col(c) for c in df.columns
@@ -103,16 +106,18 @@ def minimization(df: DataFrame, schema: Schema, sensitive_names: tuple[str, ...]
 def cross_border(records: DataFrame, countries: DataFrame, origin: str, target: str, consent: Column, legal_basis: Column) -> DataFrame:
     """Transfers that leave the protected zone without consent or legal basis.
 
+    An origin that is no known country counts as protected, so that such a transfer is shown and not lost.
+
     `countries` (country, protected) is a dimension of a few hundred rows; its size decides
     how Spark joins it.
     """
     zones = countries.select(F.col("country").alias("__c"), F.col("protected").alias("__p"))
     start, end = zones.alias("start"), zones.alias("end")
     joined = (
-        records.join(start, F.col(origin) == F.col("start.__c"))
+        records.join(start, F.col(origin) == F.col("start.__c"), "left")
         .join(end, F.col(target) == F.col("end.__c"), "left")
     )
-    leaves = F.col("start.__p") & ~F.coalesce(F.col("end.__p"), F.lit(False))
+    leaves = F.coalesce(F.col("start.__p"), F.lit(True)) & ~F.coalesce(F.col("end.__p"), F.lit(False))
     excused = F.coalesce(consent, F.lit(False)) | F.coalesce(legal_basis != "", F.lit(False))
     return joined.filter(leaves & ~excused).select(*[F.col(c) for c in records.columns])
 
