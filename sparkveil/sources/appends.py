@@ -1,32 +1,35 @@
 """Tables that grow by batches, each of which is added once however often it is delivered.
 
 A batch is a folder of its own below `data`, written by dynamic partition overwrite: a repeat replaces the batch by
-itself. Then it is entered in `commits`, with its number of rows and its schema. Readers see committed batches only,
-so what a failed job left behind is invisible until the job is repeated.
+itself. Every delivery marks its rows, and is then entered in `commits` with its mark, its number of rows and its
+schema. Readers see the rows of entered deliveries only, so what a failed job left behind is invisible.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-BATCH = "_batch"
-_COMMIT = "rows bigint, schema string, committed_at timestamp, _batch string"
+BATCH, DELIVERY = "_batch", "_delivery"
+_COMMIT = "rows bigint, schema string, committed_at timestamp, _delivery string, _batch string"
 
 
 def append(df: DataFrame, path: str, batch: str) -> int:
     """Add the rows of `df` as `batch` and give their number. The same batch again adds nothing."""
-    if BATCH in df.columns:
-        raise ValueError(f"{BATCH} names the batch and cannot be a column of the rows")
-    counted = Observation()
-    rows = df.observe(counted, F.count("*").alias("n")).withColumn(BATCH, F.lit(batch))
-    _overwrite(rows, f"{path}/data")
-    n = int(counted.get["n"])
-    entry = df.sparkSession.range(1).select(
-        F.lit(n).cast("bigint").alias("rows"), F.lit(df.schema.json()).alias("schema"), F.current_timestamp().alias("committed_at"), F.lit(batch).alias(BATCH)
+    if {BATCH, DELIVERY} & set(df.columns):
+        raise ValueError(f"{BATCH} and {DELIVERY} cannot be columns of the rows")
+    spark, delivery = df.sparkSession, uuid.uuid4().hex
+    _overwrite(df.withColumns({DELIVERY: F.lit(delivery), BATCH: F.lit(batch)}), f"{path}/data")
+    # Counted from the marks, a column of one value: no rows leave the folder of an earlier delivery as it was.
+    marks = spark.read.schema(f"{DELIVERY} string, {BATCH} string").parquet(f"{path}/data")
+    n = marks.where((F.col(BATCH) == batch) & (F.col(DELIVERY) == delivery)).count()
+    entry = spark.range(1).select(
+        F.lit(n).cast("bigint").alias("rows"), F.lit(df.schema.json()).alias("schema"), F.current_timestamp().alias("committed_at"),
+        F.lit(delivery).alias(DELIVERY), F.lit(batch).alias(BATCH),
     )
     _overwrite(entry, f"{path}/commits")
     return n
@@ -37,7 +40,7 @@ def _overwrite(df: DataFrame, path: str) -> None:
 
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
-    """(rows, schema, committed_at, _batch) per committed batch."""
+    """(rows, schema, committed_at, _delivery, _batch) per batch."""
     return spark.read.schema(_COMMIT).parquet(f"{path}/commits")
 
 
@@ -53,9 +56,11 @@ def schema_of(spark: SparkSession, path: str) -> T.StructType:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The rows of all committed batches with the batch they came in; columns a batch does not have are NULL."""
-    schema = T.StructType([*schema_of(spark, path).fields, T.StructField(BATCH, T.StringType())])
-    known = commits(spark, path).where("rows > 0").select(BATCH)  # a repeat without rows leaves the old folder behind
-    return spark.read.schema(schema).parquet(f"{path}/data").join(known, BATCH, "left_semi").select(*schema.names)
+    fields = schema_of(spark, path).fields
+    stored = T.StructType([*fields, *[T.StructField(c, T.StringType()) for c in (DELIVERY, BATCH)]])
+    known = commits(spark, path).where("rows > 0").select(DELIVERY, BATCH)
+    rows = spark.read.schema(stored).parquet(f"{path}/data").join(known, [BATCH, DELIVERY], "left_semi")
+    return rows.select(*[F.col(f"`{f.name}`") for f in fields], BATCH)
 
 
 def append_stream(

@@ -24,7 +24,7 @@ def test_uncommitted_and_empty_batches(spark, tmp_path):
     assert appends.append(df.limit(0), path, "none") == 0
     assert appends.read(spark, path).columns == ["n", "_batch"] and appends.read(spark, path).count() == 0
     appends.append(df, path, "good")
-    appends._overwrite(df.selectExpr("n", "'failed' AS _batch"), f"{path}/data")  # a job that died before its commit
+    appends._overwrite(df.selectExpr("n", "'x' AS _delivery", "'failed' AS _batch"), f"{path}/data")  # a job that died before its commit
     assert _rows(appends.read(spark, path)) == [(1, "good")]
     appends.append(df.limit(0), path, "good")  # delivered again, now without rows
     assert appends.read(spark, path).count() == 0
