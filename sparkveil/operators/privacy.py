@@ -43,14 +43,44 @@ def reidentification_risk(df: DataFrame, quasi_identifiers: list[str]) -> DataFr
     )
 
 
-def suppress(df: DataFrame, quasi_identifiers: list[str], k: int) -> DataFrame:
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def flag_possible(df: DataFrame, quasi_identifiers: list[str], groups: DataFrame, bits: int, name: str) -> DataFrame:
+    """`df` with a flag: false only for records whose group is surely not among `groups`.
+
+    `groups` has the quasi-identifier struct as only column. Their bits go into words of 64, at most bits / 64 rows
+    whatever the number of groups, so the table may be broadcast and is tested within the scan.
+    """
+    bit, word, filled = (_free(df, c) for c in ("__bit", "__word", "__set"))
+    at = groups.select(F.pmod(F.xxhash64(_KEY), F.lit(bits)).alias(bit))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(bit) % 64).cast("int"))
+    words = at.groupBy(F.floor(F.col(bit) / 64).alias(word)).agg(F.bit_or(one).alias(filled))
+    cell = F.pmod(F.xxhash64(_key(quasi_identifiers)), F.lit(bits))
+    tested = df.withColumn(bit, cell).withColumn(word, F.floor(F.col(bit) / 64))
+    hit = F.coalesce(F.getbit(filled, F.col(bit) % 64) == 1, F.lit(False))
+    return tested.join(F.broadcast(words), word, "left").select(*[F.col(f"`{c}`") for c in df.columns], hit.alias(name))
+
+
+def suppress(df: DataFrame, quasi_identifiers: list[str], k: int, bits: int = 1 << 22) -> DataFrame:
     """Records whose group has at least k members.
 
-    Only groups below k are on the right side of the anti join, so each of its keys meets
-    fewer than k records; big groups find no partner and are split by adaptive execution.
+    A bit table of the groups below k is tested in the scan: only records that share a bit with such a group meet the
+    anti join, the others are passed on without a shuffle. About (groups below k) / bits of the records in big groups
+    share a bit by chance, so `bits` should be several times the number of groups below k; the result is the same with
+    any number. The table takes bits / 64 rows of two numbers, 65,536 by default.
     """
     small = group_sizes(df, quasi_identifiers).filter(F.col("group_size") < k).select(_key(quasi_identifiers))
-    return df.select("*", _key(quasi_identifiers)).join(small, _KEY, "left_anti").drop(_KEY)
+    maybe = _free(df, "__maybe")
+    flagged = flag_possible(df, quasi_identifiers, small, bits, maybe)
+    clear = flagged.where(~F.col(maybe)).drop(maybe)
+    doubtful = flagged.where(F.col(maybe)).drop(maybe).select("*", _key(quasi_identifiers))
+    return clear.unionByName(doubtful.join(small, _KEY, "left_anti").drop(_KEY))
 
 
 def completeness(df: DataFrame, quasi_identifiers: list[str], k: int) -> DataFrame:

@@ -34,6 +34,42 @@ def test_suppressed_set_has_k(skewed):
         assert pr.completeness(skewed, QI, k).first()["retained"] == kept.count()
 
 
+@pytest.mark.parametrize("bits", [64, 640, 1 << 22])
+def test_suppression_is_the_same_with_any_number_of_bits(skewed, bits):
+    kept = pr.suppress(skewed, QI, 20, bits)
+    assert kept.columns == skewed.columns
+    assert sorted(r["id"] for r in kept.collect()) == sorted(
+        r["id"] for r in skewed.join(skewed.groupBy(*QI).count().where("count >= 20").select(
+            F.struct(*QI).alias("q")), F.struct(*QI) == F.col("q"), "left_semi").collect()
+    )
+
+
+def test_only_possible_members_of_small_groups_are_flagged(spark):
+    """Big groups of 1,000 records and 300 small ones: no member is missed, few others are flagged."""
+    df = spark.range(300_300).select(
+        F.when(F.col("id") < 300_000, F.col("id") % 300).otherwise(F.col("id")).alias("a"), F.lit(None).cast("string").alias("b"), "id")
+    small = pr.group_sizes(df, ["a", "b"]).where("group_size < 5").select(F.struct(F.col("a").cast("string").alias("a"), "b").alias("__qi"))
+    flagged = pr.flag_possible(df, ["a", "b"], small, 1 << 16, "maybe")
+    counts = flagged.groupBy("maybe", F.expr("id >= 300000").alias("member")).count().collect()
+    got = {(r["maybe"], r["member"]): r["count"] for r in counts}
+    assert got[True, True] == 300 and (False, True) not in got
+    assert got.get((True, False), 0) <= 10_000  # 300 of 65,536 bits are set: about 1.4 of 300 big groups by chance
+    plan = pr.suppress(df, ["a", "b"], 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and "Union" in plan
+
+
+def test_suppression_without_records(spark):
+    empty = spark.createDataFrame([], "age int, gender string")
+    assert pr.suppress(empty, QI, 5).collect() == []
+
+
+def test_suppression_keeps_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "M", "w", 7, True, 1.0)] * 3 + [(2, "F", "x", 8, False, 2.0)],
+                               "age int, gender string, __word string, __bit int, __maybe boolean, `__set` double")
+    kept = pr.suppress(df, QI, 2)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "M", "w", 7, True, 1.0)] * 3
+
+
 def test_lowest_level_is_chosen(skewed):
     levels = pr.ladder_levels(skewed.schema, QI)
     raw, at = pr.generalize_to_k(skewed, levels, 2, 0.05)
