@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkveil.plans.numbering import running_sum
+from sparkveil.session import run_dir
 
-MAX_CELLS = 10_000  # factor combinations the two-way test takes to the driver
-MAX_GROUPS = 1_000  # groups whose means are compared pairwise
+BLOCK_GROUPS = 1_000  # groups of a block of the pairwise comparison
+PRECISION = 1e-22  # squared residual, against the first one, at which the two-way fit ends
 
 
 def _tails():
@@ -169,67 +170,124 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     return table.select("*", _per_row(f_p_value, "f", "df_between", "df_within").alias("p_value"))
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """A table of one step, written to the shared folder so that the plan of the next step begins with a scan."""
+    path = run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _components(cells: DataFrame, levels: DataFrame) -> int:
+    """Parts of a design that share no level: the smallest level number reachable, spread over the cells until it stays."""
+    mark = _written(levels.select("b", F.xxhash64("b").alias("c")), "anova-part")
+    while True:
+        side = cells.join(mark, "b").groupBy("a").agg(F.min("c").alias("c"))
+        lower = cells.join(side, "a").groupBy("b").agg(F.min("c").alias("low"))
+        spread = _written(mark.join(lower, "b").select("b", F.least("c", "low").alias("c"), (F.col("low") < F.col("c")).alias("moved")), "anova-part")
+        mark = spread.select("b", "c")
+        if spread.where("moved").isEmpty():
+            return mark.select("c").distinct().count()
+
+
+def _effects(cells: DataFrame, levels: DataFrame) -> tuple[DataFrame, float]:
+    """(b, x) least-squares effects of factor b next to factor a, and the sum of squares that they explain beyond a.
+
+    `levels` has (b, n, res): records and the sum of deviations from the means of a. The normal equations of b, with a
+    taken out, are solved by conjugate gradients scaled by n. A step is two joins of cells with levels; the driver
+    sees two sums. In exact arithmetic there are no more steps than levels of b; in practice the better the factors
+    are mixed, the fewer.
+    """
+    zero = F.lit(0.0)
+    state = levels.select("b", "n", zero.alias("x"), "res", (F.col("res") / F.col("n")).alias("p"))
+    rz = first = state.agg(F.sum(F.col("res") * F.col("p"))).first()[0] or 0.0
+    explained = 0.0
+    while rz > 0 and rz > PRECISION * first:
+        means = cells.join(state.select("b", "p"), "b").groupBy("a").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("m"))
+        pulled = cells.join(means, "a").groupBy("b").agg(F.sum(F.col("n") * F.col("m")).alias("pull"))
+        step = _written(state.join(pulled, "b").withColumn("q", F.col("n") * F.col("p") - F.col("pull")), "anova-step")
+        curve = step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        if curve <= 0:  # nothing left to explain but rounding
+            break
+        length = rz / curve
+        rest = F.col("res") - F.lit(length) * F.col("q")
+        left = step.agg(F.sum(rest * rest / F.col("n"))).first()[0]
+        state = step.select(
+            "b", "n", (F.col("x") + F.lit(length) * F.col("p")).alias("x"), rest.alias("res"),
+            (rest / F.col("n") + F.lit(left / rz) * F.col("p")).alias("p"),
+        )
+        explained += length * rz
+        rz = left
+    return state.select("b", "x"), explained
+
+
 def two_way_anova(df: DataFrame, value: str, first: str, second: str) -> DataFrame:
-    """Additive two-way analysis of variance, type II sums of squares.
+    """Additive two-way analysis of variance, type II sums of squares: a row per factor and one for the residual.
 
-    Spark reduces the data to one row per factor combination; the least squares over those
-    cells run on the driver, which refuses more than `MAX_CELLS` of them.
+    Records with a NULL value or factor take no part. Spark reduces the data to one row per factor combination, of
+    which there may be any number; the fit over them is a loop of Spark jobs (`_effects`). F and its p-value are NULL
+    where a factor has one level only or no degree of freedom is left; an empty table gives zeros.
     """
     x = F.col(value).cast("double")
-    cells = (
-        df.filter(x.isNotNull()).groupBy(F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b"))
-        .agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("var"))
+    a, b = F.col(first).cast("string"), F.col(second).cast("string")
+    cells = _written(
+        df.filter(x.isNotNull() & a.isNotNull() & b.isNotNull()).groupBy(a.alias("a"), b.alias("b"))
+        .agg(F.count("*").cast("double").alias("n"), F.avg(x).alias("y"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("var")),
+        "anova-cells",
     )
-    rows = cells.limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} combinations of {first} and {second}")
-    n = np.array([r["n"] for r in rows], dtype=float)
-    y = np.array([r["mean"] for r in rows])
-    inner = float(sum((r["n"] - 1) * r["var"] for r in rows))
-
-    def design(*factors: str) -> np.ndarray:
-        columns = [np.ones(len(rows))]
-        for factor in factors:
-            levels = sorted({r[factor] for r in rows})
-            columns += [np.array([float(r[factor] == level) for r in rows]) for level in levels[1:]]
-        return np.column_stack(columns)
-
-    def residual(matrix: np.ndarray) -> float:
-        weight = np.sqrt(n)
-        beta, *_ = np.linalg.lstsq(matrix * weight[:, None], y * weight, rcond=None)
-        return float(np.sum(n * (y - matrix @ beta) ** 2)) + inner
-
-    full = design("a", "b")
-    rest = residual(full)
-    free = float(n.sum() - np.linalg.matrix_rank(full))
-    out = []
-    parts = {first: residual(design("b")) - rest, second: residual(design("a")) - rest}
+
+    def within(factor: str) -> DataFrame:
+        mean = (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("mean")
+        return cells.groupBy(factor).agg(F.sum("n").alias("total"), mean)
+
+    def squares(about: DataFrame, on: str, centre: Column) -> float:
+        return cells.join(about, on).agg(F.sum(F.col("n") * (F.col("y") - centre) ** 2)).first()[0] or 0.0
+
+    by_a, by_b = within("a"), within("b")
+    counts = {"a": by_a.count(), "b": by_b.count()}
+    inner, n = cells.agg(F.sum((F.col("n") - 1) * F.col("var")), F.sum("n")).first()
+    inner, n = inner or 0.0, n or 0.0
+    deviations = F.sum(F.col("n") * (F.col("y") - F.col("mean"))).alias("res")
+    levels = _written(cells.join(by_a, "a").groupBy("b").agg(F.sum("n").alias("n"), deviations), "anova-levels")
+    effects, explained = _effects(cells.select("a", "b", "n"), levels)
+    # Residuals are summed from the fit itself: the difference of two large sums would lose a small one.
+    fitted = _written(cells.join(effects, "b").withColumn("y", F.col("y") - F.col("x")), "anova-fitted")
+    centre = fitted.groupBy("a").agg((F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("mean"))
+    rest = inner + (fitted.join(centre, "a").agg(F.sum(F.col("n") * (F.col("y") - F.col("mean")) ** 2)).first()[0] or 0.0)
+    parts = {"a": inner + squares(by_b, "b", F.col("mean")) - rest, "b": explained}
+    free = n - (counts["a"] + counts["b"] - (_components(cells.select("a", "b"), levels) if n else 0))
     total = sum(parts.values()) + rest
-    for factor, column in ((first, "a"), (second, "b")):
-        levels = len({r[column] for r in rows}) - 1
-        f = (parts[factor] / levels) / (rest / free)
-        out.append((factor, parts[factor], float(levels), f, f_p_value(f, levels, free), parts[factor] / total))
-    out.append(("residual", rest, free, None, None, rest / total))
+    out = []
+    for name, factor in ((first, "a"), (second, "b")):
+        own = float(max(counts[factor] - 1, 0))
+        f = (parts[factor] / own) / (rest / free) if own and free > 0 and rest > 0 else None
+        p_value = f_p_value(f, own, free) if f is not None else None
+        out.append((name, parts[factor], own, f, p_value, parts[factor] / total if total else None))
+    out.append(("residual", rest, free, None, None, rest / total if total else None))
     return df.sparkSession.createDataFrame(
         out, "factor string, sum_sq double, df double, f double, p_value double, eta_squared double"
     )
 
 
 def tukey_hsd(df: DataFrame, value: str, group: str) -> DataFrame:
-    """All pairs of group means with the studentized range test (Tukey-Kramer).
+    """All pairs of group means with the studentized range test (Tukey-Kramer), of any number of groups.
 
-    Pairs are formed over group moments, one small struct per group, never over records; more
-    than `MAX_GROUPS` groups are refused before any pair is formed.
+    Pairs are formed over group moments, one small row per group, never over records. Groups are dealt into blocks of
+    about `BLOCK_GROUPS`, and an equi-join on pairs of blocks forms the pairs: a group travels once per block. A NULL
+    group takes no part.
     """
-    moments = _moments(df, value, group)
-    if moments.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups of {group}")
-    row = moments.agg(
-        F.array_sort(F.collect_list(F.struct("g", "n", "mean"))).alias("gs"), F.count("*").alias("k"),
-        (F.sum("n") - F.count("*")).cast("double").alias("free"), F.sum((F.col("n") - 1) * F.col("var")).alias("ss"),
+    moments = _moments(df.filter(F.col(group).isNotNull()), value, group)
+    whole = moments.agg(
+        F.count("*").alias("k"), (F.sum("n") - F.count("*")).cast("double").alias("free"),
+        F.sum((F.col("n") - 1) * F.col("var")).alias("ss"),
+        F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK_GROUPS))).cast("int").alias("blocks"),
     )
-    first = row.select("*", F.posexplode("gs").alias("i", "a"))
-    pairs = first.select("*", F.explode(F.slice("gs", F.col("i") + 2, F.size("gs"))).alias("b"))
+    blocks = whole.select("blocks").scalar()
+    dealt = moments.select(F.struct("g", "n", "mean").alias("m"), F.pmod(F.xxhash64("g"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select(F.col("m").alias("a"), F.col("own").alias("i"), every.alias("j"))
+    right = dealt.select(F.col("m").alias("b"), F.col("own").alias("j"), every.alias("i"))
+    pairs = left.join(right, ["i", "j"]).where(F.col("a.g") < F.col("b.g"))
+    pairs = pairs.select("a", "b", *[whole.select(c).scalar().alias(c) for c in ("k", "free", "ss")])
     spread = F.sqrt(F.col("ss") / F.col("free") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))
     difference = F.col("b.mean") - F.col("a.mean")
     tested = pairs.select(

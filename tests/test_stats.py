@@ -58,10 +58,56 @@ def test_two_way_anova_equals_a_direct_fit(runs):
     assert got["a"]["f"] == pytest.approx(((residual(1) - rest) / 2) / (rest / (400 - 4)))
 
 
-def test_two_way_anova_refuses_too_many_cells(runs, monkeypatch):
-    monkeypatch.setattr(st, "MAX_CELLS", 3)
-    with pytest.raises(ValueError):
-        st.two_way_anova(runs[0], "v", "a", "b")
+def direct(rows):
+    """Type II sums of squares, residual and its degrees of freedom by a dense fit."""
+    y = np.array([r[2] for r in rows])
+
+    def residual(*factors):
+        columns = [np.ones(len(rows))]
+        for f in factors:
+            columns += [np.array([r[f] == level for r in rows], dtype=float) for level in sorted({r[f] for r in rows})[1:]]
+        m = np.column_stack(columns)
+        beta, *_ = np.linalg.lstsq(m, y, rcond=None)
+        return float(((y - m @ beta) ** 2).sum()), len(rows) - np.linalg.matrix_rank(m)
+
+    rest, free = residual(0, 1)
+    return residual(1)[0] - rest, residual(0)[0] - rest, rest, free
+
+
+def test_two_way_anova_of_a_sparse_uneven_design(spark):
+    """Most combinations are missing, one level holds a third of the records, and two parts share no level."""
+    draw = random.Random(21)
+    rows = []
+    for i in range(600):
+        a = "hot" if i % 3 == 0 else f"a{draw.randrange(12)}"
+        b = f"b{draw.randrange(5)}" if a == "hot" else f"b{(int(a[1:]) + draw.randrange(2)) % 9}"
+        rows.append((a, b, draw.gauss(0, 1) + len(a) + int(b[1:]) ** 1.5))
+    rows += [("apart", f"z{i % 2}", draw.gauss(9, 1)) for i in range(20)]
+    nulls = [(None, "b1", 5.0), ("a1", None, 5.0), ("a1", "b1", None)]
+    df = spark.createDataFrame(rows + nulls, "a string, b string, v double")
+    got = {r["factor"]: r for r in st.two_way_anova(df, "v", "a", "b").collect()}
+    first, second, rest, free = direct(rows)
+    assert got["a"]["sum_sq"] == pytest.approx(first, rel=1e-8) and got["b"]["sum_sq"] == pytest.approx(second, rel=1e-8)
+    assert got["residual"]["sum_sq"] == pytest.approx(rest, rel=1e-10) and got["residual"]["df"] == free
+
+
+def test_two_way_anova_without_freedom_or_rows(spark):
+    empty = st.two_way_anova(spark.createDataFrame([], "a string, b string, v double"), "v", "a", "b").collect()
+    assert [(r["factor"], r["sum_sq"], r["f"]) for r in empty] == [("a", 0.0, None), ("b", 0.0, None), ("residual", 0.0, None)]
+    one = {r["factor"]: r for r in st.two_way_anova(spark.createDataFrame([("x", "p", 1.0), ("x", "q", 3.0)], "a string, b string, v double"), "v", "a", "b").collect()}
+    assert one["b"]["sum_sq"] == pytest.approx(2.0) and one["b"]["f"] is None and one["a"]["p_value"] is None and one["residual"]["df"] == 0
+
+
+def test_tukey_pairs_are_the_same_in_blocks(runs, monkeypatch):
+    key = lambda r: (r["group_a"], r["group_b"])
+    df = runs[0].selectExpr("v", "w % 9 AS w")
+    whole = {key(r): r for r in st.tukey_hsd(df, "v", "w").collect()}
+    assert len(whole) == 9 * 8 // 2
+    monkeypatch.setattr(st, "BLOCK_GROUPS", 2)
+    blocks = st.tukey_hsd(df, "v", "w").collect()
+    assert len(blocks) == len(whole)
+    for r in blocks:
+        assert r["q"] == pytest.approx(whole[key(r)]["q"]) and r["p_value"] == pytest.approx(whole[key(r)]["p_value"], abs=1e-9)
 
 
 def test_tukey_finds_the_shifted_group(runs):
