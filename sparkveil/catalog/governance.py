@@ -160,8 +160,7 @@ def permissions(spark, sf_dir):
     f"({i}, '{r}')" for i, r in enumerate(gv.ROLES, 1)) + """) t(role_id, role_code))
 SELECT u.user_id, u.username, r.role_code FROM v_users u JOIN r ON u.role_id = r.role_id""")
 def user_roles(spark, sf_dir):
-    joined = view(spark, sf_dir, "v_users").join(gv.roles(spark), "role_id")
-    return joined.select("user_id", "username", "role_code")
+    return gv.users_with_roles(view(spark, sf_dir, "v_users"), gv.roles(spark))
 
 
 @query("j10_role_grants", ("v_users",), f"""

@@ -242,6 +242,35 @@ def schema_drift(spark, sf_dir):
     )
 
 
+_DRIFTING = """r AS (SELECT '{"id":' || c_custkey || CASE WHEN c_custkey % 11 = 0 THEN '' ELSE ',"name":"' || c_name || '"' END
+  || CASE WHEN c_custkey % 7 = 0 THEN ',"segment":"' WHEN c_custkey % 7 = 3 THEN ',"market":"' ELSE ',"mktsegment":"' END || c_mktsegment || '"'
+  || CASE WHEN c_custkey % 13 = 0 THEN ',"nation":"' || c_nationkey || '"}' ELSE ',"nation":' || c_nationkey || '}' END AS text, c_custkey FROM customer)"""
+
+
+def _drifting(spark, sf_dir):
+    """Customers as JSON records whose fields and types drift from record to record."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("drifting_customer")
+    return spark.sql("WITH " + _DRIFTING.replace("FROM customer", "FROM drifting_customer") + " SELECT text FROM r")
+
+
+@query("m8_record_drift", (), f"""
+WITH {_DRIFTING}, d AS (SELECT text, CASE c_custkey % 7 WHEN 0 THEN 'segment' WHEN 3 THEN 'market' ELSE '' END AS added,
+  concat_ws(',', CASE WHEN c_custkey % 7 IN (0, 3) THEN 'mktsegment' END, CASE WHEN c_custkey % 11 = 0 THEN 'name' END) AS removed FROM r)
+SELECT 'schema_changed' AS change_type, 'critical' AS severity, added, removed, CAST(count(*) AS BIGINT) AS records, min(text) AS first_text FROM d WHERE added <> '' OR removed <> '' GROUP BY added, removed""")
+def drift_by_record(spark, sf_dir):
+    out = ig.record_drift(_drifting(spark, sf_dir), "text", ["id", "name", "mktsegment", "nation"])
+    return out.withColumns({c: F.array_join(c, ",") for c in ("added", "removed")})
+
+
+@query("m9_record_schemas", (), f"""
+WITH {_DRIFTING}, d AS (SELECT 'OBJECT<id: BIGINT, ' || CASE WHEN c_custkey % 7 = 3 THEN 'market: STRING, ' WHEN c_custkey % 7 = 0 THEN '' ELSE 'mktsegment: STRING, ' END
+  || CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'name: STRING, ' END || CASE WHEN c_custkey % 13 = 0 THEN 'nation: STRING' ELSE 'nation: BIGINT' END
+  || CASE WHEN c_custkey % 7 = 0 THEN ', segment: STRING>' ELSE '>' END AS schema FROM r)
+SELECT sha256(schema) AS schema_hash, schema, CAST(count(*) AS BIGINT) AS records FROM d GROUP BY schema""")
+def schemas_by_record(spark, sf_dir):
+    return ig.record_schemas(_drifting(spark, sf_dir), "text")
+
+
 @query("m9_schema_hash", (), """
 SELECT sha256('c_custkey:bigint,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string') AS schema_hash, CAST(count(*) AS BIGINT) AS records FROM customer""")
 def schema_hash(spark, sf_dir):
@@ -254,9 +283,7 @@ SELECT record_id, 'missing' AS side FROM v_baseline WHERE record_id NOT IN (SELE
 UNION ALL SELECT record_id, 'extra' FROM v_current WHERE record_id NOT IN (SELECT record_id FROM v_baseline)""")
 def id_difference(spark, sf_dir):
     old, new = view(spark, sf_dir, "v_baseline").select("record_id"), view(spark, sf_dir, "v_current").select("record_id")
-    missing = old.join(new, "record_id", "left_anti").withColumn("side", F.lit("missing"))
-    extra = new.join(old, "record_id", "left_anti").withColumn("side", F.lit("extra"))
-    return missing.unionByName(extra)
+    return ig.id_difference(old, new, "record_id")
 
 
 @query("t1_union_by_name", ("v_baseline", "v_jobs"), """
@@ -280,5 +307,4 @@ def key_union(spark, sf_dir):
         "record_id", F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("checked"), F.lit("yes")).alias("b")
     )
     joined = old.join(new, "record_id")
-    keys = F.array_sort(F.array_union(F.map_keys("a"), F.map_keys("b")))
-    return joined.select("record_id", F.array_join(keys, ",").alias("keys"))
+    return joined.select("record_id", F.array_join(ig.key_union(F.col("a"), F.col("b")), ",").alias("keys"))

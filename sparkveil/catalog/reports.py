@@ -312,9 +312,7 @@ def events_filtered(spark, sf):
 @query("j7_files", ("v_files", "v_users"), f"""
 WITH {_TYPES_SQL} SELECT f.file_id, f.filename, ft.type_label, u.username FROM v_files f JOIN ft ON f.file_type_id = ft.file_type_id LEFT JOIN v_users u ON f.created_by = u.user_id""")
 def files_list(spark, sf):
-    users = view(spark, sf, "v_users").select(F.col("user_id").alias("created_by"), "username")
-    files = view(spark, sf, "v_files").join(_file_types(spark), "file_type_id").join(users, "created_by", "left")
-    return files.select("file_id", "filename", "type_label", "username")
+    return rp.file_list(view(spark, sf, "v_files"), _file_types(spark), view(spark, sf, "v_users"))
 
 
 @query("j8_audit_trail", ("v_audit", "v_users"), """
@@ -330,11 +328,7 @@ def audit_trail(spark, sf):
 WITH c AS (SELECT job_id, count(*) AS n FROM v_viol GROUP BY job_id)
 SELECT j.job_id, j.pipeline_type, f.filename, CAST(coalesce(c.n, 0) AS BIGINT) AS violations_count FROM v_jobs j LEFT JOIN v_files f ON j.file_id = f.file_id LEFT JOIN c ON j.job_id = c.job_id""")
 def job_violations(spark, sf):
-    counted = view(spark, sf, "v_viol").groupBy("job_id").agg(F.count("*").alias("n"))
-    jobs = view(spark, sf, "v_jobs").join(view(spark, sf, "v_files").select("file_id", "filename"), "file_id", "left")
-    return jobs.join(counted, "job_id", "left").select(
-        "job_id", "pipeline_type", "filename", F.coalesce("n", F.lit(0)).alias("violations_count")
-    )
+    return rp.job_violation_counts(view(spark, sf, "v_jobs"), view(spark, sf, "v_files"), view(spark, sf, "v_viol"))
 
 
 # ------------------------------------------------------------------------- top-k and pages
@@ -370,15 +364,19 @@ def top_users(spark, sf):
 @query("l4_ranking", ("v_jobs",), f"""
 SELECT pipeline_type, job_id, round(r, 6) AS throughput FROM (SELECT pipeline_type, job_id, {_RATE} AS r, row_number() OVER (PARTITION BY pipeline_type ORDER BY {_RATE} DESC, job_id DESC) AS rn FROM v_jobs) x WHERE rn = 1""")
 def ranking(spark, sf):
-    """Fastest job per pipeline by an aggregate instead of a sort of each pipeline's jobs."""
-    best_job = F.max_by(F.struct("job_id", rp.throughput().alias("r")), F.struct(rp.throughput().alias("r"), "job_id"))
-    out = view(spark, sf, "v_jobs").groupBy("pipeline_type").agg(best_job.alias("b"))
-    return out.select("pipeline_type", "b.job_id", F.round("b.r", 6).alias("throughput"))
+    out = rp.best_of(view(spark, sf, "v_jobs"), "pipeline_type", "job_id", rp.throughput(), "throughput")
+    return _rounded(out, 6, "throughput")
+
+
+@query("l4_all_ranked", ("v_jobs",), f"""
+SELECT job_id, round({_RATE}, 6) AS throughput, CAST(row_number() OVER (ORDER BY {_RATE} DESC, job_id) AS BIGINT) AS rank FROM v_jobs WHERE {_RATE} IS NOT NULL""")
+def all_ranked(spark, sf):
+    return _rounded(rp.ranking(view(spark, sf, "v_jobs"), "job_id", rp.throughput(), "throughput"), 6, "throughput")
 
 
 @query("l5_sample", ("v_pat",), "SELECT id, patient_name FROM v_pat ORDER BY id LIMIT 10")
 def first_rows(spark, sf):
-    return view(spark, sf, "v_pat").select("id", "patient_name").orderBy("id").limit(10)
+    return rp.first_rows(view(spark, sf, "v_pat"), ["id"], ["id", "patient_name"])
 
 
 @query("w1_latest", ("v_jobs",), """

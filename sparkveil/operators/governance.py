@@ -151,3 +151,8 @@ def breach_clock(detections: DataFrame, notices: DataFrame, key: str, as_of: Col
     return joined.select(
         key, "detected_at", "notified_at", elapsed.alias("hours"), (elapsed > hours).alias("overdue")
     )
+
+
+def users_with_roles(users: DataFrame, known: DataFrame) -> DataFrame:
+    """Users with the code of their role; users without a known role are not listed."""
+    return users.join(known, "role_id").select("user_id", "username", "role_code")

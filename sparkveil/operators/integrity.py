@@ -154,6 +154,50 @@ def schema_drift(trusted_columns: list[str], df: DataFrame) -> DataFrame:
     )
 
 
+def id_difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, side): ids that only one side has, `missing` from the new or `extra` in it; each once, NULL being an id too.
+
+    One aggregate over both sides: a repeated id is combined before it travels.
+    """
+    both = old.select(key, F.lit(1).alias("o"), F.lit(0).alias("n")).union(new.select(key, F.lit(0), F.lit(1)))
+    seen = both.groupBy(key).agg(F.max("o").alias("o"), F.max("n").alias("n")).where(F.col("o") != F.col("n"))
+    return seen.select(key, F.when(F.col("o") == 1, "missing").otherwise("extra").alias("side"))
+
+
+def key_union(first: Column, second: Column) -> Column:
+    """Sorted names of the fields that either of two records, held as maps, has; a record that is NULL has none."""
+    def names(record: Column) -> Column:
+        return F.coalesce(F.map_keys(record), F.array().cast("array<string>"))
+
+    return F.array_sort(F.array_union(names(first), names(second)))
+
+
+def record_drift(records: DataFrame, text: str, trusted: list[str]) -> DataFrame:
+    """Events for JSON records whose fields differ from the trusted ones: (added, removed, records, first_text) per difference.
+
+    Unlike a table's columns, fields may drift record by record. A field that holds null is there. Text that is no
+    JSON object lacks every field. Differences are counted map-side; `first_text` is the smallest of such records.
+    """
+    fields = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    wanted = F.array(*[F.lit(c) for c in trusted]).cast("array<string>")
+    seen = records.select(
+        F.col(text).alias("text"), F.array_sort(F.array_except(fields, wanted)).alias("added"), F.array_sort(F.array_except(wanted, fields)).alias("removed")
+    )
+    drifted = seen.where((F.size("added") > 0) | (F.size("removed") > 0)).groupBy("added", "removed")
+    return drifted.agg(F.count("*").alias("records"), F.min("text").alias("first_text")).select(
+        F.lit("schema_changed").alias("change_type"), F.lit("critical").alias("severity"), "added", "removed", "records", "first_text"
+    )
+
+
+def record_schemas(records: DataFrame, text: str) -> DataFrame:
+    """(schema_hash, schema, records): the schemas, field names with types, that JSON records were found with.
+
+    The hash is taken of a schema, not of a record: there are as many as schemas. Text that is no JSON has the schema NULL.
+    """
+    found = records.select(F.schema_of_variant(F.try_parse_json(text)).alias("schema"))
+    return found.groupBy("schema").agg(F.count("*").alias("records")).select(F.sha2("schema", 256).alias("schema_hash"), "schema", "records")
+
+
 def count_drift(trusted: DataFrame, current: DataFrame, threshold: float = 0.1) -> DataFrame:
     """One event when the number of records moved by more than the threshold; an empty baseline gives none."""
     before = trusted.agg(F.count("*").alias("n")).scalar()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkveil.operators.quantiles import exact_quantiles
 from sparkveil.plans.joins import left_join_many
+from sparkveil.plans.numbering import row_numbers
 
 
 def newest(df: DataFrame, column: str = "created_at") -> Column:
@@ -396,3 +397,41 @@ def latest_state(log: DataFrame, key: str, order: list[str], fields: list[str])
         F.min(F.when(F.col("status") == "running", F.col(at))).alias("started_at"),
         F.max(F.when(ended, F.col(at))).alias("completed_at"),
     )
+
+
+def file_list(files: DataFrame, types: DataFrame, users: DataFrame) -> DataFrame:
+    """Files of a known type with the type's label and the name of who made them; NULL where that user is unknown."""
+    makers = users.select(F.col("user_id").alias("created_by"), "username")
+    return files.join(types, "file_type_id").join(makers, "created_by", "left").select("file_id", "filename", "type_label", "username")
+
+
+def job_violation_counts(jobs: DataFrame, files: DataFrame, violations: DataFrame) -> DataFrame:
+    """All jobs with the name of their file and the number of their violations, which are counted before the join."""
+    counted = violations.groupBy("job_id").agg(F.count("*").alias("n"))
+    named = jobs.join(files.select("file_id", "filename"), "file_id", "left").join(counted, "job_id", "left")
+    return named.select("job_id", "pipeline_type", "filename", F.coalesce("n", F.lit(0)).alias("violations_count"))
+
+
+def best_of(df: DataFrame, group: str, key: str, rate: Column, name: str) -> DataFrame:
+    """(group, key, name): the row with the highest rate, of equal rates the greatest key, by an aggregate without a sort.
+
+    Rows without a rate take no part, and neither does a group that has no rate.
+    """
+    best = F.max(F.struct(F.col("__rate"), F.col(key))).alias("best")
+    rated = df.select(group, key, rate.alias("__rate")).where(F.col("__rate").isNotNull())
+    return rated.groupBy(group).agg(best).select(group, F.col("best")[key].alias(key), F.col("best")["__rate"].alias(name))
+
+
+def ranking(df: DataFrame, key: str, rate: Column, name: str) -> DataFrame:
+    """(key, name, rank): all rows with a rate ranked over the whole table, highest first, of equal rates the smallest key first.
+
+    `key` is unique. The ranks are counted over ranges, so no task sorts the table.
+    """
+    rated = df.select(F.col(key), rate.cast("double").alias(name)).where(F.col(name).isNotNull())
+    ranked = row_numbers(rated.withColumn("__down", -F.col(name)), ["__down", key], "rank")
+    return ranked.select(key, name, "rank")
+
+
+def first_rows(df: DataFrame, order: list[str], columns: list[str], n: int = 10) -> DataFrame:
+    """The first n rows along `order`, as a preview: every task keeps its n first, and one takes n of those."""
+    return df.select(*columns, *[c for c in order if c not in columns]).orderBy(*order).limit(n).select(*columns)
