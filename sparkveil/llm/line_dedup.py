@@ -85,13 +85,14 @@ def distinct_sets(docs: DataFrame) -> DataFrame:
     `low` and `high` are a signature of 128 cells, with the parity of the words that hash to each. `doc` is the row's key. Lines without words take no part.
     """
     own = docs.select(F.col(ROW_KEY).alias("doc"), F.posexplode(_lines(F.col("text"))).alias("line", "text"))
-    own = own.select("doc", "line", _tokens(F.col("text"), rarity_table(docs)).alias("t")).where(F.size("t") > 0)
+    # Lines without words are told by their text: a filter on the tokens would have Spark make them a second time.
+    own = own.where(F.trim("text") != "").select("doc", "line", _tokens(F.col("text"), rarity_table(docs)).alias("t"))
     all_words = _parity(lambda t: F.lit(1).cast("long"))
     high = _parity(lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1).cast("long")))
     prefix = F.expr("slice(t, 1, prefix_size)")
-    sets = own.withColumn("prefix_size", _prefix_size("size(t)")).select(
+    sets = own.withColumn("high", high).withColumn("prefix_size", _prefix_size("size(t)")).select(
         F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"),
-        F.struct("doc", "line", F.size("t").alias("size"), prefix.alias("prefix"), all_words.bitwiseXOR(high).alias("low"), high.alias("high")).alias("set"),
+        F.struct("doc", "line", F.size("t").alias("size"), prefix.alias("prefix"), all_words.bitwiseXOR(F.col("high")).alias("low"), F.col("high")).alias("set"),
     )
     return sets.groupBy("h1", "h2").agg(F.min("set").alias("set")).select("set.*")
 
