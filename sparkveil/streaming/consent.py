@@ -4,115 +4,121 @@ Changes and events of a subject meet in keyed state. An event is blocked if the
 time is a withdrawal. It is decided when it arrives, by the changes known then; a change that arrives later and
 alters the decision gives the event again, with the next revision. After the horizon, told by event-time timers,
 finished events are forgotten and of the changes before it only the newest is kept.
+
+Many subjects share a key, and their rows and state are worked on as columns: the calls of a micro-batch are
+bounded by the number of keys, and what a call does grows with its rows and the state of its key.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A subject's events are dealt over so many keys, each with all its changes, so that one busy subject is no single task.
 SPREAD = 8
+#: Keys that (subject, part) is hashed to.
+KEYS = 256
 OUTPUT = "subject string, event string, at timestamp, blocked boolean, revision int"
-_CHANGES = "at long, withdrawn boolean"
-_DONE = "at long, event string, blocked boolean, revision int"
+_STATE = "changes binary, done binary"
+_CHANGES = pa.schema([("subject", pa.string()), ("at", pa.int64()), ("withdrawn", pa.bool_())])
+_DONE = pa.schema([("subject", pa.string()), ("at", pa.int64()), ("event", pa.string()), ("blocked", pa.bool_()), ("revision", pa.int32())])
+
+
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as writer:
+        writer.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
 
+def _unpacked(body: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(body).read_pandas()
 
-def _put(state, rows: list[tuple]) -> None:
-    """Replace a list state; it cannot hold an empty list."""
-    state.put(rows) if rows else state.clear()
 
+def _in_order(changes: pd.DataFrame) -> pd.DataFrame:
+    """Changes by subject and time, one per time: of changes at one time, a withdrawal wins."""
+    return changes.sort_values(["subject", "at", "withdrawn"], ignore_index=True).drop_duplicates(["subject", "at"], keep="last", ignore_index=True)
 
-class ConsentState(StatefulProcessor):
-    """State of one (subject, part): changes by time, and the events decided within the horizon."""
 
-    def __init__(self, horizon_ms: int):
-        self.horizon = horizon_ms
+def _blocked(changes: pd.DataFrame, events: pd.DataFrame) -> np.ndarray:
+    """Per event, whether its subject's newest change at or before its time is a withdrawal."""
+    n = len(changes)
+    if not n or not len(events):
+        return np.zeros(len(events), bool)
+    subject, _ = pd.factorize(np.concatenate([changes["subject"].to_numpy(object), events["subject"].to_numpy(object)]))
+    at = np.concatenate([changes["at"].to_numpy(np.int64), events["at"].to_numpy(np.int64)])
+    order = np.lexsort((np.arange(len(at)) >= n, at, subject))  # at one time, changes come first
+    newest = np.maximum.accumulate(np.where(order < n, np.arange(len(order)), -1))
+    change = order[np.maximum(newest, 0)]
+    known = (newest >= 0) & (subject[change] == subject[order])
+    withdrawn = np.append(changes["withdrawn"].to_numpy(bool), np.zeros(len(events), bool))
+    out = np.empty(len(order), bool)
+    out[order] = known & withdrawn[change]
+    return out[n:]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.changes = handle.getListState("changes", _CHANGES)
-        self.done = handle.getListState("done", _DONE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        changes = {at: withdrawn for at, withdrawn in self.changes.get()}
-        arrived, changed = [], False
-        for batch in rows:
-            for at, event, withdrawn in zip(batch["at_us"].tolist(), batch["event"].tolist(), batch["withdrawn"].tolist()):
-                if withdrawn is None or pd.isna(withdrawn):
-                    arrived.append((at, event))
-                else:  # of changes at one time, a withdrawal wins
-                    changes[at] = bool(withdrawn) or changes.get(at, False)
-                    changed = True
-        times = sorted(changes)
+def _forget(changes: pd.DataFrame, done: pd.DataFrame, limit: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """What may still matter after `limit`: later events, later changes and each subject's newest change before them."""
+    old = changes["at"] <= limit
+    newest = old & ~changes["subject"].where(old).duplicated(keep="last")  # changes are in order of time
+    return changes[~old | newest].reset_index(drop=True), done[done["at"] > limit].reset_index(drop=True)
 
-        def blocked(at: int) -> bool:
-            i = bisect_right(times, at)
-            return bool(i) and changes[times[i - 1]]
 
+def _decider(horizon_ms: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """State of one key: changes by time, and the events decided within the horizon."""
+        changes, done = map(_unpacked, state.get) if state.exists else (_CHANGES.empty_table().to_pandas(), _DONE.empty_table().to_pandas())
         out = []
-        if changed:
-            _put(self.changes, [(t, changes[t]) for t in times])
-            done = [tuple(r) for r in self.done.get()]  # read only when something may have to be reopened
-            for i, (at, event, was, revision) in enumerate(done):
-                now = blocked(at)
-                if now != was:
-                    done[i] = (at, event, now, revision + 1)
-                    out.append(done[i])
-            if out:
-                _put(self.done, done)
-        decided = [(at, event, blocked(at), 0) for at, event in arrived]
-        if decided:
-            self.done.appendList(decided)
-        self._wake([r[0] for r in decided] + times[1:])
-        if out or decided:
-            yield self._rows(key, out + decided)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = (expiredTimerInfo.getExpiryTimeInMs() - self.horizon) * 1000
-        done = [r for r in map(tuple, self.done.get()) if r[0] > limit]
-        changes = sorted(map(tuple, self.changes.get()))
-        newest = max(bisect_right([t for t, _ in changes], limit) - 1, 0)
-        _put(self.done, done)
-        _put(self.changes, changes[newest:])
-        self._wake([r[0] for r in done] + [t for t, _ in changes[newest + 1:]])
-        return iter(())
-
-    def _wake(self, times: list[int]) -> None:
-        """One timer per key: when the oldest entry that may be dropped passes the horizon."""
-        if not times:
-            return
-        due = -(-min(times) // 1000) + self.horizon
-        timers = list(self.handle.listTimers())
-        if timers and min(timers) <= due:
-            return
-        for timer in timers:
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(due)
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _rows(key, entries: list[tuple]) -> pd.DataFrame:
-        at, event, blocked, revision = zip(*entries)
-        return pd.DataFrame({
-            "subject": [key[0]] * len(at), "event": event, "at": pd.to_datetime(pd.Series(at, dtype="int64"), unit="us"), "blocked": blocked,
-            "revision": pd.Series(revision, dtype="int32"),
-        })
+        if state.hasTimedOut:
+            changes, done = _forget(changes, done, (state.getCurrentWatermarkMs() - horizon_ms) * 1000)
+        else:
+            rows = pd.concat(list(batches), ignore_index=True)
+            change = rows["withdrawn"].notna()
+            if change.any():
+                new = rows.loc[change, ["subject", "at_us", "withdrawn"]].rename(columns={"at_us": "at"}).astype({"withdrawn": bool})
+                changes = _in_order(pd.concat([changes, new], ignore_index=True) if len(changes) else new)
+                now = _blocked(changes, done)
+                altered = now != done["blocked"].to_numpy(bool)
+                if altered.any():
+                    done["blocked"], done["revision"] = now, (done["revision"] + altered).astype("int32")
+                    out.append(done[altered])
+            if not change.all():
+                decided = rows.loc[~change, ["subject", "at_us", "event"]].rename(columns={"at_us": "at"})
+                decided = decided.assign(blocked=_blocked(changes, decided), revision=np.int32(0))
+                done = pd.concat([done, decided], ignore_index=True) if len(done) else decided
+                out.append(decided)
+        if not len(changes) and not len(done):
+            state.remove()
+        else:
+            state.update((_packed(changes, _CHANGES), _packed(done, _DONE)))
+            _wake(state, changes, done, horizon_ms)
+        for rows in out:
+            yield rows[["subject", "event"]].assign(at=pd.to_datetime(rows["at"], unit="us"), blocked=rows["blocked"], revision=rows["revision"])
+
+    return run
+
+
+def _wake(state: GroupState, changes: pd.DataFrame, done: pd.DataFrame, horizon_ms: int) -> None:
+    """One timer per key: when the oldest entry that may be dropped passes the horizon. A subject's first change may only go after its second."""
+    times = np.concatenate([done["at"].to_numpy(np.int64), changes.loc[changes["subject"].duplicated(), "at"].to_numpy(np.int64)])
+    if len(times):
+        state.setTimeoutTimestamp(max(-(-int(times.min()) // 1000) + horizon_ms, state.getCurrentWatermarkMs() + 1))
 
 
 def decide(
-    stream: DataFrame, subject: str, event: str, event_time: str, withdrawn: Column, horizon: str = "30 days", spread: int = SPREAD
+    stream: DataFrame, subject: str, event: str, event_time: str, withdrawn: Column, horizon: str = "30 days", spread: int = SPREAD,
+    keys: int = KEYS,
 ) -> DataFrame:
     """(subject, event, at, blocked, revision) per event and again per change of its decision.
 
     `withdrawn` is true for withdrawals, false for consent given, NULL for rows that change nothing; a change is an
-    event too. Changes up to `horizon` late reopen what they concern.
+    event too. Changes up to `horizon` late reopen what they concern. A key's state is read and written whole in
+    every micro-batch that has rows for it; `keys` bounds how much that is.
     """
     part = F.pmod(F.xxhash64(event), F.lit(spread))
     rows = stream.select(
@@ -122,9 +128,10 @@ def decide(
     own = F.struct("part", "event", F.lit(None).cast("boolean").alias("withdrawn"))
     everywhere = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda p: F.struct(p.alias("part"), F.col("event"), F.col("withdrawn")))
     dealt = rows.select("subject", "at", F.explode(F.when(F.col("withdrawn").isNull(), F.array(own)).otherwise(F.concat(everywhere, F.array(own)))).alias("r"))
-    keyed = dealt.select("subject", F.col("r.part").alias("part"), "at", F.unix_micros("at").alias("at_us"), F.col("r.event").alias("event"), F.col("r.withdrawn").alias("withdrawn"))
+    key = F.pmod(F.xxhash64("subject", "r.part"), F.lit(keys))
+    keyed = dealt.select(key.cast("int").alias("key"), "subject", "at", F.unix_micros("at").alias("at_us"), F.col("r.event").alias("event"), F.col("r.withdrawn").alias("withdrawn"))
     length = int(stream.sparkSession.sql(f"SELECT timestampdiff(MILLISECOND, timestamp'2000-01-01', timestamp'2000-01-01' + INTERVAL {horizon}) AS ms").first().ms)
-    return keyed.groupBy("subject", "part").transformWithStateInPandas(ConsentState(length), OUTPUT, "Append", "EventTime")
+    return keyed.groupBy("key").applyInPandasWithState(_decider(length), OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest(decisions: DataFrame) -> DataFrame:

@@ -74,3 +74,19 @@ def test_finished_events_are_forgotten_after_the_horizon(spark, tmp_path):
     feed.add(("a", 60, 95, True))
     got = feed.latest()
     assert got[2] == (True, 1) and got[3] == (True, 1) and got[1] == (False, 0)
+
+
+def test_state_is_kept_by_a_bounded_number_of_keys(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.add(*[(f"s{i}", i, 10, None) for i in range(400)], *[(f"s{i}", 1000 + i, 20, True) for i in range(0, 400, 2)])
+    feed.add(*[(f"s{i}", 2000 + i, 5, True) for i in range(0, 400, 4)], (None, 3000, 5, True), ("s1", None, 30, None))
+    stream = jobs.file_stream(spark, f"{feed.base}/in", spark.createDataFrame([], SCHEMA).schema, files_per_trigger=1)
+    out = consent.decide(stream, "s", "id", "at", F.col("w"), "60 days", 3)
+    query = jobs.start_table(out, f"{feed.base}/out", f"{feed.base}/c")
+    jobs.finish(query)
+    # A call per subject and part of it took most of the time; the keys do not grow with the subjects.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= consent.KEYS < 400
+    got = {r.id: (r.blocked, r.revision) for r in consent.latest(spark.read.schema(out.schema).parquet(f"{feed.base}/out")).collect()}
+    assert len(got) == 400 + 200 + 100 + 1 and got[None] == (False, 0)
+    for i in range(400):
+        assert got[str(i)] == ((True, 1) if i % 4 == 0 else (False, 0))
