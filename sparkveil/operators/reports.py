@@ -135,13 +135,21 @@ def violation_summary(violations: DataFrame) -> DataFrame:
     )
 
 
+#: Partitions up to which Spark writes a shuffle without a buffer that sorts it.
+UNSORTED = 200
+
+
 def records_with_violations(records: DataFrame, violations: DataFrame, key: str) -> DataFrame:
     """Records with their violation count and types.
 
     The list of types is kept as counts per type, `array<struct<type, n>>`: the same multiset
     with at most one entry per type, so a record with millions of violations stays small.
     """
-    per_type = violations.groupBy(key, "violation_type").agg(F.count("*").alias("n"))
+    # The counting has finer partitions of its own. Beside the join that often makes the violations, the hash tables and
+    # lists of a partition's records would add to its sorts, and partitions are sized by bytes that compress to little here.
+    own = int(violations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = violations.select(key, "violation_type").repartition(max(own, min(4 * own, UNSORTED)), key)
+    per_type = rows.groupBy(key, "violation_type").agg(F.count("*").alias("n"))
     listed = per_type.groupBy(key).agg(
         F.sum("n").alias("violation_count"),
         F.array_sort(F.collect_list(F.struct(F.col("violation_type").alias("type"), "n"))).alias("violation_types"),

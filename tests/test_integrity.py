@@ -112,6 +112,22 @@ def test_type_lists_stay_small(spark):
     assert rows[2]["violation_count"] == 0
 
 
+def test_violations_are_counted_in_finer_partitions_than_they_are_joined_in(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = spark.range(2000).select(F.col("id").alias("r"))
+        made = spark.range(8000).select((F.col("id") % 1900).alias("r"), F.concat(F.lit("t"), F.col("id") % 3).alias("violation_type"))
+        out = rp.records_with_violations(records, made.join(records, "r"), "r")
+        rows = out.select("*", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The session has 4 shuffle partitions; joined, counted and listed in the same ones, a task held all of it at once.
+    assert len({r["part"] for r in rows}) > 4
+    assert len(rows) == 2000 and sum(r["violation_count"] for r in rows) == 8000
+    assert all((r["violation_types"] is None) == (r["r"] >= 1900) for r in rows)
+
+
 def test_expectations(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (3, 500.0)], "k int, x double")
     rows = {r["expectation"]: r for r in ig.expectations(df, 5, 10, {"x": (0, 100)}, ["x"]).collect()}
