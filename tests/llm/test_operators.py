@@ -310,6 +310,25 @@ def test_pieces_equal_the_library(spark, docs, odd, empty):
     assert sentencepiece_lattice.encode(empty).count() == 0
 
 
+def test_pieces_take_one_shuffle_and_parts_of_any_length(spark):
+    """Words and texts travel once, by block; parts around the length up to which boundaries are bits; null ids and rows that repeat."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.default_model())
+    texts = ["a" * n for n in (1, 2, 61, 62, 63, 64, 130)] + ["-=" * n + "\U0001F9FF\u4E00é\x00" for n in (30, 31, 32, 33)] + ["\U0001F9FF" * 70, " " * 63, "", None]
+    df = spark.createDataFrame([(None if i % 4 == 3 else i % 5, t) for i, t in enumerate(texts * 2)], "doc_id long, text string")
+    encoded = sentencepiece_lattice.encode(df)
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert Counter((r.doc_id, tuple(r.ids)) for r in encoded.collect()) == Counter((r.doc_id, tuple(model.encode(r.text or ""))) for r in df.collect())
+
+
+def test_pieces_decode_what_is_no_whole_character(spark):
+    rows = [(1, [3 + 0xE4, 3 + 0xB8]), (2, None), (3, []), (4, [3 + 0xC3, 3 + 0xA9, 3 + 0x20, 3 + 0x20])]
+    out = sentencepiece_lattice.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()
+    assert {r.doc_id: r.decoded for r in out} == {1: "\ufffd", 2: None, 3: "", 4: "é  "}
+
+
 @pytest.mark.parametrize("bucket", [256, 2])
 def test_line_dedup_tells_rows_apart(spark, monkeypatch, bucket):
     """Ids that repeat with equal and with different texts, and null ids; order is id, then place, null ids last."""
