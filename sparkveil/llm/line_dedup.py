@@ -25,6 +25,8 @@ from sparkveil.llm.common import ROW_KEY, materialize, with_row_keys
 ABOVE, BELOW = 4, 5
 #: Lines in a prefix word's bucket up to which all its pairs are tried at once.
 BUCKET = 256
+#: Bits of the table of lines to verify; it only ever lets too many through. Spread over 64-bit words, so of a bounded size.
+WANTED_BITS = 1 << 22
 #: Cells of the table of word counts, and of its 4-bit levels in one 64-bit number.
 CELLS, PACKED, WIDTH_BITS = 1 << 17, 16, 13  # CELLS = PACKED << WIDTH_BITS
 
@@ -160,9 +162,15 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc, line) of the first side of the pairs whose words have a Jaccard similarity of 4/5 or more."""
     ids = pairs.select("doc", "line").union(pairs.select("b_doc", "b_line")).distinct()
     # Written first, so that Spark knows its size when it chooses how to join the texts.
-    wanted = materialize(ids.groupBy("doc").agg(F.collect_set("line").alias("wanted")), "line-wanted")  # at most the lines of one document
-    text = docs.select(F.col(ROW_KEY).alias("doc"), _lines(F.col("text")).alias("all")).join(wanted, "doc")
-    chosen = text.select("doc", F.explode(F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get("all", i).alias("text")))).alias("x")).select("doc", "x.*")
+    wanted = materialize(ids, "line-wanted")
+    # Most lines are told by a bit table where they are read, and only the others travel.
+    cell = F.pmod(F.xxhash64("doc", "line"), F.lit(WANTED_BITS))
+    cells = wanted.select((cell / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (cell % 64).cast("int")).alias("bit"))
+    cells = cells.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    lines = docs.select(F.col(ROW_KEY).alias("doc"), F.posexplode(_lines(F.col("text"))).alias("line", "text"))
+    lines = lines.withColumn("word", (cell / 64).cast("int")).join(F.broadcast(cells), "word").where(F.getbit("bits", (cell % 64).cast("int")) == 1)
+    # No semi join: Spark would take it before the bit table, on all lines. `wanted` has each line once.
+    chosen = lines.select("doc", "line", "text").join(wanted, ["doc", "line"])
     words = chosen.select("doc", "line", F.array_distinct(F.array_remove(F.split("text", " "), "")).alias("words"))
     # Travels as one string: an array of strings takes more than twice the space.
     words = materialize(words.select("doc", "line", F.size("words").alias("n"), F.array_join("words", " ").alias("words")), "line-words")

@@ -329,6 +329,23 @@ def test_pieces_decode_what_is_no_whole_character(spark):
     assert {r.doc_id: r.decoded for r in out} == {1: "\ufffd", 2: None, 3: "", 4: "é  "}
 
 
+def test_line_dedup_sends_only_lines_to_verify(spark, monkeypatch):
+    """Lines of the documents pass the bit table before they are joined, as the text of all documents would travel else."""
+    plans = {}
+
+    def written(df, label, write=line_dedup.materialize):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(line_dedup, "materialize", written)
+    rows = [(1, "a b c d e f\nx y z"), (2, "a b c d e f g\nu v w"), (3, "a b c d e f")]
+    out = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept_lines for r in out} == {1: "0,1", 2: "1", 3: ""}
+    at = [n for n, line in enumerate(plans["line-words"].split("\n")) if "Join " in line]
+    table = next(n for n, line in enumerate(plans["line-words"].split("\n")) if "getbit" in line)
+    assert len(at) == 2 and at[0] < table <= at[1] and "LeftSemi" not in plans["line-words"]
+
+
 @pytest.mark.parametrize("bucket", [256, 2])
 def test_line_dedup_tells_rows_apart(spark, monkeypatch, bucket):
     """Ids that repeat with equal and with different texts, and null ids; order is id, then place, null ids last."""
